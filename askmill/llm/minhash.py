@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+@functools.cache
 def shingler(size: int) -> Callable[[str | None], np.ndarray]:
     """Gives a text's set of shingles as sorted distinct 64-bit hashes.
 

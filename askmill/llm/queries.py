@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import language, mixing, packing, quality, shards, tokens
+from askmill.llm import language, minhash, mixing, packing, quality, shards, tokens, vectors
 from askmill.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,6 +45,10 @@ def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op10_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 #: WFQ by windows: the same hash order, running totals and finish time.
 OP2_SQL = """
 with sized as (
@@ -69,7 +77,7 @@ from placed p join targets t on p.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fair_mix, op4_token_counts, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares)}
+    return {f.__name__: f for f in (op2_fair_mix, op3_hyperminhash, op4_token_counts, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
