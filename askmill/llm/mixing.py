@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from askmill.llm.common import WORD, running_total
+from askmill.llm.common import WORD, cut, running_total
 
 #: Rounds of the documents that a source can give.
 ROUNDS = 3
@@ -30,9 +30,10 @@ def targets(sizes: DataFrame, source: str = "source", cycle: int = 3, rounds: in
     here = by_end.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     whole = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("spent", F.coalesce(F.sum("full").over(before), F.lit(0))).withColumn("rest_weight", F.sum("weight").over(here)).withColumn("budget", F.sum("source_size").over(whole))
-    # V if exactly the sources before this one have run out; the first that fits, lasting longer than V, gives V.
+    # What is served by a virtual time is concave in it: each way of saying which sources have run out gives a time
+    # that is too early, but the right way; so V is the largest.
     rows = rows.withColumn("v", (F.col("budget") - F.col("spent")) / F.col("rest_weight"))
-    rows = rows.withColumn("finish", F.min(F.when(F.col("v") <= F.col("runs_out"), F.col("v"))).over(whole))
+    rows = rows.withColumn("finish", F.max("v").over(whole))
     return rows.select(source, "source_size", "weight", "finish", F.when(F.col("runs_out") <= F.col("finish"), F.col("full").cast("double")).otherwise(F.col("weight") * F.col("finish")).alias("target"))
 
 
@@ -47,7 +48,7 @@ def fair_queue(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     are told apart by their size; a null source is one of its own. An empty table gives an empty table.
     """
     sized = docs.select(F.col(key).alias("k"), F.col(source).alias("s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    sized = sized.withColumn("shuffle", F.md5(F.concat_ws("|", F.lit(seed), F.col("k").cast("string"))))
+    sized = cut(sized.withColumn("shuffle", F.md5(F.concat_ws("|", F.lit(seed), F.col("k").cast("string")))), "sizes")
     sources = targets(sized.groupBy("s").agg(F.sum("size").alias("source_size")), "s", rounds=rounds)
     ahead = running_total(sized.withColumn("bucket", F.substring("shuffle", 1, DIGITS)), ["s"], ["shuffle", "k", "size"], "size", "ahead", "bucket")
     sources = sources.withColumnRenamed("s", "s2")
@@ -70,15 +71,16 @@ def _few(sources: DataFrame, most: int = 20_000) -> bool:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, repeated as often as it takes them, with their columns only.
 
-    Rows of one key (repeated rows) share what the queue gives their key: each row gets its own number of copies.
+    Rows of one key, source and size share what the queue gives them, so that their copies differ by one at most.
     """
     plan = fair_queue(docs.select(key, source, text), key, source, text, rounds)
-    # Rows of a key are numbered, in the queue's order on one side and any order on the other.
-    numbered = Window.partitionBy(key, source, "size").orderBy("first_finish")
-    counts = plan.withColumn("nth", F.row_number().over(numbered)).filter("copies > 0")
-    counts = counts.select(F.col(key).alias("__k"), F.col(source).alias("__s"), F.col("size").alias("__z"), F.col("nth").alias("__n"), F.col("copies").alias("__copies"))
+    name = lambda c: F.concat(F.lit("="), F.col(c).cast("string"))
+    by = ["__k", "__s", "__z"]
+    counts = plan.select(F.coalesce(name(key), F.lit("")).alias("__k"), F.coalesce(name(source), F.lit("")).alias("__s"), F.col("size").alias("__z"), "copies")
+    counts = counts.groupBy(*by).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("__size", size).withColumn("__nth", F.row_number().over(Window.partitionBy(key, source, "__size").orderBy(text)))
-    same = F.col(key).eqNullSafe(F.col("__k")) & F.col(source).eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z")) & (F.col("__nth") == F.col("__n"))
-    taken = rows.join(counts, same)
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = docs.withColumns({"__k": F.coalesce(name(key), F.lit("")), "__s": F.coalesce(name(source), F.lit("")), "__z": size}).join(counts, by)
+    # The window has the join's partitioning, so the rows aren't shuffled again.
+    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(text))))
+    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
+    return rows.filter(own > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), own.cast("long")))).select(*docs.columns)

@@ -64,7 +64,7 @@ served as (
            sum(weight) over (order by runs_out, source nulls last rows between current row and unbounded following)::bigint rest_weight,
            sum(source_size) over ()::bigint budget
     from lasting),
-fin as (select min(v) finish from (select (budget - spent)::double / rest_weight v, runs_out from served) where v <= runs_out),
+fin as (select arg_min(v, runs_out) finish from (select (budget - spent)::double / rest_weight v, runs_out from served) where v <= runs_out),
 targets as (select source, source_size, case when runs_out <= finish then whole::double else weight * finish end target from served, fin),
 placed as (
     select s.*, coalesce(sum(size) over (partition by source order by shuffle, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint ahead
