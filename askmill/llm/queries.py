@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import language, minhash, mixing, packing, quality, shards, tokens, vectors
+from askmill.llm import language, minhash, mixing, packing, quality, shards, template, tokens, vectors
 from askmill.llm.common import table
 
 
+def op1_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -77,7 +81,7 @@ from placed p join targets t on p.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_fair_mix, op3_hyperminhash, op4_token_counts, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes)}
+    return {f.__name__: f for f in (op1_template_slots, op2_fair_mix, op3_hyperminhash, op4_token_counts, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
