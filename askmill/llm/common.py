@@ -28,10 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame, what: str = "step") -> DataFrame:
+def cut(df: DataFrame, what: str = "step", codec: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it again, so that later jobs and lost executors don't repeat what came before."""
     path = f"{shared_dir(df.sparkSession)}/askmill-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

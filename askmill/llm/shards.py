@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from askmill.llm.common import shared_dir
-from askmill.llm.tokens import crc, encoded, id_encoder
+from askmill.llm.common import cut, shared_dir
+from askmill.llm.tokens import crc, encoded, id_encoder, load
 
 #: Ids after which a block is closed, and documents.
 BLOCK_IDS, BLOCK_DOCS = 400_000, 2_000
@@ -61,15 +61,28 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return four & _MASK[width - 1]
 
 
-def id_counts(docs: DataFrame, path: str, end_id: int, text: str = "text") -> DataFrame:
-    """id, n: how often each id occurs in all documents. A task sends a row for each id that it has seen."""
+def encode_all(docs: DataFrame, path: str, end_id: int, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """k, ids: each document's ids with the end id, ``width`` bytes each."""
     end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = id_encoder(path), np.zeros(0, np.int64)
+        encode = id_encoder(path)
         for batch in batches:
-            for ids in encoded(batch.column(0), encode, end):
-                n = np.bincount(np.frombuffer(ids, "<u4"), minlength=len(total))
+            ids = [np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in encoded(batch.column(1), encode, end)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["k", "ids"])
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return rows.mapInArrow(run, f"k {rows.schema['k'].dataType.simpleString()}, ids binary")
+
+
+def id_counts(rows: DataFrame, width: int) -> DataFrame:
+    """id, n: how often each id occurs in all documents. A task sends a row for each id that it has seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0, np.int64)
+        for batch in batches:
+            for ids in batch.column(0):
+                n = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"), minlength=len(total))
                 if len(n) > len(total):
                     n[: len(total)] += total
                     total = n
@@ -78,54 +91,56 @@ def id_counts(docs: DataFrame, path: str, end_id: int, text: str = "text") -> Da
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 
-    return docs.select(text).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return rows.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int, out: str, key: str = "doc_id", text: str = "text", shards: int | None = None) -> str:
     """Writes all documents' ids in ascending key order below ``out``; gives that path.
 
-    Null texts count as empty (the end id alone). Null keys come first, rows of equal keys stay rows of their
+    Texts are encoded once; their ids are kept for counting and then dealt by ranges of keys. Null texts count as
+    empty (the end id alone). Null keys come first, rows of equal keys stay rows of their
     own; other columns are left out. An empty table gives empty files.
     """
     spark = docs.sparkSession
+    width = 2 if load(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
+    rows = cut(encode_all(docs, path, end_id, width, key, text), "ids", "zstd")
     # One row for each id of the vocabulary at most: bounded by the tokenizer, not by the input.
-    found = np.array([(r.n, r.id) for r in id_counts(docs, path, end_id, text).collect()], np.int64).reshape(-1, 2)
+    found = np.array([(r.n, r.id) for r in id_counts(rows, width).collect()], np.int64).reshape(-1, 2)
     ids = found[np.lexsort((found[:, 1], -found[:, 0])), 1]
     spark.createDataFrame([(ids.astype("<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{out}/ranks")
     rank = np.zeros(int(ids.max(initial=0)) + 1, "<u4")
     rank[ids] = np.arange(len(ids))
     sent = spark.sparkContext.broadcast(rank)
-    end = np.asarray([end_id], "<u4").tobytes()
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, table, block, shard = id_encoder(path), sent.value, 0, 0
+        table, block, shard = sent.value, 0, 0
         keys: list = []
         parts: list[bytes] = []
         held, kept = 0, None
 
         def close() -> pa.RecordBatch:
-            control, data = pack_ranks(table[np.frombuffer(b"".join(parts), "<u4")])
-            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([keys], pa.list_(kept)), pa.array([[len(p) // 4 for p in parts]], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
+            control, data = pack_ranks(table[np.frombuffer(b"".join(parts), f"<u{width}")])
+            columns = [pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([keys], pa.list_(kept)), pa.array([[len(p) // width for p in parts]], pa.list_(pa.int32())), pa.array([control], pa.binary()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["shard", "block", "keys", "lengths", "control", "data"])
 
         for batch in batches:
             kept = batch.schema.field(1).type
             if batch.num_rows:
                 shard = batch.column(0)[0].as_py()
-            for k, ids in zip(batch.column(1).to_pylist(), encoded(batch.column(2), encode, end), strict=True):
+            for k, scalar in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                ids = scalar.as_py()
                 keys.append(k)
                 parts.append(ids)
-                held += len(ids) // 4
+                held += len(ids) // width
                 if held >= BLOCK_IDS or len(keys) >= BLOCK_DOCS:
                     yield close()
                     keys, parts, held, block = [], [], 0, block + 1
         if keys:
             yield close()
 
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
-    dealt = rows.repartitionByRange(shards, "k").sortWithinPartitions("k").select(F.spark_partition_id().alias("shard"), "k", "t")
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(shards, "k").sortWithinPartitions("k").select(F.spark_partition_id().alias("shard"), "k", "ids")
     dealt.mapInArrow(run, f"shard int, block int, keys array<{kind}>, lengths array<int>, control binary, data binary").write.parquet(f"{out}/blocks")
     return out
 
