@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import language, minhash, mixing, packing, quality, shards, template, tokens, vectors
+from askmill.llm import chat, language, minhash, mixing, packing, quality, shards, template, tokens, vectors
 from askmill.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality.judge(table(spark, sf_dir, "documents"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -81,7 +85,7 @@ from placed p join targets t on p.source is not distinct from t.source
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_slots, op2_fair_mix, op3_hyperminhash, op4_token_counts, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes)}
+    return {f.__name__: f for f in (op1_template_slots, op2_fair_mix, op3_hyperminhash, op4_token_counts, op5_role_repair, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes)}
 
 
 def oracle_sql() -> dict[str, str]:
