@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from askmill.jobs import cache_jobs, ingest_jobs, search_jobs
+
 FLAGSHIP = "hybrid_search"
 #: Modules of queries; each has QUERIES and ORACLE_SQL.
-MODULES: list = []
+MODULES = [ingest_jobs, search_jobs, cache_jobs]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
