@@ -13,11 +13,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askmill.llm.common import cut
+from askmill.llm.common import cut, dealt, groups, running_total
 
 ROLES = ("system", "user", "assistant")
 #: States: nothing yet, and the role of the last turn given out.
@@ -100,35 +100,44 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     rows = cut(_blocked(rows), "turns")
     kind = rows.schema["c"].dataType.simpleString()
 
-    def matrix(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("at", kind="stable")
-        return pd.DataFrame({"c": [p.c.iloc[0]], "block": [p.block.iloc[0]], "costs": [product([role_number(x) for x in p.r]).ravel().tolist()]})
-
-    blocks = rows.select("c", "block", "at", "r").groupBy("c", "block").applyInPandas(matrix, f"c {kind}, block long, costs array<double>")
-
-    def states(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("block", kind="stable")
-        ms = [np.array(x).reshape(4, 4) for x in p.costs]
-        best = [np.where(np.arange(4) == START, 0.0, np.inf)]
-        for m in ms:
-            best.append((best[-1][:, None] + m).min(0))
-        ends = [int(np.argmin(np.where(np.arange(4) == START, np.inf, best[-1])))]
-        for k in range(len(ms) - 1, -1, -1):
-            ends.append(int(np.argmin(best[k] + ms[k][:, ends[-1]])))
-        ends = ends[::-1]
-        return pd.DataFrame({"c2": p.c, "block2": p.block, "first": ends[:-1], "last": ends[1:], "total": float(np.min(best[-1][:START]))})
-
-    between = cut(blocks.groupBy("c").applyInPandas(states, f"c2 {kind}, block2 long, first int, last int, total double"), "states")
-
-    def choose(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("at", kind="stable")
-        found = repairs([role_number(x) for x in p.r], int(p["first"].iloc[0]), int(p["last"].iloc[0]))
-        given = [None if g < 0 else ROLES[g] for _, g, _ in found]
-        action = ["merge" if g is None else "keep" if role_number(r) == ROLES.index(g) else "relabel" for g, r in zip(given, p.r, strict=True)]
-        return pd.DataFrame({"c": p.c, "n": p.n, "at": p.at_, "role": given, "text": p.t, "action": action, "inserted": [[ROLES[b] for b in x] for _, _, x in found], "cost": p.total})
-
-    joined = rows.join(between, rows["c"].eqNullSafe(between["c2"]) & (rows["block"] == between["block2"])).withColumn("at_", F.col("at"))
-    out = joined.groupBy("c", "block").applyInPandas(choose, f"c {kind}, n long, at long, role string, text string, action string, inserted array<string>, cost double")
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(groups(batches, ["c", "block"])):
+            costs = [product([role_number(x) for x in t.column("r").to_pylist()]).ravel() for t in part]
+            yield _batch(part, {"block": pa.array([t.column("block")[0].as_py() for t in part], pa.int64()), "costs": pa.array(costs, pa.list_(pa.float64()))})
+
+    blocks = dealt(rows.select("c", "block", "at", "r"), "c", "block", order=("at",)).mapInArrow(matrices, f"c {kind}, block long, costs array<double>")
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["c"]):
+            ms = [np.array(x).reshape(4, 4) for x in t.column("costs").to_pylist()]
+            best = [np.where(np.arange(4) == START, 0.0, np.inf)]
+            for m in ms:
+                best.append((best[-1][:, None] + m).min(0))
+            ends = [int(np.argmin(np.where(np.arange(4) == START, np.inf, best[-1])))]
+            for k in range(len(ms) - 1, -1, -1):
+                ends.append(int(np.argmin(best[k] + ms[k][:, ends[-1]])))
+            ends = ends[::-1]
+            columns = [t.column("c").combine_chunks(), t.column("block").combine_chunks(), pa.array(ends[:-1], pa.int32()), pa.array(ends[1:], pa.int32()), pa.array([float(best[-1][:START].min())] * len(ms))]
+            yield pa.RecordBatch.from_arrays(columns, names=["c2", "block2", "first", "last", "total"])
+
+    between = cut(dealt(blocks, "c", order=("block",)).mapInArrow(states, f"c2 {kind}, block2 long, first int, last int, total double"), "states")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(groups(batches, ["c", "block"])):
+            given, action, inserted = [], [], []
+            for t in part:
+                had = [role_number(x) for x in t.column("r").to_pylist()]
+                for (_, role, between), own in zip(repairs(had, t.column("first")[0].as_py(), t.column("last")[0].as_py()), had, strict=True):
+                    given.append(None if role < 0 else ROLES[role])
+                    action.append("merge" if role < 0 else "keep" if role == own else "relabel")
+                    inserted.append([ROLES[x] for x in between])
+            whole = pa.concat_tables(part).combine_chunks()
+            kept = [whole.column(x).combine_chunks() for x in ("c", "n", "at", "t", "total")]
+            made = [pa.array(given, pa.string()), pa.array(action, pa.string()), pa.array(inserted, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(kept + made, names=["c", "n", "at", "text", "cost", "role", "action", "inserted"])
+
+    joined = rows.join(between, rows["c"].eqNullSafe(between["c2"]) & (rows["block"] == between["block2"])).select("c", "n", "at", "r", "t", "block", "first", "last", "total")
+    out = dealt(joined, "c", "block", order=("at",)).mapInArrow(choose, f"c {kind}, n long, at long, text string, cost double, role string, action string, inserted array<string>")
     opening = lambda r: F.concat(F.lit(OPEN), r, F.lit("\n"))
     empty = F.array_join(F.transform("inserted", lambda r: F.concat(opening(r), F.lit(CLOSE + "\n"))), "")
     # A turn is closed by the row that opens the next one; merged texts stand under each other.
@@ -136,10 +145,27 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     return out.select(F.col("c").alias(conv), F.col("n").alias(turn), F.col("at").alias("position"), "role", "text", "action", "inserted", rendered.alias("rendered"), F.col("cost").alias("conversation_cost"))
 
 
+def _parts(tables: Iterator[pa.Table], most: int = 4096) -> Iterator[list[pa.Table]]:
+    """Blocks taken together up to so many rows, so that a short conversation isn't a batch of its own."""
+    held: list[pa.Table] = []
+    n = 0
+    for t in tables:
+        held.append(t)
+        n += t.num_rows
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
+def _batch(part: list[pa.Table], columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    first = pa.concat_tables([t.select(["c"]).slice(0, 1) for t in part]).column("c").combine_chunks()
+    return pa.RecordBatch.from_arrays([first, *columns.values()], names=["c", *columns])
+
+
 def _blocked(rows: DataFrame) -> DataFrame:
     """Adds at, a turn's place in its conversation from 0, and block. Places are running totals over buckets of turn numbers, so a long conversation isn't sorted in one task."""
-    from askmill.llm.common import running_total
-
     marked = rows.withColumns({"one": F.lit(1).cast("long"), "bucket": F.floor(F.coalesce("n", F.lit(-1)) / BLOCK)})
     placed = running_total(marked, ["c"], ["n", "r", "t"], "one", "at", "bucket")
     return placed.withColumn("block", F.floor(F.col("at") / BLOCK)).select("c", "n", "r", "t", F.col("at").cast("long").alias("at"), F.col("block").cast("long").alias("block"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,3 +51,31 @@ def running_total(df: DataFrame, by: list[str], order: list[str], value: str, ou
     same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in [*by, bucket]]
     own = df.withColumn("__own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return own.join(base, same).withColumn(out, F.col("__base") + F.col("__own")).drop("__own", "__base", *[f"__{c}" for c in [*by, bucket]])
+
+
+def dealt(df: DataFrame, *by: str, order: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of equal ``by`` side by side in one partition, in ``order``, for ``groups`` to take them up."""
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return df.repartition(n, *by).sortWithinPartitions(*by, *order)
+
+
+def groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal ``by``, each as a table. One run at a time is held, however many there are."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
+        at = 0
+        for k in range(len(keys)):
+            if keys[k] != (keys[k - 1] if k else last):
+                if k > at:
+                    held.append(batch.slice(at, k - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at = [], k
+        held.append(batch.slice(at))
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)

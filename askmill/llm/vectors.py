@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from askmill.llm.common import cut
+from askmill.llm.common import cut, dealt, groups
 from askmill.llm.components import components
 
 #: Bits of a vector's codes, at least; bits of a band of them.
@@ -140,33 +140,21 @@ def _compare(units: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict = {}
-        held: list[pa.RecordBatch] = []
+        found: list[tuple] = []
 
-        def give(found: list[tuple]) -> Iterator[pa.RecordBatch]:
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["id", "n", "to"])
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["id", "n", "to"])
 
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = list(zip(*[batch.column(c).to_pylist() for c in by], strict=True))
-            starts = [k for k in range(len(keys)) if keys[k] != (keys[k - 1] if k else last)]
-            found, at = [], 0
-            for k in starts:
-                if k > at or held:
-                    held.append(batch.slice(at, k - at))
-                    found.append(unit_of(pa.Table.from_batches(held), made))
-                    held = []
-                at = k
-            held.append(batch.slice(at))
-            last = keys[-1]
-            yield from give([x for x in found if x])
-        if held:
-            yield from give([x for x in [unit_of(pa.Table.from_batches(held), made)] if x])
-
-    n = max(int(units.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return units.repartition(n, *by).sortWithinPartitions(*by).mapInArrow(run, "id long, n long, to long")
+        for rows in groups(batches, by):
+            if x := unit_of(rows, made):
+                found.append(x)
+            if len(found) == 1000:
+                yield give()
+                found.clear()
+        if found:
+            yield give()
+
+    return dealt(units, *by).mapInArrow(run, "id long, n long, to long")
 
 
 def near_vectors(table: DataFrame, threshold: float = 0.93, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
