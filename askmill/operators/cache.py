@@ -82,8 +82,8 @@ def upsert(cache: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def sessions(entries: DataFrame, gap: str) -> DataFrame:
-    """session_id, start, end, entries: runs of entries, each less than ``gap`` after the one before."""
-    rows = entries.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("entries"), F.max("ts").alias("last"))
+    """session_id, start, end, entries: runs of entries, each less than ``gap`` after the one before: at the gap itself a session is over."""
+    rows = entries.groupBy("session_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(F.count("*").alias("entries"), F.max("ts").alias("last"))
     return rows.select("session_id", F.col("w.start").alias("start"), F.col("last").alias("last"), "entries")
 
 
@@ -94,7 +94,7 @@ def flush(entries: DataFrame, gap: str, now: str | None = None, immediate: bool
     windows are merged and cut sessions short. ``immediate`` closes every session.
     """
     rated = entries.filter("rating is not null")
-    packed = rated.groupBy("session_id", F.session_window("ts", gap).alias("w")).agg(
+    packed = rated.groupBy("session_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(
         F.max("ts").alias("last"), F.collect_list(F.struct("question_id", "msg", F.col("rating").cast("int").alias("rating"), "ts", "seq")).alias("es")
     )
     if not immediate:
