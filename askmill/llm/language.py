@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import arrow_udf
 
+from askmill.llm.common import cut
+
 #: Bytes of a window, widths of the filters, filters of each width.
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 8
 #: The training sample's bound: windows for each language.
@@ -145,14 +147,19 @@ def held_out(key: str = "doc_id") -> Column:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_language: int = PER_LANGUAGE) -> Network | None:
     """Trains on at most ``per_language`` windows of each language, from labelled rows that aren't held out.
 
-    The sample is the first rows by a hash of their key; each task keeps so many of a language at most, so a
-    common language is no hot spot. A window starts at a place in its text that the same hash chooses.
+    The sample is the first rows of a language by a hash of their key. Languages are counted first, and rows whose hash
+    lies far beyond the share that is needed go where they are read, so a common language is no hot spot. A
+    window starts at a place in its text that a hash chooses.
     """
     order = F.md5(F.concat(F.lit("sample"), F.col(key).cast("string")))
     rows = docs.filter(~held_out(key) & F.col(label).isNotNull() & F.col(key).isNotNull() & F.col(text).rlike(r"\p{L}"))
     start = F.pmod(F.xxhash64(F.col(key).cast("string")), F.greatest(F.lit(1), F.length(text) - WINDOW + 1))
     rows = rows.select(F.col(key).cast("string").alias("k"), F.col(label).cast("string").alias("label"), order.alias("o"), F.substring(F.col(text), (start + 1).cast("int"), F.lit(WINDOW)).alias("w"))
-    kept = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("o", "w"))).filter(F.col("n") <= per_language)
+    counts = cut(rows.groupBy("label").agg(F.count("*").alias("of")), "languages").withColumnRenamed("label", "l")
+    few = counts.limit(10_001).count() <= 10_000
+    share = F.pmod(F.xxhash64(F.lit("share"), "k"), F.lit(1 << 30)) / (1 << 30)
+    rows = rows.join(F.broadcast(counts) if few else counts, F.col("label") == F.col("l")).filter((F.col("of") <= 2 * per_language) | (share < 2 * per_language / F.col("of")))
+    kept = rows.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy(share, "o", "w"))).filter(F.col("n") <= per_language)
     found = sorted((r.label, r.n, r.w) for r in kept.select("label", "n", "w").collect())
     return train([w.encode() for _, _, w in found], [x for x, _, _ in found])
 
