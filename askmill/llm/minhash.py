@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askmill.llm.common import cut
+from askmill.llm.common import cut, dealt, groups
 from askmill.llm.components import components
 from askmill.llm.tokens import SLICE, Pieces
 
@@ -22,7 +22,7 @@ BANDS = BUCKETS // ROWS
 #: Standard errors by which an estimate may fall short of the threshold before a pair is dropped unconfirmed.
 SLACK = 5.0
 #: Rows of a block in which the members of a band's bucket are compared with another block's.
-BLOCK = 512
+BLOCK = 256
 #: Keys that each executor may be sent to choose texts (8 bytes each); more are joined by shuffle.
 MOST_SENT = 4_000_000
 
@@ -172,9 +172,7 @@ def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets link: 100 * intersection >= percent * union. ``docs``: id, t."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
-    sent = F.broadcast(ids) if ids.count() <= MOST_SENT else ids
-    texts = docs.join(sent, "id", "left_semi")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs)
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,36 +194,103 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def crossing(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket whose sets are not yet of one component and may link. ``members``: band, key, id, part, size.
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows (id, t) of ``docs`` that ``ids`` name: by sending the ids while they are few, else by shuffle."""
+    ids = cut(ids.distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id", "left_semi")
 
-    A bucket is dealt into blocks; each pair of blocks is one group, compared by matrices, so a large bucket is
-    many groups. Only pairs that may link leave, from the first band in which they meet.
+
+def crossing(members: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: links between sets of one bucket that are not yet of one component. ``members``: band, key, id, part, size.
+
+    A bucket is dealt into blocks; each pair of blocks is one group, so a large bucket is many groups. There the
+    sketches, compared by matrices, leave pairs to be confirmed on whole sets at once, in the first band in which they meet. Of the
+    links only those that join components leave, fewer than the block has rows, so nothing grows with the square of a bucket.
     """
     rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    rows = rows.select("band", "key", "id", "part", "own", F.inline(pair)).join(reps.select("id", "n", "regs"), "id")
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        i, j, band = int(p.i.iloc[0]), int(p.j.iloc[0]), int(p.band.iloc[0])
-        left, right = p[p.own == i], p[p.own == j]
-        out = [np.zeros((0, 2), np.int64)]
-        rl, rr = _regs(left.regs), _regs(right.regs)
-        bl, br = (np.ascontiguousarray(r).view(np.uint64).reshape(len(r), BANDS, -1) for r in (rl, rr))
-        ids, parts, sizes = (right[c].to_numpy() for c in ("id", "part", "n"))
-        for k, (x, part, n) in enumerate(zip(left.id, left.part, left.n, strict=True)):
-            other = np.flatnonzero((parts != part) & ((ids > x) if i == j else (ids != x)))
-            if not len(other):
-                continue
-            ok = may_link(_equal(rl[k][None, :], rr[other]), np.full(len(other), n), sizes[other], percent)
-            other = other[ok]
-            same = (bl[k][None] == br[other]).all(-1)
-            other = other[same.argmax(1) == band] if len(other) else other
-            out.append(np.stack([np.full(len(other), x), ids[other]], 1))
-        found = np.concatenate(out)
-        return pd.DataFrame({"a": found.min(1) if len(found) else found[:, 0], "b": found.max(1) if len(found) else found[:, 1]})
-
-    return rows.groupBy("band", "key", "i", "j").applyInPandas(run, "a long, b long").distinct()
+    texts = texts_of(members.select("id"), docs)
+    known = reps.select("id", "n", "regs").join(texts, "id")
+    by = ["band", "key", "i", "j"]
+    rows = rows.select("band", "key", "id", "part", "own", F.inline(pair)).join(known, "id").select(*by, "id", "part", "own", "n", "regs", "t")
+
+    def joined(rows: pa.Table, shingles: Callable[[str | None], np.ndarray]) -> list[tuple[int, int]]:
+        band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
+        ids, parts, own, n = (np.asarray(rows.column(c)) for c in ("id", "part", "own", "n"))
+        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        bands = regs.view(np.uint64).reshape(len(ids), BANDS, -1)
+        open_: list[tuple[int, np.ndarray]] = []
+        for k in left:
+            other = right[(parts[right] != parts[k]) & ((ids[right] > ids[k]) if i == j else True)]
+            other = other[may_link(_equal(regs[k][None, :], regs[other]), np.full(len(other), n[k]), n[other], percent)] if len(other) else other
+            if len(other):
+                other = other[(bands[k][None] == bands[other]).all(-1).argmax(1) == band]
+            if len(other):
+                open_.append((k, other))
+        if not open_:
+            return []
+        used = np.unique(np.concatenate([np.r_[k, o] for k, o in open_]))
+        sets = {k: shingles(rows.column("t")[k].as_py()) for k in used.tolist()}
+        # Shingles numbered within the block: a set is marked once and met with all others by one gather and sum.
+        names, number = np.unique(np.concatenate([sets[k] for k in used.tolist()]), return_inverse=True)
+        sizes = np.array([len(sets[k]) for k in used.tolist()])
+        ends = np.cumsum(sizes)
+        spans = {k: (e - s, e) for k, s, e in zip(used.tolist(), sizes, ends, strict=True)}
+        mark, root, out = np.zeros(len(names), bool), {int(x): int(x) for x in np.unique(parts)}, []
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for k, other in open_:
+            a, b = spans[k]
+            mark[number[a:b]] = True
+            other = [o for o in other.tolist() if find(int(parts[o])) != find(int(parts[k]))]
+            if other:
+                at = np.concatenate([number[spans[o][0] : spans[o][1]] for o in other])
+                lengths = np.array([len(sets[o]) for o in other])
+                both = np.add.reduceat(mark[at].astype(np.int64), np.cumsum(lengths) - lengths)
+                for o in np.flatnonzero(100 * both >= percent * (len(sets[k]) + lengths - both)):
+                    x, y = find(int(parts[k])), find(int(parts[other[o]]))
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        out.append((int(ids[k]), int(ids[other[o]])))
+            mark[number[a:b]] = False
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = shingler(size)
+        with np.errstate(over="ignore"):
+            for table in groups(batches, by):
+                if found := joined(table, shingles):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+    return dealt(rows, *by).mapInArrow(run, "a long, b long").distinct()
+
+
+def _chosen(members: DataFrame, lead: str, part: DataFrame | None) -> DataFrame:
+    """a, b: each set with the leader of the buckets that it shares most often, of those in other components."""
+    votes = members.filter(F.col("id") != F.col(lead)).groupBy("id", F.col(lead).alias("l")).agg(F.count("*").alias("c"))
+    if part is not None:
+        of = lambda c, name: part.select(F.col("id").alias(c), F.col("component").alias(name))
+        votes = votes.join(of("id", "p"), "id", "left").join(of("l", "q"), "l", "left").filter(F.coalesce("p", "id") != F.coalesce("q", "l"))
+    best = votes.groupBy("id").agg(F.max(F.struct("c", (-F.col("l")).alias("m"))).alias("x"))
+    return best.select(F.col("id").alias("a"), (-F.col("x.m")).alias("b"))
+
+
+def _merged(part: DataFrame | None, links: DataFrame) -> DataFrame:
+    """id, component of the sets so far, after more links between them."""
+    if part is None:
+        return components(links).withColumnRenamed("node", "id")
+    of = lambda c: part.select(F.col("id").alias(c), F.col("component").alias(f"p{c}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
+    higher = components(between)
+    old = part.join(higher.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    fresh = higher.select(F.col("node").alias("id"), "component").join(part.select("id"), "id", "left_anti")
+    return cut(old.unionByName(fresh), "parts")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -236,31 +301,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     keys are taken as one document's; a row of a null key is on its own, component null, and kept. Other columns
     are left out; an empty table gives an empty table.
 
-    Equal sets become one first. Bands of eight registers choose candidates (a pair at the threshold of 85 per
-    cent meets in one with probability 0.99996). Each set is tried with the smallest of the buckets that
-    it shares most often; that joins most components. Then only pairs of a bucket that lie in different components are compared.
+    Equal sets become one first. Bands of eight registers choose candidates (a pair at a threshold of 85 per
+    cent meets in one with probability 0.99996, at 80 with 0.997). Each set is tried with a leader of the buckets that
+    it shares most often, twice; that joins most components. Then only the pairs of a bucket that still lie in different
+    components are compared, in blocks.
     """
     rows = cut(sketches(docs, size, key, text), "sketches")
     sets = rows.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("regs").alias("regs"))
     reps = cut(sets, "sets")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     bands = band_keys(reps)
-    shared = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    shared = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.min_by("id", F.xxhash64("id")).alias("lead2"), F.count("*").alias("size")).filter("size > 1")
     members = cut(bands.join(shared, ["band", "key"]), "members")
-    votes = members.filter("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("c"))
-    chosen = votes.groupBy("id").agg(F.max(F.struct("c", (-F.col("lead")).alias("l"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.l")).alias("b"))
-    links = cut(confirmed(cut(likely(chosen, reps, percent), "pairs"), texts, size, percent), "confirmed")
-    joined = components(links).withColumnRenamed("node", "id")
-    parted = members.join(joined, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("part"))
+    part = None
+    for lead in ("lead", "lead2"):
+        links = cut(confirmed(cut(likely(_chosen(members, lead, part), reps, percent), "pairs"), texts, size, percent), "confirmed")
+        part = _merged(part, links)
+    parted = members.join(part, "id", "left").select("band", "key", "id", F.coalesce("component", "id").alias("part"))
     open_keys = parted.groupBy("band", "key").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count("*").alias("size")).filter("p0 <> p1").select("band", "key", "size")
-    rest = cut(crossing(parted.join(open_keys, ["band", "key"]), reps, percent), "crossing")
-    more = cut(confirmed(rest, texts, size, percent), "confirmed")
-    # The second graph: components so far, and what joins them.
-    part_of = lambda c: joined.select(F.col("id").alias(c), F.col("component").alias(f"p{c}"))
-    between = more.join(part_of("a"), "a", "left").join(part_of("b"), "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
-    higher = components(between).select(F.col("node").alias("c"), F.col("component").alias("top"))
-    named = reps.select("n", "d1", "d2", "id").join(joined, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("c"))
-    named = named.join(higher, "c", "left").select("n", "d1", "d2", F.coalesce("top", "c").alias("component"))
+    rest = cut(parted.join(open_keys, ["band", "key"]), "open")
+    part = _merged(part, cut(crossing(rest, reps, texts, size, percent), "crossing"))
+    named = reps.select("n", "d1", "d2", "id").join(part, "id", "left").select("n", "d1", "d2", F.coalesce("component", "id").alias("component"))
     linked = rows.filter("n > 0 and id is not null").select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"]).select("id", "n", "component")
     alone = rows.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
     return linked.unionByName(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
