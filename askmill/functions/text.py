@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,15 +66,19 @@ def runs(sizes: np.ndarray, most: int, overlap: int) -> list[tuple[int, int]]:
     return out
 
 
-def chunks(most: int, overlap: int):
-    """A pandas UDF: a document's sentences -> its chunks. Tokens are counted by white space."""
+def words(sentence: str) -> int:
+    return len(sentence.split())
+
+
+def chunks(most: int, overlap: int, count_tokens: Callable[[str], int] = words):
+    """A pandas UDF: a document's sentences -> its chunks. ``count_tokens`` counts a sentence's tokens, by white space if not given."""
 
     @F.pandas_udf("array<string>")
     def pack(sentences: pd.Series) -> pd.Series:
         def one(xs) -> list[str]:
             if xs is None or len(xs) == 0:
                 return []
-            sizes = np.array([len(x.split()) for x in xs])
+            sizes = np.array([count_tokens(x) for x in xs])
             return [" ".join(xs[s:e]) for s, e in runs(sizes, most, overlap)]
 
         return sentences.map(one)
@@ -86,10 +92,10 @@ def sentences(text: Column | str) -> Column:
     return F.filter(found, lambda s: F.length(s) > 0)
 
 
-def chunk_documents(docs: DataFrame, most: int = 512, overlap: int = 1, text: str = "text") -> DataFrame:
+def chunk_documents(docs: DataFrame, most: int = 512, overlap: int = 1, text: str = "text", count_tokens: Callable[[str], int] = words) -> DataFrame:
     """The rows of ``docs`` without their text, one for each chunk: chunk_index, document, id.
 
     ``docs`` needs collection and file_path. The id is made of collection, path and chunk number.
     """
-    rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode(chunks(most, overlap)(sentences(text))).alias("chunk_index", "document"))
+    rows = docs.select(*[c for c in docs.columns if c != text], F.posexplode(chunks(most, overlap, count_tokens)(sentences(text))).alias("chunk_index", "document"))
     return rows.withColumn("id", F.md5(F.concat_ws("|", "collection", "file_path", F.col("chunk_index").cast("string"))))

@@ -158,6 +158,7 @@ def test_normalise(spark):
 def test_chunks(spark):
     df = spark.createDataFrame([("A b c. D e. F g h i. J.",)], "t string").select(sentences("t").alias("s"))
     assert df.select(chunks(6, 1)("s").alias("c")).first().c == ["A b c. D e.", "D e. F g h i.", "F g h i. J."]
+    assert df.select(chunks(6, 1, len)("s").alias("c")).first().c == ["A b c.", "D e.", "F g h i.", "J."]
     assert runs([3], 2, 1) == [(0, 1)]
     assert runs([], 2, 1) == []
 

@@ -64,3 +64,21 @@ def test_sessionize(spark, tmp_path):
 
 def test_entries_have_a_schema():
     assert "question_id" in SESSION_ENTRY.names
+
+
+def test_files_are_ingested_once(spark, tmp_path):
+    source, out, cp = (str(tmp_path / x) for x in ("files", "index", "cp"))
+    chunk = lambda df: df.select("id", F.upper("document").alias("document"))
+    for rows in ([("a", "x"), ("b", "y")], [("b", "z")], []):
+        if rows:
+            spark.createDataFrame(rows, "id string, document string").coalesce(1).write.mode("append").parquet(source)
+        sessions.ingest_stream(spark.readStream.schema("id string, document string").parquet(source), chunk, out, cp).awaitTermination()
+    assert {r.id: r.document for r in spark.read.parquet(f"{out}/version-{sessions.versions(spark, out)[-1]}").collect()} == {"a": "X", "b": "Z"}
+
+
+def test_questions_are_routed(spark, tmp_path):
+    schema, found = "collection string, query_id string, qvec array<double>", []
+    spark.createDataFrame([("c", "near", [1.0, 0.0]), ("c", "far", [0.0, 1.0])], schema).coalesce(1).write.parquet(str(tmp_path / "q"))
+    table = spark.createDataFrame([("c", "c1", [0.9, 0.1], 4.0)], "collection string, question_id string, dense array<double>, rating double")
+    sessions.route_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "q")), table, lambda df, n: found.extend(map(tuple, df.collect())), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(found) == [("far", "search", None), ("near", "cache", "c1")]
