@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from askmill.llm.common import cut, dealt, groups
 from askmill.llm.components import components
-from askmill.llm.tokens import SLICE, Pieces
+from askmill.llm.tokens import CACHE, SLICE, Pieces
 
 #: Buckets of a sketch; mantissa bits of a register; registers of a band.
 BUCKETS, MANTISSA, ROWS = 256, 10, 8
@@ -48,7 +48,7 @@ def shingler(size: int) -> Callable[[str | None], np.ndarray]:
     Words are runs without ASCII white space, A-Z in small letters. Fewer words than ``size`` make one shingle
     of them all; no words make none.
     """
-    cache = Pieces(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"))
+    cache = Pieces(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), CACHE // 2)
     odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(max(size, 64))], np.uint64)
 
     def shingles(text: str | None) -> np.ndarray:
