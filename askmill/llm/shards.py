@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from askmill.llm.common import cut, shared_dir
-from askmill.llm.tokens import crc, encoded, id_encoder, load
+from askmill.llm.tokens import SLICE, crc, encoded, id_encoder, load
 
 #: Ids after which a block is closed, and documents.
 BLOCK_IDS, BLOCK_DOCS = 400_000, 2_000
 
 # What a control byte says: the widths of its four ids, and where each starts.
-_WIDTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)[None, :] & 3) + 1
+_WIDTHS = ((np.arange(256)[:, None] >> np.arange(0, 8, 2)[None, :] & 3) + 1).astype(np.uint8)
 _TOTAL = _WIDTHS.sum(axis=1)
 _PLACE = np.cumsum(_WIDTHS, axis=1) - _WIDTHS
-_MASK = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
+_MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def pack_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -52,13 +52,9 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     starts = np.cumsum(_TOTAL[c]) - _TOTAL[c]
     at = (starts[:, None] + _PLACE[c]).ravel()[:n]
     width = _WIDTHS[c].ravel()[:n]
-    raw = np.frombuffer(data + b"\0\0\0\0", np.uint8)
-    four = raw[at].astype(np.uint32)
-    for k in (1, 2, 3):
-        if not (more := width > k).any():
-            break
-        four[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
-    return four & _MASK[width - 1]
+    # Four bytes from each start, wherever it lies; what isn't the id's own is masked away.
+    four = np.ndarray((len(data) + 1,), "<u4", data + b"\0\0\0\0", strides=(1,))
+    return four[at] & _MASK[width]
 
 
 def encode_all(docs: DataFrame, path: str, end_id: int, width: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -81,13 +77,11 @@ def id_counts(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids in batch.column(0):
-                n = np.bincount(np.frombuffer(ids.as_py(), f"<u{width}"), minlength=len(total))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total += n
+            for k in range(0, batch.num_rows, SLICE):
+                ids = b"".join(batch.column(0).slice(k, SLICE).to_pylist())
+                n = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
+                n[: len(total)] += total
+                total = n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["id", "n"])
 

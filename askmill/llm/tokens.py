@@ -178,7 +178,11 @@ def id_encoder(path: str) -> Callable[[str], bytes]:
 
     def make(piece: str) -> bytes:
         if plain := _PLAIN.fullmatch(piece):
-            ids = [x.id for part in plain.groups() if part for x in merge("".join([letter[b] for b in part.lower().encode()]))]
+            word, marks = plain[1].lower(), plain[2]
+            # Printable ASCII stands for itself.
+            ids = [x.id for x in merge(word if word.isascii() else "".join([letter[b] for b in word.encode()]))]
+            if marks:
+                ids += [x.id for x in merge(marks)]
         else:
             ids = t.encode(piece, add_special_tokens=False).ids if piece else []
         return struct.pack(f"<{len(ids)}I", *ids)
