@@ -1,10 +1,10 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-The pages of a host share a template. Its tokens, here the page's containers with their place in the nesting, are told
-from content by their occurrence vectors: how often a token occurs in each page. Tokens of equal vectors form
-an equivalence class; a class is valid if it occurs in enough of the host's pages, as often in each as its
-tokens nest. The valid classes that occur once a page make the template, nested by their paths; what varies
-between its tokens are the slots, and the slot that holds the article is extracted.
+The pages of a host share a template. Its tokens, here the page's containers with their place in the nesting and the
+texts of containers, are told from content by their occurrence vectors: in which pages a token occurs. Texts of equal
+vectors form an equivalence class; a class that occurs in enough of the host's pages is template, unless it holds
+the text of the slot itself: then its pages are copies of one article. Containers that occur once a page and hold nearly all text
+that is not template are slots; the article is what the best slot holds without the template's texts.
 """
 
 from __future__ import annotations
@@ -22,9 +22,11 @@ from askmill.llm.common import cut
 
 #: A class is valid if it occurs in this share of its host's pages, and in so many pages.
 SHARE, PAGES = 0.5, 3
-#: A slot without a telling name is taken if it holds this share of its parent's text.
-INNER = 0.6
-#: Hosts whose slots each executor may be sent (some 100 bytes each); more are joined by shuffle.
+#: A slot holds this share of the text that is not template, over its host's pages or in a page read alone.
+NEARLY = 0.9
+#: A page whose slot holds less than this share of its text is read alone; a container with more is not rejected by its name.
+MINOR = 0.5
+#: Hosts whose slots each executor may be sent (some kilobyte each); more are joined by shuffle.
 MOST_HOSTS = 200_000
 
 # HTML's elements by what they do, and the names by which pages mark what isn't article.
@@ -42,6 +44,8 @@ NAMES = {
     "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "responses", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "toolbar", "topbar", "widget",
 }
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
+# What belongs to the container around it: its text alone is never template.
+PARTS = {"p", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dt", "dd", "option", "figcaption", "legend", "hgroup"}
 CONTENT = {"article", "content", "entry", "main", "post", "story"}
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -50,30 +54,50 @@ _WORD = re.compile(r"[a-zA-Z]+")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A container's token, whether it is no part of an article, and whether it is named as one."""
+def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """A container's token, whether it is no part of an article, whether its name says so, and whether it is named as one."""
     if not attributes.strip():
-        return tag, tag in NOT_ARTICLE, tag in ("article", "main")
+        return tag, tag in NOT_ARTICLE and tag != "form", tag == "form", tag in ("article", "main")
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = {w.lower() for k in ("class", "id") for w in _WORD.findall(found.get(k, ""))}
-    away = tag in NOT_ARTICLE or bool(names & NAMES) and tag not in ("body", "html") or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(found.get("style", "")))
+    away = tag in NOT_ARTICLE and tag != "form" or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(found.get("style", "")))
+    says = tag == "form" or bool(names & NAMES) and tag not in ("body", "html") or found.get("role", "").lower() in ROLES
     token = tag + "".join(f".{x}" for x in sorted(names))
-    return token, away, tag in ("article", "main") or found.get("role", "").lower() == "main" or bool(names & CONTENT)
+    return token, away, says, tag in ("article", "main") or found.get("role", "").lower() == "main" or bool(names & CONTENT) and tag not in ("body", "html")
 
 
 class Block:
-    __slots__ = ("path", "away", "text", "link")
+    __slots__ = ("path", "away", "text", "chars", "inside")
 
-    def __init__(self, path: tuple[str, ...], away: bool, text: str, link: int):
-        self.path, self.away, self.text, self.link = path, away, text, link
+    def __init__(self, path: tuple[str, ...], away: bool, text: str, link: int, inside: tuple[int, ...]):
+        self.path, self.away, self.text, self.chars, self.inside = path, away, text, len(text) - min(link, len(text)), inside
+
+
+def _rejected(found: list[Block], says: set[int], named: dict[int, tuple[int, ...]]) -> set[int]:
+    """Of the containers that ``says`` holds, those that their names reject: all but one with most of the page's text, and no named article beside it."""
+    size: dict[int, int] = {}
+    for b in found:
+        if not b.away:
+            for n in b.inside:
+                size[n] = size.get(n, 0) + b.chars
+    most = MINOR * sum(b.chars for b in found if not b.away)
+    large = {n for n in says if size.get(n, 0) > most}
+    if not large:
+        return says
+    holding = {n: {b.inside for b in found if n in b.inside} for n in large}
+    beside = [(n, around) for n, around in named.items() if size.get(n, 0) and not says & {*around, n}]
+    return says - {n for n in large if not any(m not in x and n not in (*around, m) for m, around in beside for x in list(holding[n])[:1])}
 
 
 def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int], set[tuple[str, ...]]]:
     """A page's text blocks in order, each with the path of containers around it; how often each path opens; and the paths named as an article."""
     out: list[Block] = []
     opened: dict[tuple[str, ...], int] = {}
-    named: set[tuple[str, ...]] = set()
-    stack: list[tuple[str, tuple[str, ...], bool]] = [("", (), False)]
+    named: dict[int, tuple[int, ...]] = {}
+    paths: dict[int, tuple[str, ...]] = {}
+    says: set[int] = set()
+    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = [("", (), False, ())]
+    serial = 0
     parts: list[str] = []
     links = link_depth = at = 0
 
@@ -82,7 +106,7 @@ def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int], set[tupl
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(stack[-1][1], stack[-1][2], text, links))
+                out.append(Block(stack[-1][1], stack[-1][2], text, links, stack[-1][3]))
             parts.clear()
         links = 0
 
@@ -122,16 +146,55 @@ def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int], set[tupl
             # An open paragraph ends at any block, a list item or cell at the next of its kind.
             if stack[-1][0] == one and (one == "p" or tag in until and tag not in ("ul", "ol", "table", "dl")):
                 stack.pop()
-        token, away, article = _marks(tag, m[3])
+        token, away, by_name, article = _marks(tag, m[3])
         path = (*stack[-1][1], token)
         inside = any(x[0] == "article" for x in stack)
         away = stack[-1][2] or away or tag == "header" and not inside
-        stack.append((tag, path, away))
-        opened[path] = opened.get(path, 0) + 1
+        serial += 1
+        if by_name:
+            says.add(serial)
         if article and not away:
-            named.add(path)
+            named[serial], paths[serial] = stack[-1][3], path
+        stack.append((tag, path, away, (*stack[-1][3], serial)))
+        opened[path] = opened.get(path, 0) + 1
     close()
-    return out, opened, named
+    if says:
+        says = _rejected(out, says, named)
+        for b in out:
+            b.away = b.away or not says.isdisjoint(b.inside)
+    return out, opened, {paths[n] for n, around in named.items() if says.isdisjoint((*around, n))}
+
+
+def _mark(path: tuple[str, ...], text: int) -> int:
+    mark = xxhash.xxh64_intdigest(f"{'/'.join(path)} {text}")
+    return mark - 2**64 if mark >= 2**63 else mark
+
+
+def texts(found: list[Block]) -> tuple[dict[int, tuple[tuple[str, ...], int]], list[dict[int, int]]]:
+    """The texts of a page's containers by their mark (path, characters in the page), and per block the marks that hold it, each with its path's length.
+
+    A container's text is all that it holds, and what it holds directly; parts of a text, as paragraphs, have none of their own.
+    """
+    whole: dict[int, list] = {}
+    own: list[int | None] = []
+    for b in found:
+        text = xxhash.xxh64_intdigest(b.text)
+        direct = bool(b.path) and b.path[-1].split(".")[0] not in PARTS
+        own.append(_mark((*b.path, "#"), text) if direct else None)
+        if not b.away:
+            for k, n in enumerate(b.inside):
+                w = whole.setdefault(n, [b.path[: k + 1], 0, 0])
+                w[1] = (w[1] * 1_000_003 + text) % 2**64
+                w[2] += b.chars
+    marks = {n: _mark(path, text) for n, (path, text, _) in whole.items() if path[-1].split(".")[0] not in PARTS}
+    out: dict[int, tuple[tuple[str, ...], int]] = {}
+    for n, mark in marks.items():
+        out[mark] = (whole[n][0], whole[n][2] + (out[mark][1] if mark in out else 0))
+    for b, mark in zip(found, own, strict=True):
+        if mark is not None and not b.away:
+            out[mark] = ((*b.path, "#"), b.chars + (out[mark][1] if mark in out else 0))
+    holding = [{marks[n]: k + 1 for k, n in enumerate(b.inside) if n in marks} | ({mark: len(b.path) + 1} if mark is not None else {}) for b, mark in zip(found, own, strict=True)]
+    return out, holding
 
 
 def _host(url: str | None) -> str | None:
@@ -140,80 +203,116 @@ def _host(url: str | None) -> str | None:
 
 
 def tokens(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
-    """host, path, pages, vector, count, chars, same: sums over a host's pages for each container path.
+    """host, path, text, pages, vector, count, chars, named: sums over a host's pages for each container path (text 0) and each text of a container.
 
-    vector: the sum of a page's hash times the path's occurrences there, modulo 2^64, so that equal occurrence vectors have
+    vector: the sum of the hashes of the pages it occurs in, modulo 2^64, so that equal occurrence vectors have
     equal sums; each task adds up its own pages before anything is shuffled. The empty path stands for the
-    page. chars: the article text below the path; same: the smallest and largest hash of it.
+    page. chars: the article text below the path; named: whether a page names it as an article.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], list] = {}
+            sums: dict[tuple[str, str, int], list] = {}
             for k in range(batch.num_rows):
                 host, page = _host(batch.column(1)[k].as_py()), batch.column(2)[k].as_py()
                 if host is None or not page:
                     continue
                 mark = xxhash.xxh64_intdigest(f"{batch.column(0)[k].as_py()}")
                 found, opened, named = blocks(page)
-                below: dict[tuple[str, ...], list[str]] = {(): []}
                 chars: dict[tuple[str, ...], int] = {}
                 for b in found:
                     if not b.away:
                         for n in range(len(b.path) + 1):
-                            chars[b.path[:n]] = chars.get(b.path[:n], 0) + len(b.text) - 2 * min(b.link, len(b.text))
-                for path, n in [((), 1), *opened.items()]:
-                    if path and path[-1] in ("p", "li", "br"):
-                        continue
-                    s = sums.setdefault((host, "/".join(path)), [0, 0, 0, 0, False])
+                            chars[b.path[:n]] = chars.get(b.path[:n], 0) + b.chars
+                containers = [(path, 0, n, chars.get(path, 0)) for path, n in [((), 1), *opened.items()] if not path or path[-1].split(".")[0] not in PARTS]
+                for path, text, n, size in containers + [(path, m, 1, size) for m, (path, size) in texts(found)[0].items()]:
+                    s = sums.setdefault((host, "/".join(path), text), [0, 0, 0, 0, False])
                     s[0] += 1
-                    s[1] = (s[1] + mark * n) % 2**64
+                    s[1] = (s[1] + mark) % 2**64
                     s[2] += n
-                    s[3] += chars.get(path, 0)
+                    s[3] += size
                     s[4] |= path in named
-            rows = [(h, p, a, v - 2**64 if v >= 2**63 else v, c, x, y) for (h, p), (a, v, c, x, y) in sums.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "pages", "vector", "count", "chars", "named"])
+            rows = [(h, p, t, a, v - 2**64 if v >= 2**63 else v, c, x, y) for (h, p, t), (a, v, c, x, y) in sums.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
+            types = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "text", "pages", "vector", "count", "chars", "named"])
 
-    rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(text).alias("t")).mapInArrow(run, "host string, path string, pages long, vector long, count long, chars long, named boolean")
+    rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(text).alias("t")).mapInArrow(run, "host string, path string, text long, pages long, vector long, count long, chars long, named boolean")
     # Vectors are sums modulo 2^64: exact in decimals, brought back to one value of each residue.
     residue = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(str(2**64)).cast("decimal(38,0)"))
-    return rows.groupBy("host", "path").agg(F.sum("pages").alias("pages"), residue.alias("vector"), F.sum("count").alias("count"), F.sum("chars").alias("chars"), F.max("named").alias("named"))
+    return rows.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), residue.alias("vector"), F.sum("count").alias("count"), F.sum("chars").alias("chars"), F.max("named").alias("named"))
+
+
+def best_slot(paths: dict[tuple[str, ...], int], named: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """Of the paths (with their text) the slot: the outermost named one, or else the innermost around the largest named one, or of all, that holds nearly all."""
+    whole = NEARLY * paths[()]
+    holds = {p for p, n in paths.items() if n >= whole} | {()}
+    if articles := holds & named:
+        return min(articles, key=lambda p: (len(p), -paths[p], p))
+    largest = max((p for p in named if p in paths), key=lambda p: (paths[p], p), default=None)
+    around = {p for p in holds if largest is None or largest[: len(p)] == p}
+    return max(around, key=lambda p: (len(p), paths.get(p, 0), p))
+
+
+def deduce(tokens: list[tuple[tuple[str, ...], int, int, int, bool]]) -> tuple[tuple[str, ...], set[int]]:
+    """A host's slot and the marks of its template's texts, from what is in enough of its pages: path, text, vector, chars, named.
+
+    Texts of equal vectors are a class. A class that holds the text of the slot, or of what is around it, has copies of one page.
+    """
+    paths = {path: chars for path, text, _, chars, _ in tokens if not text}
+    named = {path for path, text, _, _, says in tokens if not text and says}
+    template: set[int] = set()
+    slot = best_slot(paths, named)
+    for _ in range(2):
+        around = {slot[:k] for k in range(len(slot) + 1)}
+        copies = {vector for path, text, vector, _, _ in tokens if text and (path in around or path[-1].split(".")[0] in ("html", "body"))}
+        found = {path: 0 for path, text, vector, _, _ in tokens if text and vector not in copies}
+        template = {text for _, text, vector, _, _ in tokens if text and vector not in copies}
+        outer = [(path, chars) for path, text, _, chars, _ in tokens if text in template and not any(path[:k] in found for k in range(len(path)))]
+        slot = best_slot({p: n - sum(c for path, c in outer if path[: len(p)] == p) for p, n in paths.items()}, named)
+    return slot, template
 
 
 def slots(found: DataFrame) -> DataFrame:
-    """host, slot: the path of the slot that holds the articles, for hosts whose pages show a template.
+    """host, slot, template: the path of the slot that holds the articles and the marks of texts that are template, for hosts of enough pages.
 
-    Classes are the paths of a host with equal vectors; those that occur in enough pages, once in each, nest by
-    their paths. Named slots (article, main, content) come first, the outermost of the innermost kind; else the deepest
-    slot that still holds most of its page's text.
+    What is in less than half of a host's pages goes first, so a host's row holds some hundred tokens, however many its pages.
     """
-    whole = found.filter("path = ''").select(F.col("host").alias("h"), F.col("pages").alias("of"), F.col("chars").alias("all"))
-    classes = found.groupBy("host", "vector", "pages", "count").agg(F.collect_list(F.struct("path", "chars", "named")).alias("members"))
-    rows = classes.join(whole, F.col("host") == F.col("h")).filter((F.col("pages") >= PAGES) & (F.col("pages") >= SHARE * F.col("of")) & (F.col("pages") == F.col("count")))
-    rows = rows.select("host", "of", "all", F.inline("members")).filter("path <> ''")
-    depth = F.size(F.split("path", "/"))
-    article = F.col("named") & (F.regexp_extract("path", r"([^/.]*)[^/]*$", 1) == "article")
-    rank = F.when(article, 3).when(F.col("named"), 2).when(F.col("chars") >= INNER * F.col("all"), 1).otherwise(0)
-    rows = rows.filter(F.col("chars") > 0.2 * F.col("all")).withColumn("rank", rank).filter("rank > 0")
-    best = F.max_by("path", F.struct(F.col("rank"), F.when(F.col("rank") == 3, -depth).otherwise(depth), F.col("chars"), F.col("path")))
-    return rows.groupBy("host").agg(best.alias("slot"))
-
-
-def main_text(page: str | None, slot: str | None) -> str:
-    """The article's blocks joined by spaces: those in the host's slot, or, in a page without it, in what is named or looks like one."""
+    whole = found.filter("path = ''").select(F.col("host").alias("h"), F.col("pages").alias("of"))
+    rows = found.filter(F.col("pages") >= PAGES).join(whole, F.col("host") == F.col("h")).filter((F.col("pages") >= SHARE * F.col("of")) & ((F.col("text") != 0) | (F.col("pages") == F.col("count"))))
+    hosts = rows.groupBy("host").agg(F.collect_list(F.struct("path", "text", "vector", "chars", "named")).alias("tokens"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for given in batch.column(1).to_pylist():
+                given.sort(key=lambda x: (x["path"], x["text"]))
+                slot, template = deduce([(tuple(x["path"].split("/")) if x["path"] else (), x["text"], int(x["vector"]), x["chars"], x["named"]) for x in given])
+                out.append(("/".join(slot), sorted(template)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["host", "slot", "template"])
+
+    return hosts.mapInArrow(run, "host string, slot string, template array<long>")
+
+
+def main_text(page: str | None, slot: str | None, template: list[int] | None = None) -> str:
+    """The article's blocks joined by spaces: those in the host's slot, without its template; a page without the slot, or with most of its text elsewhere, is read alone."""
     if not page:
         return ""
     found, opened, named = blocks(page)
-    wanted = None
-    if slot is not None and tuple(slot.split("/")) in opened:
-        wanted = {tuple(slot.split("/"))}
-    elif named:
-        articles = {p for p in named if p[-1].split(".")[0] == "article"}
-        wanted = articles or {max(named, key=len)}
-    texts = [b.text for b in found if not b.away and (wanted is None or any(b.path[: len(w)] == w for w in wanted))]
-    return " ".join(texts)
+    known = set(template or ())
+    holding = texts(found)[1] if known else [{}] * len(found)
+    # The slot itself and what is around it are no template; neither is a page that would have no text left.
+    path = tuple(slot.split("/")) if slot else ()
+    kept = [b for b, marks in zip(found, holding, strict=True) if not b.away and not any(n > (len(path) if b.path[: len(path)] == path else 0) and m in known for m, n in marks.items())]
+    kept = kept or [b for b in found if not b.away]
+    sums: dict[tuple[str, ...], int] = {(): 0} | {p: 0 for p in opened if p[-1].split(".")[0] not in PARTS}
+    for b in kept:
+        for k in range(len(b.path) + 1):
+            if b.path[:k] in sums:
+                sums[b.path[:k]] += b.chars
+    if slot is None or path not in sums or sums[path] < MINOR * sums[()]:
+        path = best_slot(sums, named)
+    return " ".join(b.text for b in kept if b.path[: len(path)] == path)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
@@ -228,12 +327,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str
     few = found.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS
     host = F.lower(F.regexp_extract(F.col(url), r"^\s*[a-zA-Z][\w+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(text).alias("t"), host.alias("host"))
-    joined = rows.join(F.broadcast(found) if few else found, "host", "left").select("k", "u", "t", "slot")
+    joined = rows.join(F.broadcast(found) if few else found, "host", "left").select("k", "u", "t", "slot", "template")
     kind = rows.schema["k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(batch.column(2)[k].as_py(), batch.column(3)[k].as_py()) for k in range(batch.num_rows)]
+            texts = [main_text(batch.column(2)[k].as_py(), batch.column(3)[k].as_py(), batch.column(4)[k].as_py()) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["k", "u", "text", "n_chars"])
 
     return joined.mapInArrow(run, f"k {kind}, u string, text string, n_chars long").select(F.col("k").alias(key), F.col("u").alias(url), "text", "n_chars")

@@ -223,6 +223,28 @@ def test_extraction(spark, tag):
     assert template.extract(df.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(k, f"http://{host}/{k}", page) for k, (host, page) in enumerate(pages)]
+    return [r.text for r in sorted(template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect(), key=lambda r: r.page_id)]
+
+
+def prose(k, n=60):
+    return " ".join(random.Random(k).choices(["stone", "river", "walks", "under", "light", "green", "seven", "makes"], k=n))
+
+
+def test_repeated_containers_are_template(spark):
+    around = "<div class=xq><ul><li>Home<li>About us</ul></div>"
+    inside = "<div class=zz><p>Read our terms before you go on</p></div>"
+    named = [("a.example", f"<html><body>{around}<article><h1>T{k}</h1><p>{prose(k)}</p>{inside}</article>Made by us</body></html>") for k in range(8)]
+    plain = [("b.example", f"<html><body>{around}<p>{prose(k)}</p>{inside}<p>{prose(k + 50)}</p>Made by us</body></html>") for k in range(8)]
+    # Most pages are copies of one article: its parts recur with the whole, so they are no template.
+    copies = [("c.example", f"<html><body>{around}<article><div class=part><p>{prose(99 if k < 6 else k)}</p></div><p>{prose(98 if k < 6 else k + 9)}</p></article></body></html>") for k in range(9)]
+    got = extracted(spark, named + plain + copies)
+    assert got[:8] == [f"T{k} {prose(k)}" for k in range(8)]
+    assert got[8:16] == [f"{prose(k)} {prose(k + 50)}" for k in range(8)]
+    assert got[16:] == [f"{prose(99 if k < 6 else k)} {prose(98 if k < 6 else k + 9)}" for k in range(9)]
+
+
 def test_extraction_of_given_pages(spark):
     import html
 
