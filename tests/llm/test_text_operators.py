@@ -256,6 +256,29 @@ def test_extraction_of_given_pages(spark):
         assert r.text == " ".join(html.unescape(want).split())
 
 
+def test_slots_hold_nearly_all_text(spark):
+    def quote(k):
+        return f"<html><body><main><div class=entry-content><p>{prose(k)}</p><div class=w><div class=post-quote>{prose(k + 100, 20)}</div></div></div></main></body></html>"
+
+    def halves(k):
+        return f"<html><body><div class=one><p>{prose(k, 65)}</p></div><div class=two><p>{prose(k + 100, 35)}</p></div></body></html>"
+
+    def meta(k):
+        return f"<html><body><div id=content><p>{prose(k)}</p><div class=post-meta>by me {k}</div></div></body></html>"
+
+    def layout(k):
+        return f"<html><body><div class='layout share'><p>{prose(k)}</p></div><div class=share>Tell {k}</div></body></html>"
+
+    pages = [(h, f(k)) for h, f in (("q.example", quote), ("h.example", halves)) for k in range(4)] + [("h.example", "<html><body><div class=one>x</div><div class=other><p>" + prose(7) + "</p></div></body></html>")]
+    pages += [("m.example", meta(0)), ("l.example", layout(0))] + [("s.example", layout(k)) for k in range(4)]
+    got = extracted(spark, pages)
+    assert got[:4] == [f"{prose(k)} {prose(k + 100, 20)}" for k in range(4)]
+    assert got[4:8] == [f"{prose(k, 65)} {prose(k + 100, 35)}" for k in range(4)]
+    assert prose(7) in got[8]
+    assert got[9] == f"{prose(0)} by me 0"
+    assert got[10:] == [prose(0)] + [prose(k) for k in range(4)]
+
+
 def brute_repair(roles):
     follows = {"S": "su", "s": "u", "u": "a", "a": "u"}
     best = {"S": 0.0}
