@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from askmill.llm.common import WORD, cut
 
-#: Common words of a language's reference, and how long they may be: the frequent words of a language are short.
-COMMON, COMMON_CHARS = 12, 4
-#: The largest distances of a document that is kept.
-MOST_CLASSES, MOST_WORDS = 0.285, 0.43
+#: Common words of a language's reference: its most frequent ones that hold a letter.
+COMMON = 30
+#: The largest distance of a document's classes, if it is kept.
+MOST_CLASSES = 0.285
+#: The same for common words, as a share of the distance of a text that has none: at most the first, and the second and the third over the
+#: square root of the words, as chance moves the shares of a short text further.
+MOST_WORDS = (0.95, 0.6, 2.5)
 #: The fewest characters (for classes) and words (for common words) of a document that is judged.
-LEAST_CHARS, LEAST_WORDS = 300, 50
+LEAST_CHARS, LEAST_WORDS = 100, 50
 #: Words of a window that counts as repeated, and the base rules' limits.
 SPAN, FEWEST_WORDS, MOST_REPEATED = 5, 10, 20
 
@@ -68,9 +71,8 @@ def _features(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
 
 
 def common_text(words: Column) -> Column:
-    """The short words in small letters, each between two spaces of its own, so that counting one is taking it away."""
-    short = F.transform(F.filter(words, lambda w: F.length(w) <= COMMON_CHARS), lambda w: F.lower(w))
-    return F.concat(F.lit(" "), F.array_join(short, "  "), F.lit(" "))
+    """The words in small letters, each between two spaces of its own, so that counting one is taking it away."""
+    return F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
 
 
 def with_repeated_words(rows: DataFrame, spans: str, out: str) -> DataFrame:
@@ -93,10 +95,10 @@ def _but_first(x: str) -> Column:
 
 
 def references(features: DataFrame, common: int = COMMON) -> DataFrame:
-    """lang, ref_classes array<double>, ref_words array<string>, ref_shares array<double>: one row per language; documents of null language share one.
+    """lang, ref_classes array<double>, ref_words array<string>, ref_shares array<double>, ref_none double (the distance of a text without common words): one row per language; documents of null language share one.
 
     Shares of words are of all words. ``features`` are those of all documents. Each task sums its own counts
-    first; then only a language's distinct short words are shuffled, with its totals under names that hold a space.
+    first; then only a language's distinct words are shuffled, with its totals under names that hold a space.
     """
     one = F.transform(F.filter(F.split(F.col("common"), " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), F.lit(1).cast("long").alias("c")))
     totals = [F.struct(F.lit(f" {c}").alias("w"), F.col("classes")[k].alias("c")) for k, c in enumerate(CLASSES)] + [F.struct(F.lit(" n").alias("w"), F.col("n_words").alias("c"))]
@@ -104,16 +106,21 @@ def references(features: DataFrame, common: int = COMMON) -> DataFrame:
     total = lambda c: F.sum(F.when(F.col("w") == f" {c}", F.col("c")))
     totals = sums.filter(F.col("w").startswith(" ")).groupBy("lang").agg(total("n").alias("n"), *[total(c).alias(c) for c in CLASSES])
     first = Window.partitionBy("lang").orderBy(F.desc("c"), "w")
-    top = sums.filter(~F.col("w").startswith(" ")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= common)
+    top = sums.filter(~F.col("w").startswith(" ") & F.col("w").rlike(r"\p{L}")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= common)
     lists = top.groupBy(F.col("lang").alias("l")).agg(F.sort_array(F.collect_list(F.struct("r", "w", "c"))).alias("top"))
     whole = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
     joined = totals.join(lists, F.col("lang").eqNullSafe(F.col("l")), "left")
-    return joined.select(
+    shares = joined.select(
         "lang",
         F.array(*[F.col(c) / F.greatest(F.lit(1), whole) for c in CLASSES]).alias("ref_classes"),
         F.coalesce(F.col("top.w"), F.expr("cast(array() as array<string>)")).alias("ref_words"),
         F.transform(F.coalesce(F.col("top.c"), F.expr("cast(array() as array<bigint>)")), lambda c: c / F.greatest(F.lit(1), F.col("n"))).alias("ref_shares"),
     )
+    return shares.withColumn("ref_none", js_distance(_with_rest(F.transform("ref_shares", lambda c: F.lit(0.0))), _with_rest(F.col("ref_shares"))))
+
+
+def _with_rest(x: Column) -> Column:
+    return F.array_append(x, F.greatest(F.lit(0.0), 1 - F.aggregate(x, F.lit(0.0), lambda s, y: s + y)))
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -142,18 +149,19 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     rows = rows.withColumn("found", F.transform("ref_words", count))
     n, chars = F.greatest(F.lit(1), F.col("n_words")), F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
     rows = rows.withColumn("chars", chars).withColumn("shares", F.transform("found", lambda c: c / n))
-    rest = lambda x: F.array_append(x, F.greatest(F.lit(0.0), 1 - F.aggregate(x, F.lit(0.0), lambda s, y: s + y)))
     class_shares = F.transform("classes", lambda c: c / F.greatest(F.lit(1), F.col("chars")))
     rows = rows.withColumns(
         {
             "class_distance": F.when(F.col("chars") >= LEAST_CHARS, js_distance(class_shares, F.col("ref_classes"))).otherwise(0.0),
-            "word_distance": F.when(F.col("n_words") >= LEAST_WORDS, js_distance(rest(F.col("shares")), rest(F.col("ref_shares")))).otherwise(0.0),
+            "word_distance": F.when(F.col("n_words") >= LEAST_WORDS, js_distance(_with_rest(F.col("shares")), _with_rest(F.col("ref_shares")))).otherwise(0.0),
         }
     )
     base = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     white = F.col("classes")[CLASSES.index("white")]
     rows = rows.withColumn("base_failed", base)
-    kept = ~F.col("base_failed") & (F.col("class_distance") <= MOST_CLASSES) & (F.col("word_distance") <= MOST_WORDS)
+    most, least, chance = map(F.lit, MOST_WORDS)
+    near = F.col("word_distance") <= F.col("ref_none") * F.least(most, least + chance / F.sqrt(n))
+    kept = ~F.col("base_failed") & (F.col("class_distance") <= MOST_CLASSES) & near
     return rows.select(
         F.col("k").alias(key), "n_words", (F.col("chars") - white).cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept")
     )

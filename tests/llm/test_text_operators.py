@@ -138,6 +138,22 @@ def test_quality_verdicts(spark):
     assert sum(good) >= 0.99 * len(good) and sum(bad) <= 0.2 * len(bad)
 
 
+def test_quality_needs_common_words(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    common, rare = ["the", "of", "and", "however", "|"], [word() for _ in range(4000)]
+    text = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n))
+    good = [(k, text(120 + k, 0.4), "en") for k in range(80)]
+    salad = [(100 + k, text(n, 0.0), "en") for k, n in enumerate((60, 120, 600))]
+    riddled = [(110, " ".join(f"{w[:3]}$%&#*" for w in rng.sample(rare, 20)), "en")]
+    rows = {r.doc_id: r for r in quality.judge(spark.createDataFrame(good + salad + riddled, "doc_id long, text string, lang string")).collect()}
+    assert not any(r.base_failed for r in rows.values())
+    assert {i for i, r in rows.items() if r.kept} == {i for i, _, _ in good}
+    features = quality._features(spark.createDataFrame(good, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    words = quality.references(features).first().ref_words
+    assert "however" in words and "|" not in words
+
+
 def test_js_distance(spark):
     row = spark.range(1).select(quality.js_distance(F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(1.0))).alias("far"), quality.js_distance(F.array(F.lit(0.5), F.lit(0.5)), F.array(F.lit(0.5), F.lit(0.5))).alias("near")).first()
     assert row.far == pytest.approx(1.0) and row.near == pytest.approx(0.0)
