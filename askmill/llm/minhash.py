@@ -16,9 +16,10 @@ from askmill.llm.common import cut, dealt, groups
 from askmill.llm.components import components
 from askmill.llm.tokens import CACHE, SLICE, Pieces
 
-#: Buckets of a sketch; mantissa bits of a register; registers of a band.
-BUCKETS, MANTISSA, ROWS = 256, 10, 8
-BANDS = BUCKETS // ROWS
+#: Buckets of a sketch; mantissa bits of a register.
+BUCKETS, MANTISSA = 256, 10
+#: The largest probability with which a pair at the threshold meets in no band.
+MISSED = 1e-4
 #: Standard errors by which an estimate may fall short of the threshold before a pair is dropped unconfirmed.
 SLACK = 5.0
 #: Rows of a block in which the members of a band's bucket are compared with another block's.
@@ -41,6 +42,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def missed(percent: int, rows: int) -> float:
+    """The probability with which a pair of this similarity meets in no band of so many registers."""
+    return (1 - (percent / 100) ** rows) ** (BUCKETS // rows)
+
+
+def band_rows(percent: int) -> int:
+    """Registers of a band: as many as the threshold allows, 8 at 85 per cent and 6 at 80."""
+    return max((r for r in range(1, 17) if missed(percent, r) <= MISSED), default=1)
+
+
 @functools.cache
 def shingler(size: int) -> Callable[[str | None], np.ndarray]:
     """Gives a text's set of shingles as sorted distinct 64-bit hashes.
@@ -142,9 +153,9 @@ def sketches(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary")
 
 
-def band_keys(reps: DataFrame) -> DataFrame:
-    """A row for each band of each set: band, key, and the set's columns but its registers. Equal bands have equal keys."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("regs"), b * 2 * ROWS + 1, F.lit(2 * ROWS))).alias("key")))
+def band_keys(reps: DataFrame, n: int) -> DataFrame:
+    """A row for each band of ``n`` registers of each set: band, key, and the set's columns but its registers. Equal bands have equal keys."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // n - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substring(F.col("regs"), b * 2 * n + 1, F.lit(2 * n))).alias("key")))
     return reps.select("id", F.inline(bands))
 
 
@@ -211,7 +222,7 @@ def crossing(members: DataFrame, reps: DataFrame, docs: DataFrame, size: int, pe
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
     texts = texts_of(members.select("id"), docs)
     known = reps.select("id", "n", "regs").join(texts, "id")
-    by = ["band", "key", "i", "j"]
+    by, per = ["band", "key", "i", "j"], band_rows(percent)
     rows = rows.select("band", "key", "id", "part", "own", F.inline(pair)).join(known, "id").select(*by, "id", "part", "own", "n", "regs", "t")
 
     def joined(rows: pa.Table, shingles: Callable[[str | None], np.ndarray]) -> list[tuple[int, int]]:
@@ -219,7 +230,7 @@ def crossing(members: DataFrame, reps: DataFrame, docs: DataFrame, size: int, pe
         ids, parts, own, n = (np.asarray(rows.column(c)) for c in ("id", "part", "own", "n"))
         regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        bands = regs.view(np.uint64).reshape(len(ids), BANDS, -1)
+        bands = regs[:, : BUCKETS // per * per].reshape(len(ids), -1, per)
         open_: list[tuple[int, np.ndarray]] = []
         for k in left:
             other = right[(parts[right] != parts[k]) & ((ids[right] > ids[k]) if i == j else True)]
@@ -301,8 +312,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     keys are taken as one document's; a row of a null key is on its own, component null, and kept. Other columns
     are left out; an empty table gives an empty table.
 
-    Equal sets become one first. Bands of eight registers choose candidates (a pair at a threshold of 85 per
-    cent meets in one with probability 0.99996, at 80 with 0.997). Each set is tried with a leader of the buckets that
+    Equal sets become one first. Bands of registers choose candidates: of eight at a threshold of 85 per cent (a pair
+    there meets in one with probability 0.99996), of six at 80 (0.999997). Each set is tried with a leader of the buckets that
     it shares most often, twice; that joins most components. Then only the pairs of a bucket that still lie in different
     components are compared, in blocks.
     """
@@ -310,7 +321,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     sets = rows.filter("n > 0 and id is not null").groupBy("n", "d1", "d2").agg(F.min("id").alias("id"), F.first("regs").alias("regs"))
     reps = cut(sets, "sets")
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
-    bands = band_keys(reps)
+    bands = band_keys(reps, band_rows(percent))
     shared = bands.groupBy("band", "key").agg(F.min("id").alias("lead"), F.min_by("id", F.xxhash64("id")).alias("lead2"), F.count("*").alias("size")).filter("size > 1")
     members = cut(bands.join(shared, ["band", "key"]), "members")
     part = None

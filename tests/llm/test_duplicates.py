@@ -102,6 +102,16 @@ def test_estimates_are_near(spark):
         assert abs(np.mean(errors)) < 0.02
 
 
+def test_bands_suit_the_threshold(spark):
+    assert minhash.missed(80, minhash.band_rows(80)) < 1e-5 and minhash.band_rows(85) == 8
+    rng, rows = random.Random(11), []
+    for k in range(1000):  # pairs that share 80 % of their shingles or just above
+        both, left, right = ([f"{rng.getrandbits(60):x}" for _ in range(n)] for n in (241, 30, 30))
+        rows += [(2 * k, " ".join(both + left)), (2 * k + 1, " ".join(both + right))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert minhash.near_duplicates(df, 1, 80).filter("not kept").count() == 1000
+
+
 def unit(x):
     return x / np.linalg.norm(x)
 
