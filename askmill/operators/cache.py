@@ -90,15 +90,21 @@ def sessions(entries: DataFrame, gap: str) -> DataFrame:
 def flush(entries: DataFrame, gap: str, now: str | None = None, immediate: bool = False) -> DataFrame:
     """session_id, start, question_id, msg, rating: the newest rating of each question in each session that has been idle for ``gap``.
 
-    A session's idleness is tested on its last entry, an aggregate: a test of the window's end would be applied before
-    windows are merged and cut sessions short. ``immediate`` closes every session.
+    Entries of one span of ``gap`` from the epoch are less than ``gap`` apart, so they are of one session: sessions are runs of such
+    spans' first and last entries, and the newest ratings are chosen in the spans first. No session's entries are gathered, however
+    many it has. ``immediate`` closes every session.
     """
-    rated = entries.filter("rating is not null")
-    packed = rated.groupBy("session_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(
-        F.max("ts").alias("last"), F.collect_list(F.struct("question_id", "msg", F.col("rating").cast("int").alias("rating"), "ts", "seq")).alias("es")
-    )
+    span = F.floor(F.unix_micros("ts") / F.expr(f"unix_micros(timestamp_micros(0) + interval {gap})"))
+    rated = entries.filter("rating is not null and ts is not null").withColumn("span", span)
+    newest = F.max_by(F.struct("msg", F.col("rating").cast("int").alias("rating"), "ts", "seq"), F.struct("ts", -F.col("seq")))
+    found = rated.groupBy("session_id", "span", "question_id").agg(newest.alias("e"))
+    w = Window.partitionBy("s").orderBy("p")
+    spans = rated.groupBy(F.col("session_id").alias("s"), F.col("span").alias("p")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    fresh = F.coalesce(F.col("first") >= F.lag("last").over(w) + F.expr(f"interval {gap}"), F.lit(True))
+    spans = spans.withColumn("n", F.when(fresh, F.col("first"))).withColumn("start", F.last("n", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if not immediate:
-        packed = packed.filter(F.col("last") + F.expr(f"interval {gap}") <= F.lit(now).cast("timestamp"))
-    rows = packed.select("session_id", F.col("w.start").alias("start"), F.inline("es"))
-    newest = F.max_by(F.struct("msg", "rating"), F.struct("ts", -F.col("seq")))
-    return rows.groupBy("session_id", "start", "question_id").agg(newest.alias("e")).select("session_id", "start", "question_id", "e.msg", "e.rating")
+        idle = spans.groupBy(F.col("s").alias("s2"), F.col("start").alias("start2")).agg(F.max("last").alias("end")).filter(F.col("end") + F.expr(f"interval {gap}") <= F.lit(now).cast("timestamp"))
+        spans = spans.join(idle, F.col("s").eqNullSafe(F.col("s2")) & (F.col("start") == F.col("start2")), "left_semi")
+    rows = found.join(spans.select("s", "p", "start"), F.col("session_id").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p")))
+    best = F.max_by("e", F.struct(F.col("e.ts"), -F.col("e.seq")))
+    return rows.groupBy("session_id", "start", "question_id").agg(best.alias("e")).select("session_id", "start", "question_id", "e.msg", "e.rating")

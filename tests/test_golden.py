@@ -203,3 +203,30 @@ def test_dense_is_exact_and_independent_of_partitions(spark):
     one, two = (sorted(map(tuple, dense.dense_topk(q, df.repartition(n), 5).collect())) for n in (1, 9))
     assert [(a, b, d) for a, b, _, d in one] == [(a, b, d) for a, b, _, d in two] and len(one) == 35
     assert all(r[1] == r[0] for r in one if r[3] == 1)
+
+
+@pytest.mark.parametrize("immediate", [True, False])
+def test_flush_gathers_no_entries(spark, immediate):
+    from datetime import datetime, timedelta
+
+    rng, zero, gap = random.Random(8), datetime(2024, 1, 1), timedelta(minutes=30)
+    rows, at = [], {}
+    for k in range(600):
+        s = rng.choice(["a", "a", "b", None])
+        at[s] = at.get(s, zero) + timedelta(minutes=rng.choice([1, 5, 20, 29, 30, 31, 70]), microseconds=rng.choice([0, 0, -1]))
+        rows.append((s, rng.choice(["q1", "q2", None]), f"m{k}", float(rng.randrange(6)) if rng.random() < 0.9 else None, at[s], k))
+    df = spark.createDataFrame(rows, "session_id string, question_id string, msg string, rating double, ts timestamp, seq long")
+    now, want, runs_ = max(x[4] for x in rows) - timedelta(hours=8), {}, {}
+    for r in rows:
+        if r[3] is not None:
+            of = runs_.setdefault(r[0], [])
+            if not of or r[4] - of[-1][-1][4] >= gap:
+                of.append([])
+            of[-1].append(r)
+    for s, of in runs_.items():
+        for run in of:
+            if immediate or run[-1][4] + gap <= now:
+                want |= {(s, run[0][4], r[1]): (r[2], int(r[3])) for r in sorted(run, key=lambda r: (r[4], -r[5]))}
+    flushed = cache.flush(df, "30 minutes", now=str(now), immediate=immediate)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in flushed.collect()} == want
+    assert "collect_list" not in flushed._jdf.queryExecution().toString()
