@@ -18,7 +18,7 @@ MOST_BLOCKS = 200
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """collection, d and, in a row for up to ``size`` vectors: their ids and the unit vectors as doubles. Null vectors go; a zero vector stays zero."""
+    """collection, d and, in a row for up to ``size`` vectors: their ids and the unit vectors as doubles. Null vectors and those with a null, NaN or infinite component go; a zero vector stays zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, list] = {}
@@ -38,7 +38,7 @@ def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
         for key, found in held.items():
             yield give(key, found)
 
-    rows = rows.filter("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null)")
+    rows = rows.filter("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
     return rows.select("collection", "id", "vec").mapInArrow(run, f"collection string, d int, {name}_ids array<string>, {name}_vecs binary")
 
 

@@ -205,6 +205,16 @@ def test_dense_is_exact_and_independent_of_partitions(spark):
     assert all(r[1] == r[0] for r in one if r[3] == 1)
 
 
+def test_vectors_that_are_no_numbers_take_no_place(spark):
+    rng = random.Random(9)
+    good = [(f"g{k}", [rng.gauss(0, 1) for _ in range(4)]) for k in range(12)]
+    bad = [(f"b{k}", [float("nan") if k % 2 else float("-inf"), 1.0, 1.0, 1.0]) for k in range(8)]
+    q = spark.createDataFrame([("c", "q", [1.0, 0.0, 0.0, 0.0])], "collection string, query_id string, qvec array<double>")
+    frame = lambda rows: spark.createDataFrame([("c", *r) for r in rows], "collection string, id string, dense array<double>").coalesce(1)
+    got, want = (sorted(map(tuple, dense.dense_topk(q, frame(rows), 5).collect())) for rows in (bad + good, good))
+    assert got == want and len(got) == 5
+
+
 @pytest.mark.parametrize("immediate", [True, False])
 def test_flush_gathers_no_entries(spark, immediate):
     from datetime import datetime, timedelta
