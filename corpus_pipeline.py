@@ -9,14 +9,22 @@ from pyspark.sql import functions as F
 from askmill.llm import language, minhash, mixing, packing, quality
 from askmill.llm.common import cut, table
 
-#: The least probability of a document's language. Clean text, however short, is above that; mixtures and noise are not.
-LEAST_SCORE = 0.35
+#: Of the way from even shares to certainty, how far a document's language must come. Clean text is above that; even mixtures
+#: and long noise are mostly not. Short noise can pass: a softmax over languages has no class for what is none of them.
+LEAST_WAY = 0.4
+
+
+def least_score(languages: int) -> float:
+    """The least probability of a document's language among so many: 0.55 of four, 0.7 of two; of one nothing can be told."""
+    return (1 + LEAST_WAY * (languages - 1)) / languages if languages else 0.0
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with some certainty; null, empty and letterless texts go. Columns stay as they are."""
-    found = language.identify(docs, language.fit(docs), lang="__lang", score="__score")
-    return found.filter((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= LEAST_SCORE)).select(*docs.columns)
+    net = language.fit(docs)
+    found = language.identify(docs, net, lang="__lang", score="__score")
+    least = least_score(len(net.languages) if net else 0)
+    return found.filter((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

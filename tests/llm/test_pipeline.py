@@ -1,5 +1,6 @@
 """The pipeline's stages on small tables, each against a brute-force version of its decisions over what it was given."""
 
+import random
 from collections import Counter
 
 import public_tokenizers
@@ -55,6 +56,24 @@ def test_stages(spark):
     assert max(Counter((r.sequence_id, r.offset) for r in packed).values()) == 1
 
 
+def test_language_needs_certainty(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng, by = random.Random(3), {}
+    for r in docs.orderBy("doc_id").collect():
+        if r.text and r.lang:
+            by.setdefault(r.lang, []).append(r.text)
+    part = lambda lang: (rng.choice(by[lang]) * 300)[:3000]
+    mixed = [" ".join(map(part, rng.sample(sorted(by), 2 + k % 2))) for k in range(40)]
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(3000)) for _ in range(40)]
+    rows = [(9_000_000 + k, t, None, "s", len(t)) for k, t in enumerate(mixed + noise)]
+    given = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, given, SMALL).select("doc_id").collect()}
+    assert sum(9_000_000 <= i < 9_000_040 for i in kept) <= 4 and sum(i >= 9_000_040 for i in kept) <= 4
+    clean = {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).collect()}
+    assert len(clean & kept) >= 0.995 * len(clean)
+    assert corpus_pipeline.least_score(2) > corpus_pipeline.least_score(4) > 0.5
+
+
 def test_empty(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
