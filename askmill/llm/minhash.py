@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askmill.llm.common import cut, dealt, groups
 from askmill.llm.components import components
-from askmill.llm.tokens import CACHE, SLICE, Pieces
+from askmill.llm.words import ascii_words, hashes, slices
 
 #: Buckets of a sketch; mantissa bits of a register.
 BUCKETS, MANTISSA = 256, 10
@@ -23,7 +23,7 @@ MISSED = 1e-4
 #: Standard errors by which an estimate may fall short of the threshold before a pair is dropped unconfirmed.
 SLACK = 5.0
 #: Rows of a block in which the members of a band's bucket are compared with another block's.
-BLOCK = 256
+BLOCK = 512
 #: Keys that each executor may be sent to choose texts (8 bytes each); more are joined by shuffle.
 MOST_SENT = 4_000_000
 
@@ -52,33 +52,29 @@ def band_rows(percent: int) -> int:
     return max((r for r in range(1, 17) if missed(percent, r) <= MISSED), default=1)
 
 
-@functools.cache
-def shingler(size: int) -> Callable[[str | None], np.ndarray]:
-    """Gives a text's set of shingles as sorted distinct 64-bit hashes.
+def shingle_sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """Each text's set of shingles as sorted distinct 64-bit hashes. Texts are worked on a slice at a time, all words of a slice at once.
 
     Words are runs without ASCII white space, A-Z in small letters. Fewer words than ``size`` make one shingle
-    of them all; no words make none.
+    of them all; no words, or no text, make none.
     """
-    cache = Pieces(lambda w: int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little"), CACHE // 2)
-    odd = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 | 1 for k in range(max(size, 64))], np.uint64)
-
-    def shingles(text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-        if len(h) < size:
-            x = np.uint64(len(h))
-            for k in range(len(h)):
-                x = mixed(np.array([x + odd[k] * h[k]], np.uint64))[0]
-            return np.array([x])
-        total = np.full(len(h) - size + 1, size, np.uint64)
+    odd = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1 for k in range(size)], np.uint64)
+    for part in slices(texts):
+        number, sizes, distinct = ascii_words(part)
+        h = hashes(distinct)[number]
+        total = np.full(max(len(h) - size + 1, 0), size, np.uint64)
         for k in range(size):
             total = mixed(total + odd[k] * h[k : k + len(total)])
-        return np.unique(total)
-
-    with np.errstate(over="ignore"):
-        return shingles
+        starts = np.cumsum(sizes) - sizes
+        short = {}
+        for n in range(1, size):
+            of = np.flatnonzero(sizes == n)
+            x = np.full(len(of), n, np.uint64)
+            for k in range(n):
+                x = mixed(x + odd[k] * h[starts[of] + k])
+            short |= dict(zip(of.tolist(), x, strict=True))
+        for k, (at, n) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+            yield np.unique(total[at : at + n - size + 1]) if n >= size else np.array([short[k]], np.uint64) if n else np.zeros(0, np.uint64)
 
 
 def registers(hashes: np.ndarray) -> np.ndarray:
@@ -136,18 +132,14 @@ def sketches(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
     """id, n, d1, d2 (a checksum of the whole set, 128 bits), regs (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(size)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                n, d, regs = [], [], []
-                for k in range(0, batch.num_rows, SLICE):
-                    for x in batch.column(1).slice(k, SLICE).to_pylist():
-                        h = shingles(x)
-                        n.append(len(h))
-                        d.append(np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), "<i8"))
-                        regs.append(registers(h).tobytes() if len(h) else None)
-                d = np.array(d, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(regs, pa.binary())], names=["id", "n", "d1", "d2", "regs"])
+        for batch in batches:
+            n, d, regs = [], [], []
+            for h in shingle_sets(batch.column(1), size):
+                n.append(len(h))
+                d.append(hashlib.blake2b(h, digest_size=16).digest())
+                regs.append(registers(h).tobytes() if len(h) else None)
+            d = np.frombuffer(b"".join(d), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(regs, pa.binary())], names=["id", "n", "d1", "d2", "regs"])
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     return rows.mapInArrow(run, "id long, n long, d1 long, d2 long, regs binary")
@@ -187,20 +179,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     rows = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(size)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                keep = []
-                last, sets = None, None
-                for k in range(batch.num_rows):
-                    ta, tb = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
-                    if tb != last:
-                        last, sets = tb, shingles(tb)
-                    x = shingles(ta)
-                    both = len(np.intersect1d(x, sets, assume_unique=True))
-                    keep.append(100 * both >= percent * (len(x) + len(sets) - both))
-                part = batch.filter(pa.array(keep, pa.bool_()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
+        for batch in batches:
+            at, keep = 0, []
+            for part in slices(pc.binary_join_element_wise(batch.column(2), batch.column(3), "")):
+                ta, tb = (batch.column(c).slice(at, len(part)) for c in (2, 3))
+                # A leader stands in many pairs: its set is made once.
+                texts = pa.concat_arrays([ta, tb]).dictionary_encode()
+                sets = list(shingle_sets(texts.dictionary, size))
+                of = texts.indices.to_pylist()
+                for i, j in zip(of[: len(part)], of[len(part) :], strict=True):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    keep.append(100 * both >= percent * (len(sets[i]) + len(sets[j]) - both))
+                at += len(part)
+            part = batch.filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], names=["a", "b"])
 
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
@@ -211,75 +203,92 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= MOST_SENT else ids, "id", "left_semi")
 
 
+def _open(rows: pa.Table, percent: int) -> list[tuple[int, np.ndarray]]:
+    """Of a pair of blocks the rows with those that their sketches let them link to: of another part, and in the first band in which they meet."""
+    band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
+    ids, parts, own, n = (np.asarray(rows.column(c)) for c in ("id", "part", "own", "n"))
+    regs, per = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(ids), BUCKETS), band_rows(percent)
+    bands = regs[:, : BUCKETS // per * per].reshape(len(ids), -1, per)
+    left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+    out = []
+    for k in left:
+        other = right[(parts[right] != parts[k]) & ((ids[right] > ids[k]) if i == j else True)]
+        other = other[(100 * np.minimum(n[k], n[other]) >= percent * np.maximum(n[k], n[other]))]
+        other = other[may_link(_equal(regs[k][None, :], regs[other]), np.full(len(other), n[k]), n[other], percent)] if len(other) else other
+        if len(other):
+            other = other[(bands[k][None] == bands[other]).all(-1).argmax(1) == band]
+        if len(other):
+            out.append((k, other))
+    return out
+
+
+def _joined(rows: pa.Table, size: int, percent: int) -> list[tuple[int, int]]:
+    """The links between a pair of blocks, as whole sets tell them, that are needed to join its components: fewer than it has rows."""
+    open_ = _open(rows, percent)
+    if not open_:
+        return []
+    ids, parts = np.asarray(rows.column("id")), np.asarray(rows.column("part"))
+    used = np.unique(np.concatenate([np.r_[k, o] for k, o in open_]))
+    sets = dict(zip(used.tolist(), shingle_sets(rows.column("t").combine_chunks().take(pa.array(used)), size), strict=True))
+    # Shingles numbered within the blocks: a set is marked once and met with all others by one gather and sum.
+    names, number = np.unique(np.concatenate(list(sets.values())), return_inverse=True)
+    sizes = np.array([len(x) for x in sets.values()])
+    ends = np.cumsum(sizes)
+    spans = {k: (e - s, e) for k, s, e in zip(sets, sizes, ends, strict=True)}
+    mark, root, out = np.zeros(len(names), bool), {int(x): int(x) for x in np.unique(parts)}, []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for k, other in open_:
+        a, b = spans[k]
+        mark[number[a:b]] = True
+        other = [o for o in other.tolist() if find(int(parts[o])) != find(int(parts[k]))]
+        if other:
+            at = np.concatenate([number[spans[o][0] : spans[o][1]] for o in other])
+            lengths = np.array([len(sets[o]) for o in other])
+            both = np.add.reduceat(mark[at].astype(np.int64), np.cumsum(lengths) - lengths)
+            for o in np.flatnonzero(100 * both >= percent * (len(sets[k]) + lengths - both)):
+                x, y = find(int(parts[k])), find(int(parts[other[o]]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    out.append((int(ids[k]), int(ids[other[o]])))
+        mark[number[a:b]] = False
+    return out
+
+
 def crossing(members: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """a, b: links between sets of one bucket that are not yet of one component. ``members``: band, key, id, part, size.
 
-    A bucket is dealt into blocks; each pair of blocks is one group, so a large bucket is many groups. There the
-    sketches, compared by matrices, leave pairs to be confirmed on whole sets at once, in the first band in which they meet. Of the
-    links only those that join components leave, fewer than the block has rows, so nothing grows with the square of a bucket.
+    A bucket is dealt into blocks; each pair of blocks is one group, so a large bucket is many groups. A bucket of S sets
+    has S / BLOCK blocks, and so sends S * S / BLOCK rows: that is quadratic, if by a small factor, and these rows hold
+    sketches alone. Texts are then sent only to the pairs of blocks, and for the sets, that the sketches leave open. There whole sets are
+    compared at once; of the links only those that join components leave, fewer than the blocks have rows.
     """
     rows = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    texts = texts_of(members.select("id"), docs)
-    known = reps.select("id", "n", "regs").join(texts, "id")
-    by, per = ["band", "key", "i", "j"], band_rows(percent)
-    rows = rows.select("band", "key", "id", "part", "own", F.inline(pair)).join(known, "id").select(*by, "id", "part", "own", "n", "regs", "t")
-
-    def joined(rows: pa.Table, shingles: Callable[[str | None], np.ndarray]) -> list[tuple[int, int]]:
-        band, i, j = (rows.column(c)[0].as_py() for c in ("band", "i", "j"))
-        ids, parts, own, n = (np.asarray(rows.column(c)) for c in ("id", "part", "own", "n"))
-        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint16).reshape(len(ids), BUCKETS)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        bands = regs[:, : BUCKETS // per * per].reshape(len(ids), -1, per)
-        open_: list[tuple[int, np.ndarray]] = []
-        for k in left:
-            other = right[(parts[right] != parts[k]) & ((ids[right] > ids[k]) if i == j else True)]
-            other = other[may_link(_equal(regs[k][None, :], regs[other]), np.full(len(other), n[k]), n[other], percent)] if len(other) else other
-            if len(other):
-                other = other[(bands[k][None] == bands[other]).all(-1).argmax(1) == band]
-            if len(other):
-                open_.append((k, other))
-        if not open_:
-            return []
-        used = np.unique(np.concatenate([np.r_[k, o] for k, o in open_]))
-        sets = {k: shingles(rows.column("t")[k].as_py()) for k in used.tolist()}
-        # Shingles numbered within the block: a set is marked once and met with all others by one gather and sum.
-        names, number = np.unique(np.concatenate([sets[k] for k in used.tolist()]), return_inverse=True)
-        sizes = np.array([len(sets[k]) for k in used.tolist()])
-        ends = np.cumsum(sizes)
-        spans = {k: (e - s, e) for k, s, e in zip(used.tolist(), sizes, ends, strict=True)}
-        mark, root, out = np.zeros(len(names), bool), {int(x): int(x) for x in np.unique(parts)}, []
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for k, other in open_:
-            a, b = spans[k]
-            mark[number[a:b]] = True
-            other = [o for o in other.tolist() if find(int(parts[o])) != find(int(parts[k]))]
-            if other:
-                at = np.concatenate([number[spans[o][0] : spans[o][1]] for o in other])
-                lengths = np.array([len(sets[o]) for o in other])
-                both = np.add.reduceat(mark[at].astype(np.int64), np.cumsum(lengths) - lengths)
-                for o in np.flatnonzero(100 * both >= percent * (len(sets[k]) + lengths - both)):
-                    x, y = find(int(parts[k])), find(int(parts[other[o]]))
-                    if x != y:
-                        root[max(x, y)] = min(x, y)
-                        out.append((int(ids[k]), int(ids[other[o]])))
-            mark[number[a:b]] = False
-        return out
+    by, sketched = ["band", "key", "i", "j"], reps.select("id", "n", "regs")
+    units = rows.join(sketched, "id").select("band", "key", "id", "part", "own", "n", "regs", F.inline(pair))
+
+    def involved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, by):
+            if found := _open(table, percent):
+                used = np.unique(np.concatenate([np.r_[k, o] for k, o in found]))
+                yield from table.select([*by, "id", "part", "own"]).take(pa.array(used)).combine_chunks().to_batches()
+
+    kind = "band int, key long, i int, j int, id long, part long, own int"
+    used = cut(dealt(units, *by).select(*by, "id", "part", "own", "n", "regs").mapInArrow(involved, kind), "involved")
+    wanted = used.join(sketched, "id").join(texts_of(used.select("id"), docs), "id").select(*by, "id", "part", "own", "n", "regs", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = shingler(size)
-        with np.errstate(over="ignore"):
-            for table in groups(batches, by):
-                if found := joined(table, shingles):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+        for table in groups(batches, by):
+            if found := _joined(table, size, percent):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
-    return dealt(rows, *by).mapInArrow(run, "a long, b long").distinct()
+    return dealt(wanted, *by).mapInArrow(run, "a long, b long").distinct()
 
 
 def _chosen(members: DataFrame, lead: str, part: DataFrame | None) -> DataFrame:

@@ -11,45 +11,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from askmill.llm.common import cut
-from askmill.llm.tokens import crc, encoded, id_encoder
+from askmill.llm.tokens import crc, id_encoder
+from askmill.llm.words import binaries
 
 #: Pieces that one task packs, on average. More leave fewer bins open; each group leaves some.
 GROUP = 8192
 
 
-def cut_pieces(docs: DataFrame, path: str, length: int, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per piece of at most ``length`` ids: key, piece, start, length, ids_crc32, ids. A null text counts as empty: it has the end id alone."""
-    end = np.asarray([end_id], "<u4").tobytes()
-    step = 4 * length
+def cut_pieces(docs: DataFrame, path: str, length: int, end_id: int, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+    """Per piece of at most ``length`` ids: key, piece, start, length, ids_crc32 and, if asked for, ids. A null text counts as empty: it has the end id alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = id_encoder(path)
         for batch in batches:
-            rows: list[tuple] = []
-            size = 0
-            keys = batch.column(0).to_pylist()
-            for k, ids in zip(keys, encoded(batch.column(1), encode, end), strict=True):
-                for n, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    rows.append((k, n, at // 4, len(part) // 4, crc(part), part))
-                    size += len(part)
-                if size > 16_000_000:
-                    yield _batch(rows, batch.schema.field(0).type)
-                    rows, size = [], 0
-            if rows:
-                yield _batch(rows, batch.schema.field(0).type)
+            at = 0
+            for part, flat, sizes in encode(batch.column(1), end_id):
+                n = -(-sizes // length)
+                text_of = np.repeat(np.arange(len(sizes)), n)
+                piece = np.arange(len(text_of)) - np.repeat(np.cumsum(n) - n, n)
+                start = piece * length
+                size = np.minimum(length, sizes[text_of] - start)
+                ends = np.cumsum(size)  # pieces lie side by side, as their texts do
+                raw = memoryview(flat).cast("B")
+                sums = [crc(raw[4 * a : 4 * b]) for a, b in zip((ends - size).tolist(), ends.tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(at + text_of)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(sums, pa.int64())]
+                if ids:
+                    columns.append(binaries(flat, size))
+                at += len(part)
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = rows.schema["k"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    out = rows.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
     return out.withColumnRenamed("k", key)
 
 
-def _batch(rows: list[tuple], key: pa.DataType) -> pa.RecordBatch:
-    types = [key, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["k", "piece", "start", "length", "ids_crc32", "ids"])
-
-
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Places items of 1 to ``capacity`` one after the other; gives each one's bin and its offset there.
 
@@ -108,7 +104,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = 2048, end_id: int =
     """Cuts whole texts into pieces and packs these: key, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null texts count as empty (one piece, the end id alone), repeated rows are packed as often as they come,
-    other columns are left out. Only lengths and checksums are shuffled; ids stay in the pieces of ``cut_pieces``.
+    other columns are left out. Only lengths and checksums are shuffled; ``cut_pieces`` gives the ids where they are wanted.
     """
-    pieces = cut(cut_pieces(docs, path, length, end_id, key, text).drop("ids"), "pieces")
+    pieces = cut(cut_pieces(docs, path, length, end_id, key, text), "pieces")
     return pack(pieces, length)

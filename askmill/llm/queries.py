@@ -45,7 +45,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shards.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, shards.new_folder(spark))
-    return shards.read_shards(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return shards.read_shards(spark, path, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op9_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
