@@ -55,6 +55,19 @@ SESSION_ENTRY = T.StructType(
     ]
 )
 
+CACHED_ANSWER = T.StructType(
+    [
+        T.StructField("collection", T.StringType()),
+        T.StructField("question_id", T.StringType()),
+        T.StructField("question", T.StringType()),
+        T.StructField("answer", T.StringType()),
+        T.StructField("display_docs", T.StringType()),
+        T.StructField("rating", T.DoubleType()),
+        T.StructField("rating_count", T.LongType()),
+        T.StructField("dense", T.ArrayType(T.FloatType())),
+    ]
+)
+
 SEARCH_REPLY = T.StructType(
     [
         T.StructField(

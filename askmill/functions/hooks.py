@@ -37,6 +37,12 @@ def embed(df: DataFrame, text: str, out: str = "dense", model: Callable[[], Call
     return df.withColumn(out, run(F.col(text)))
 
 
+def query_embed(queries: DataFrame, text: str = "text", out: str = "qvec", prefix: str = "", **hook) -> DataFrame:
+    """Adds a vector of each query, as ``embed`` does for texts; a null text counts as empty. ``prefix``: what a model wants before a question, as some tell questions from texts by it."""
+    asked = queries.withColumn("__asked", F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit(""))))
+    return embed(asked, "__asked", out, **hook).drop("__asked")
+
+
 def generate(prompts: DataFrame, model: Callable[[], Callable[[str], str]], slots: int, query_id: str = "query_id", prompt: str = "prompt") -> DataFrame:
     """query_id, answer, error: one call for each prompt on ``slots`` partitions; a call that fails gives an error row, not a failed job."""
 

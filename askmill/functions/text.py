@@ -2,25 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A hyphenated compound is one token.
-TOKEN = r"([\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*)"
-#: What is kept of them: two letters or more and nothing else.
-KEPT = r"^\p{L}{2,}$"
+#: Tokens of two letters or more and nothing else. A hyphenated compound is one token, and so none of these.
+TOKEN = r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_]-)\p{L}{2,}+(?![\p{L}\p{N}_])(?!-[\p{L}\p{N}_])"
 SENTENCE = r"([^.!?\n]+[.!?]*)"
 
 
 def tokens(text: Column | str) -> Column:
     """The kept tokens of a text in small letters, in order, with repeats."""
     text = F.col(text) if isinstance(text, str) else text
-    found = F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)), lambda t: F.lower(t))
-    return F.filter(found, lambda t: t.rlike(KEPT))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
 def clean_answer(text: Column | str) -> Column:
@@ -28,24 +27,48 @@ def clean_answer(text: Column | str) -> Column:
     return F.regexp_replace(text, r"(?s)^<think>.*?</think>\s*", "")
 
 
+#: Words with a stopword's or a lemma's entry that each executor may be sent (some 100 bytes each); more are joined by shuffle.
+MOST_WORDS = 400_000
+
+
 def normalize_queries(queries: DataFrame, stopwords: DataFrame | None = None, lemmas: DataFrame | None = None, query_id: str = "query_id", text: str = "text") -> DataFrame:
-    """query_id, normalized: tokens without stopwords, each replaced by its lemma, joined by a space.
+    """query_id, normalized: tokens without stopwords, each replaced by its lemma, joined by a space; a row for each query.
 
-    ``stopwords``: word; ``lemmas``: word, lemma. Each distinct token meets both tables once; the queries then look
-    their tokens up, so a common token is one row there. Queries without tokens have an empty text.
+    ``stopwords``: word; ``lemmas``: word, lemma (the least of several). A stopword goes even if it has a lemma. While both tables are few they are sent
+    to where the texts are, and a batch's distinct tokens are looked up once: no token is shuffled. Queries without tokens have an empty text.
     """
-    rows = queries.select(F.col(query_id).alias("query_id"), F.posexplode(tokens(text)).alias("pos", "word"))
-    words = rows.select("word").distinct()
-    if stopwords is not None:
-        words = words.join(stopwords.select("word").distinct(), "word", "left_anti")
-    if lemmas is not None:
-        words = words.join(lemmas.groupBy("word").agg(F.min("lemma").alias("lemma")), "word", "left")
-    else:
-        words = words.withColumn("lemma", F.lit(None).cast("string"))
-    found = rows.join(words.select("word", F.coalesce("lemma", "word").alias("out")), "word")
-    joined = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("pos", "out"))).alias("ws"))
-    text_of = F.trim(F.array_join(F.col("ws.out"), " "))
-    return queries.select(F.col(query_id).alias("query_id")).distinct().join(joined.select("query_id", text_of.alias("normalized")), "query_id", "left").select("query_id", F.coalesce("normalized", F.lit("")).alias("normalized"))
+    rows = queries.select(F.col(query_id).alias("query_id"), F.coalesce(tokens(text), F.array().cast("array<string>")).alias("ws"))
+    stop = [] if stopwords is None else [stopwords.select("word", F.lit(True).alias("stop"), F.lit(None).cast("string").alias("lemma"))]
+    forms = [] if lemmas is None else [lemmas.filter("lemma is not null").select("word", F.lit(False).alias("stop"), "lemma")]
+    if not stop + forms:
+        return rows.select("query_id", F.array_join("ws", " ").alias("normalized"))
+    changed = functools.reduce(DataFrame.unionByName, stop + forms).filter("word is not null").groupBy("word").agg(F.max("stop").alias("stop"), F.min("lemma").alias("lemma"))
+    found = changed.limit(MOST_WORDS + 1).collect()
+    if len(found) > MOST_WORDS:
+        return _normalized_by_join(rows, changed)
+    sent = queries.sparkSession.sparkContext.broadcast({r.word: None if r.stop else r.lemma for r in found})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = sent.value
+        for batch in batches:
+            lists = batch.column(1)
+            flat, ends = lists.flatten().dictionary_encode(), np.asarray(lists.offsets)
+            to = [forms.get(w, w) for w in flat.dictionary.to_pylist()]
+            number, ends = flat.indices.to_pylist(), (ends - ends[0]).tolist()
+            texts = [" ".join([w for w in map(to.__getitem__, number[a:b]) if w is not None]).strip(" ") for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["query_id", "normalized"])
+
+    return rows.mapInArrow(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, normalized string")
+
+
+def _normalized_by_join(rows: DataFrame, changed: DataFrame) -> DataFrame:
+    """As above for any number of words. A text's distinct tokens alone meet the words, and what changes of them comes back to it; Spark splits the tasks of common ones."""
+    rows = rows.withColumn("__row", F.monotonically_increasing_id())
+    few = rows.select("__row", F.explode(F.array_distinct("ws")).alias("word")).join(changed, "word")
+    own = few.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("word", F.when(~F.col("stop"), F.col("lemma"))))).alias("to"))
+    out = rows.join(own, "__row", "left").withColumn("to", F.coalesce("to", F.expr("cast(map() as map<string, string>)")))
+    kept = F.transform("ws", lambda w: F.when(F.map_contains_key("to", w), F.element_at("to", w)).otherwise(w))
+    return out.select("query_id", F.trim(F.array_join(kept, " ")).alias("normalized"))
 
 
 def clean_messages(rows: DataFrame, text: str = "text") -> DataFrame:

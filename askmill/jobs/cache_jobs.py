@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.config import SESSION_ENTRY, SearchConfig
+from askmill.config import SearchConfig
+from askmill.functions.hooks import generate
 from askmill.functions.text import clean_answer
 from askmill.functions.text import clean_messages as clean
 from askmill.operators import cache, chat, snapshots
@@ -38,12 +41,26 @@ def route_cache_or_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cache.route(tables.vector_queries(spark, sf_dir), cached_answers_top1(spark, sf_dir))
 
 
+def _echo(prompt: str) -> str:
+    """A stand-in for a model: its thoughts, then the prompt's checksum."""
+    return f"<think>about {len(prompt)}\n</think>\n {hashlib.md5(prompt.encode()).hexdigest()}"
+
+
+def answered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached answers, and for the other questions generated ones, without their thoughts."""
+    routes = route_cache_or_search(spark, sf_dir)
+    texts = tables.corpus(spark, sf_dir).select(F.col("id").alias("query_id"), F.col("text").alias("query"))
+    rest = routes.filter("route = 'search'").select("query_id").join(texts, "query_id", "left")
+    prompts = chat.build_prompts(rest.withColumns({"context": F.lit(None).cast("string"), "history": F.lit(None).cast("string")}), "short")
+    made = generate(prompts, lambda: _echo, spark.sparkContext.defaultParallelism)
+    return cache.answered(routes, tables.cache(spark, sf_dir), made).select("query_id", "route", "answer", "display_docs", "error")
+
+
 def session_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as JSON entries, decoded again."""
     log = tables.ratings(spark, sf_dir)
-    entries = log.select(F.to_json(F.struct(*log.columns)).alias("entry"))
-    rows = entries.select(F.from_json("entry", SESSION_ENTRY).alias("e")).select("e.*")
-    return rows.select("session_id", "question_id", "msg", F.round("rating", 6).alias("rating"), F.date_format("ts", STAMP).alias("ts"), "seq")
+    rows = cache.read_sessions(log.select(F.to_json(F.struct(*log.columns)).alias("entry")))
+    return rows.select("session_id", "question_id", "msg", "answer", "display_docs", F.round("rating", 6).alias("rating"), F.date_format("ts", STAMP).alias("ts"), "seq")
 
 
 def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +136,7 @@ def snapshots_to_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.select_snapshots(wanted, catalog)
 
 
+_HEADS = [h.replace("'", "''") for h in chat.PROMPT]
 CACHE = """with v as (select vec_id::varchar id, embedding::double[] e, 1.0::double + floor(vec_id / 10) % 5 rating from embeddings),
 scored as (select q.id query_id, v.id question_id, list_cosine_similarity(q.e, v.e) score, v.rating from v q, v where q.id::bigint % 100 = 0 and q.id <> v.id),
 near as (select * from (select *, row_number() over (partition by query_id order by round(score, 9) desc, question_id) rank from scored) where rank <= 5 and round(score, 9) >= 0.3),
@@ -126,23 +144,22 @@ top1 as (select query_id, question_id, round(score, 6) score, rating from near w
 
 LOG = """log as (
     select user_id::varchar session_id, case when event_type <> 'signup' then json_extract_string(props, '$.k') end question_id,
-           concat_ws('', event_type, json_extract_string(props, '$.k')) msg, value % 6 rating, ts, event_id seq from events)"""
+           concat_ws('', event_type, json_extract_string(props, '$.k')) msg, 'answer ' || event_id answer, case when event_id % 2 = 0 then '/docs/' || json_extract_string(props, '$.k') end display_docs,
+           case when event_id % 7 <> 0 then value % 6 end rating, ts, event_id seq from events)"""
 SESSIONS = f"""with {LOG},
 marked as (select *, case when ts - lag(ts) over w < interval 12 hours then 0 else 1 end fresh from log window w as (partition by session_id order by ts, seq)),
 numbered as (select *, sum(fresh) over (partition by session_id order by ts, seq rows unbounded preceding) s from marked),
 spans as (select session_id, s, min(ts) start, max(ts) last, count(*) entries from numbered group by session_id, s)"""
-#: Rated entries make the sessions of a flush, as the operator does.
-FLUSH = f"""with {LOG},
-marked as (select *, case when ts - lag(ts) over w < interval 12 hours then 0 else 1 end fresh from log where rating is not null window w as (partition by session_id order by ts, seq)),
-numbered as (select *, sum(fresh) over (partition by session_id order by ts, seq rows unbounded preceding) s from marked),
-spans as (select *, min(ts) over (partition by session_id, s) start, max(ts) over (partition by session_id, s) last from numbered),
-newest as (select *, row_number() over (partition by session_id, s, question_id order by ts desc, seq) r from spans)
-select session_id, strftime(start, '%Y-%m-%d %H:%M:%S') start, question_id, msg, trunc(rating)::int rating from newest where r = 1"""
+#: Each entry renews its session; the newest of its rated ones are flushed.
+FLUSH = f"""{SESSIONS},
+timed as (select n.*, start, last from numbered n join spans using (session_id, s)),
+newest as (select *, row_number() over (partition by session_id, s, question_id order by ts desc, seq) r from timed where rating is not null)
+select session_id, strftime(start, '%Y-%m-%d %H:%M:%S') start, question_id, msg, answer, display_docs, trunc(rating)::int rating from newest where r = 1"""
 LATEST = f"""with {LOG},
 latest as (select * from (select *, row_number() over (partition by session_id, question_id order by ts desc, seq) r from log where rating is not null) where r = 1),
-rated as (select question_id, 3.0::double + question_id::bigint % 3 rating, 1 + question_id::bigint % 5 rating_count from (select distinct question_id from log where question_id::bigint < 80)),
+rated as (select question_id, 'question ' || question_id question, 'old answer ' || question_id answer, null::varchar display_docs, 3.0::double + question_id::bigint % 3 rating, 1 + question_id::bigint % 5 rating_count from (select distinct question_id from log where question_id::bigint < 80)),
 sums as (select question_id, sum(trunc(rating)::int) added, count(*) m from latest where question_id is not null group by question_id),
-updated as (select question_id, round((rating * rating_count + added) / (rating_count + m), 6) rating, rating_count + m rating_count from rated join sums using (question_id))"""
+updated as (select question_id, question, answer, display_docs, round((rating * rating_count + added) / (rating_count + m), 6) rating, rating_count + m rating_count from rated join sums using (question_id))"""
 TURNS = "turns as (select conv_id, turn, role, case when role = 'user' and conv_id % 7 = 0 and turn % 4 = 0 then '  ' || chr(10) || ' ' else text end text from conversations)"
 SNAPSHOTS = """catalog as (
     select *, try_cast(rtrim(creation_time, 'Z') as timestamp) created_at from (
@@ -152,7 +169,7 @@ newest as (select collection, arg_max(name, (created_at, name)) as name from cat
 QUERIES = {
     f.__name__: f
     for f in (
-        cached_answers_top1, cached_answers_first, cached_answers_best, route_cache_or_search, session_entries, session_windows, session_flush, session_flush_immediate, latest_rating_per_question,
+        cached_answers_top1, cached_answers_first, cached_answers_best, route_cache_or_search, answered_union, session_entries, session_windows, session_flush, session_flush_immediate, latest_rating_per_question,
         cache_rating_update, cache_upsert, clean_messages, prompt_history, clean_answers, snapshots_expired, snapshots_due, snapshots_latest, snapshots_to_recover,
     )
 }
@@ -161,14 +178,17 @@ ORACLE_SQL = {
     "cached_answers_first": f"{CACHE} select * from top1 where rating > 3",
     "cached_answers_best": f"{CACHE} select query_id, question_id, round(score, 6) score, rating from (select *, row_number() over (partition by query_id order by rating desc, rank) r from near where rating > 3) where r = 1",
     "route_cache_or_search": f"{CACHE} select q.id query_id, case when question_id is null then 'search' else 'cache' end route, question_id from (select id from v where id::bigint % 100 = 0) q left join top1 on q.id = query_id",
-    "session_entries": f"with {LOG} select session_id, question_id, msg, round(rating, 6) rating, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, seq from log",
+    "answered_union": f"""{CACHE}, routed as (select q.id query_id, question_id from (select id from v where id::bigint % 100 = 0) q left join top1 on q.id = query_id)
+        select query_id, 'cache' route, 'answer ' || question_id answer, case when question_id::bigint % 4 <> 0 then '/docs/' || question_id end display_docs, null::varchar error from routed where question_id is not null
+        union all select query_id, 'search', md5('{_HEADS[0]}' || 'short' || '{_HEADS[1]}' || '—' || '{_HEADS[2]}' || '—' || '{_HEADS[3]}' || coalesce(text, '')), null, null from routed left join documents on doc_id = query_id::bigint where question_id is null""",
+    "session_entries": f"with {LOG} select session_id, question_id, msg, answer, display_docs, round(rating, 6) rating, strftime(ts, '%Y-%m-%d %H:%M:%S') ts, seq from log",
     "session_windows": f"{SESSIONS} select session_id, strftime(start, '%Y-%m-%d %H:%M:%S') start, strftime(last, '%Y-%m-%d %H:%M:%S') \"last\", entries from spans",
     "session_flush": f"{FLUSH} and last + interval 12 hours <= timestamp '{FLUSHED}'",
     "session_flush_immediate": FLUSH,
-    "latest_rating_per_question": f"{LATEST} select session_id, question_id, msg, trunc(rating)::int rating, strftime(ts, '%Y-%m-%d %H:%M:%S') ts from latest",
+    "latest_rating_per_question": f"{LATEST} select session_id, question_id, msg, answer, display_docs, trunc(rating)::int rating, strftime(ts, '%Y-%m-%d %H:%M:%S') ts from latest",
     "cache_rating_update": f"{LATEST} select * from updated",
     "cache_upsert": f"""{LATEST} select *, 'updated' status from updated
-        union all select md5(concat_ws('|', session_id, msg)), trunc(rating)::double, 1, 'new' from latest where question_id is null
+        union all select md5(concat_ws('|', session_id, msg)), msg, answer, display_docs, trunc(rating)::double, 1, 'new' from latest where question_id is null
         union all select *, 'untouched' from rated where question_id not in (select question_id from updated)""",
     "clean_messages": f"with {TURNS} select * from (select conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') text from turns where role = 'user') where length(text) > 0",
     "prompt_history": f"""with {TURNS},

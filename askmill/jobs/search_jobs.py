@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from askmill.config import SearchConfig
 from askmill.functions.text import normalize_queries as normalize
+from askmill.functions.text import tokens
 from askmill.operators import chat, dense, ingest, lexical, search
 from askmill.sources import tables
+from askmill.sources.shared import cut
 
 #: Nearest neighbours in the test vectors are far apart, and their texts' BM25 scores are large; the thresholds are set so that both filters bite.
 CFG = SearchConfig(dense_threshold=0.2, sparse_threshold=25.0, threshold=0.3)
@@ -18,15 +20,17 @@ SYSTEM = (
     "Ты отвечаешь коротко только на вопрос пользователя и останавливаешься, отвечаешь ВСЕГДА только по-русски, даже если вопрос задан на другом языке, "
     "ничего не уточняешь и не переспрашиваешь. Если в контексте нерелевантные данные или нет данных, то отвечай, что не знаешь."
 )
+CODE = "Ты помогаешь писать и объяснять программы."
 
 
-def _lexical(spark: SparkSession, sf_dir: str):
-    corpus = tables.corpus(spark, sf_dir).select("collection", "id", "text")
-    return lexical.query_terms(tables.questions(spark, sf_dir)), lexical.build_postings(corpus), lexical.corpus_stats(corpus)
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.build_index(tables.corpus(spark, sf_dir).select("collection", "id", "text"))
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.sparse_topk(*_lexical(spark, sf_dir), CFG.sparse_limit, others=True)
+    """Texts are read once for the index; the searches read that."""
+    index = cut(_index(spark, sf_dir), "index")
+    return lexical.sparse_topk(lexical.query_terms(tables.questions(spark, sf_dir)), index, CFG.sparse_limit, others=True)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,18 +46,18 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lexical(spark, sf_dir)[1]
+    return lexical.build_postings(_index(spark, sf_dir))
 
 
 def bm25_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.document_frequencies(_lexical(spark, sf_dir)[1])
+    return lexical.document_frequencies(_index(spark, sf_dir))
 
 
 def normalize_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = tables.table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("query_id"), "text")
     items = tables.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("query_id"), "text")
     every = docs.unionByName(items)
-    words = every.select(F.explode(lexical.tokens("text")).alias("word")).distinct()
+    words = every.select(F.explode(tokens("text")).alias("word")).distinct()
     lemmas = words.filter(F.length("word") > 5).select("word", F.regexp_replace("word", "(ing|ed|en)$", "").alias("lemma")).filter("word <> lemma")
     stop = spark.createDataFrame([(w,) for w in STOPWORDS], "word string")
     return normalize(every, stop, lemmas)
@@ -104,7 +108,8 @@ def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hits_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _payload(spark, sf_dir).select("query_id", "id", "rank", "file_path", F.md5("document").alias("document_md5"))
+    rows = _payload(spark, sf_dir).withColumns({c: F.round(F.col("payload")[f"_{c}"].cast("double"), 6) for c in ("dense_score", "sparse_score")})
+    return rows.select("query_id", "id", "rank", "file_path", F.md5("document").alias("document_md5"), "display_docs", "rating", "rating_count", F.col("payload")["source"].alias("payload_source"), "dense_score", "sparse_score")
 
 
 def context_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +126,21 @@ def search_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search_report(_dense(spark, sf_dir).filter(F.col("score") >= CFG.dense_threshold), _sparse(spark, sf_dir).filter(F.col("score") >= CFG.sparse_threshold))
 
 
+def hits_per_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _dense(spark, sf_dir).select("query_id", F.lit("dense").alias("method")).unionByName(_sparse(spark, sf_dir).select("query_id", F.lit("sparse").alias("method")))
+    return search.hit_counts(hits, tables.questions(spark, sf_dir))
+
+
+def prompts_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for each user's turn: without search, so without context, but with the dialogue before it and the system text of the conversation's tab."""
+    turns = tables.turns(spark, sf_dir)
+    history = chat.prompt_history(turns).withColumn("session_id", F.concat(F.when(F.col("conv_id") % 2 == 0, "chat_").otherwise("code_"), F.col("conv_id").cast("string")))
+    tabs = spark.createDataFrame([("chat", SYSTEM), ("code", CODE)], "prefix string, system string")
+    asked = chat.pairs(turns).select("conv_id", "turn", F.col("u").alias("query"))
+    rows = chat.system_prompts(history, tabs).join(asked, ["conv_id", "turn"])
+    return chat.build_prompts(rows.select(F.concat_ws("/", "session_id", F.col("turn").cast("string")).alias("query_id"), "system", F.lit(None).cast("string").alias("context"), "history", "query"))
+
+
 def decode_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = _rounded(_sparse(spark, sf_dir), "score").groupBy("query_id").agg(F.collect_list(F.struct("id", "score", F.lit("sparse").alias("source"))).alias("documents"))
     replies = hits.select("query_id", F.to_json(F.struct("documents")).alias("reply"))
@@ -130,13 +150,12 @@ def decode_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = """list_filter(list_transform(regexp_extract_all({t}, '([\\p{{L}}\\p{{N}}_]+(?:-[\\p{{L}}\\p{{N}}_]+)*)', 1), lambda t: lower(t)), lambda t: regexp_matches(t, '^\\p{{L}}{{2,}}$'))"""
 
 CORPUS = f"""corpus as (
-    select 'docs' collection, doc_id::varchar id, text, '/docs/' || coalesce(lang, 'xx') || '/' || doc_id file_path, embedding::double[] dense, coalesce({TOKENS.format(t="text")}, []) ts
+    select 'docs' collection, doc_id::varchar id, text, case when doc_id % 7 <> 0 then '/docs/' || coalesce(lang, 'xx') || '/' || doc_id end path, case when doc_id % 2 <> 0 then 'see ' || doc_id end docs,
+           case when doc_id % 3 <> 0 then 1.0::double + doc_id % 5 end stars, case when doc_id % 3 <> 0 then doc_id % 4 end votes, source, embedding::double[] dense, coalesce({TOKENS.format(t="text")}, []) ts
     from documents left join embeddings on doc_id = vec_id),
 postings as (select collection, id, term, count(*)::int tf, dl from (select collection, id, unnest(ts) term, len(ts)::int dl from corpus) group by all)"""
 QUESTIONS = """,
-ranked_words as (select id, w, row_number() over (partition by id order by length(w) desc, w) r from (select distinct id, unnest(ts) w from corpus where id::bigint % 100 = 0)),
-questions as (
-    select c.id query_id, coalesce((select string_agg(w, ' ' order by r) from ranked_words x where x.id = c.id and r <= 12), '') text, c.dense qvec from corpus c where c.id::bigint % 100 = 0)"""
+questions as (select id query_id, coalesce(text, '') text, dense qvec from corpus where id::bigint % 100 = 0)"""
 SPARSE = f""",
 terms as (select query_id, unnest(list_distinct({TOKENS.format(t="text")})) term from questions),
 freq as (select term, count(*) df from postings group by term),
@@ -175,14 +194,20 @@ CONTEXT = """,
 context as (
     select q.query_id, coalesce(c, '—') context, case when c is null then null else 'Релевантные документы:' || chr(10) || chr(10) || p end display, case when c is null then 'no_documents' else 'ok' end status, q.text query
     from questions q left join (
-        select query_id, string_agg(distinct text, chr(10) order by text) c, string_agg(distinct file_path, chr(10) || chr(10) order by file_path) p from hybrid join corpus using (id) group by query_id) using (query_id))"""
+        select query_id, string_agg(distinct text, chr(10) order by text) c, string_agg(distinct coalesce(path, '—'), chr(10) || chr(10) order by coalesce(path, '—')) p from hybrid join corpus using (id) group by query_id) using (query_id))"""
+
+# Dialogues, as cache_jobs has them too.
+TURNS = "turns as (select conv_id, turn, role, case when role = 'user' and conv_id % 7 = 0 and turn % 4 = 0 then '  ' || chr(10) || ' ' else text end text from conversations)"
+HISTORY = """pairs as (select conv_id, turn, text u, case when next_role = 'assistant' then next_text end b from (
+    select *, lead(role) over w next_role, lead(text) over w next_text from turns window w as (partition by conv_id order by turn)) where role = 'user')"""
+LINES = "coalesce((select string_agg('Юзер: ' || u || ' | Бот: ' || b, chr(10) order by turn) from pairs x where x.conv_id = p.conv_id and x.turn < p.turn and b is not null), '—')"
 
 _HEADS = [h.replace("'", "''") for h in chat.PROMPT]
 QUERIES = {
     f.__name__: f
     for f in (
         bm25_postings, bm25_df, normalize_queries, vector_dim_check, dense_topk, dense_threshold, bm25_topk, minmax_scores, hybrid_search, hybrid_sparse_only, candidate_union, late_rerank,
-        hits_with_payload, context_per_query, build_prompts, search_report, decode_hits,
+        hits_with_payload, hits_per_method, context_per_query, build_prompts, prompts_with_history, search_report, decode_hits,
     )
 }
 ORACLE_SQL = {
@@ -209,7 +234,13 @@ ORACLE_SQL = {
         scored as (select query_id, f.id, list_sum(list_transform(q.late, lambda a: list_max(list_transform(c.late, lambda b: list_dot_product(a, b))))) score
             from found f join units c on f.id = c.id join units q on q.id = f.query_id)
         select query_id, id, round(score, 6) score, rank from (select *, row_number() over (partition by query_id order by round(score, 9) desc, id)::int rank from scored) where rank <= 5""",
-    "hits_with_payload": f"{ALL}{_fusion(True)} select query_id, id, rank, file_path, md5(text) document_md5 from hybrid join corpus using (id)",
+    "hits_with_payload": f"""{ALL}{_fusion(True)} select query_id, id, rank, coalesce(path, '—') file_path, md5(coalesce(text, '')) document_md5, coalesce(docs, '') display_docs, coalesce(stars, 0.0) rating, coalesce(votes, 0) rating_count,
+        source payload_source, dense_score, sparse_score from (select query_id, id, rank, dense_score, sparse_score from hybrid) join corpus using (id)""",
+    "hits_per_method": f"{ALL} select 'docs' collection, 'dense' as method, count(*) hits from dense having count(*) > 0 union all select 'docs', 'sparse', count(*) from sparse having count(*) > 0",
+    "prompts_with_history": f"""with {TURNS}, {HISTORY}
+        select case when conv_id % 2 = 0 then 'chat_' else 'code_' end || conv_id || '/' || turn query_id,
+               '{_HEADS[0]}' || case when conv_id % 2 = 0 then '{SYSTEM}' else '{CODE}' end || '{_HEADS[1]}' || '—' || '{_HEADS[2]}' || history || '{_HEADS[3]}' || coalesce(u, '') prompt
+        from (select conv_id, turn, u, {LINES} history from pairs p)""",
     "context_per_query": f"{ALL}{_fusion(True)}{CONTEXT} select query_id, context, display, status from context",
     "build_prompts": f"{ALL}{_fusion(True)}{CONTEXT} select query_id, '{_HEADS[0]}' || '{SYSTEM}' || '{_HEADS[1]}' || context || '{_HEADS[2]}' || '—' || '{_HEADS[3]}' || query prompt from context",
     "search_report": f"""{ALL} select query_id, sum(d)::bigint dense_hits, sum(s)::bigint sparse_hits from (

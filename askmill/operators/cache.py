@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from askmill.config import SearchConfig
+from askmill.config import SESSION_ENTRY, SearchConfig
+from askmill.functions.text import clean_answer
 from askmill.operators.dense import dense_topk
 
 
@@ -35,23 +36,32 @@ def route(queries: DataFrame, cached: DataFrame) -> DataFrame:
     return rows.select("query_id", F.when(F.col("question_id").isNull(), "search").otherwise("cache").alias("route"), "question_id")
 
 
+#: What an entry carries into the cache.
+CARRIED = ("question_id", "msg", "answer", "display_docs")
+
+
+def _newest(entries: DataFrame, more: tuple[str, ...] = ("ts",)) -> Column:
+    """The newest entry with what it carries and its truncated rating; the earlier append wins ties."""
+    have = [F.col(c) if c in entries.columns else F.lit(None).cast("string").alias(c) for c in CARRIED]
+    return F.max_by(F.struct(*have, F.col("rating").cast("int").alias("rating"), *more), F.struct("ts", -F.col("seq")))
+
+
 def latest_ratings(entries: DataFrame, null_key: str = "collapse") -> tuple[DataFrame, DataFrame]:
     """The newest entry of each session and question, and the entries without a rating, which are rejected.
 
     The earlier append wins ties. Fresh questions have no id: they are one key (``collapse``) or one for each
-    message (``per_question``). Ratings are truncated.
+    message (``per_question``). Ratings are truncated. Answers and documents to show stay with their entry.
     """
     if null_key not in ("collapse", "per_question"):
         raise ValueError(f"no null_key {null_key!r}")
     key = F.col("question_id") if null_key == "collapse" else F.coalesce("question_id", "msg")
     rated = entries.filter("rating is not null").withColumn("__key", key)
-    newest = F.max_by(F.struct("question_id", "msg", F.col("rating").cast("int").alias("rating"), "ts"), F.struct("ts", -F.col("seq")))
-    latest = rated.groupBy("session_id", "__key").agg(newest.alias("e")).select("session_id", "e.*")
+    latest = rated.groupBy("session_id", "__key").agg(_newest(entries).alias("e")).select("session_id", "e.*")
     return latest, entries.filter("rating is null")
 
 
 def apply_ratings(cache: DataFrame, latest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """question_id, rating, rating_count of the cached answers that were rated; and the ratings of unknown ones.
+    """The cached answers that were rated, all columns kept, with their new rating and rating_count; and the ratings of unknown ones.
 
     Sums and counts of a question's ratings are made in each task first; the running average over all of them is
     what applying one after the other gives.
@@ -59,26 +69,49 @@ def apply_ratings(cache: DataFrame, latest: DataFrame) -> tuple[DataFrame, DataF
     known = latest.filter("question_id is not null")
     sums = known.groupBy("question_id").agg(F.sum("rating").alias("added"), F.count("*").alias("m"))
     joined = cache.join(sums, "question_id")
-    updated = joined.select("question_id", ((F.col("rating") * F.col("rating_count") + F.col("added")) / (F.col("rating_count") + F.col("m"))).alias("rating"), (F.col("rating_count") + F.col("m")).alias("rating_count"))
-    return updated, known.join(cache.select("question_id"), "question_id", "left_anti")
+    new = {"rating": (F.col("rating") * F.col("rating_count") + F.col("added")) / (F.col("rating_count") + F.col("m")), "rating_count": F.col("rating_count") + F.col("m")}
+    return joined.withColumns(new).select(*cache.columns), known.join(cache.select("question_id"), "question_id", "left_anti")
 
 
 def new_answers(latest: DataFrame) -> DataFrame:
-    """question_id, rating, rating_count of answers to fresh questions. Ids come from session and message, so reruns agree."""
+    """question_id, question, answer, display_docs, rating, rating_count of answers to fresh questions. Ids come from session and message, so reruns agree."""
     fresh = latest.filter("question_id is null")
-    return fresh.select(F.md5(F.concat_ws("|", "session_id", "msg")).alias("question_id"), F.col("rating").cast("double").alias("rating"), F.lit(1).cast("long").alias("rating_count"))
+    of = lambda c: F.col(c) if c in latest.columns else F.lit(None).cast("string")
+    return fresh.select(
+        F.md5(F.concat_ws("|", "session_id", "msg")).alias("question_id"), F.col("msg").alias("question"), of("answer").alias("answer"), of("display_docs").alias("display_docs"),
+        F.col("rating").cast("double").alias("rating"), F.lit(1).cast("long").alias("rating_count"),
+    )
 
 
-def upsert(cache: DataFrame, latest: DataFrame) -> DataFrame:
-    """question_id, rating, rating_count, status of the whole cache after a flush: updated, new and untouched rows, one for each key."""
+def changes(cache: DataFrame, latest: DataFrame) -> DataFrame:
+    """The rows of the cache that a flush changes or adds, with the cache's columns and status (updated, new). New rows have what a flush knows: no vector yet."""
     updated, _ = apply_ratings(cache, latest)
-    columns = ["question_id", "rating", "rating_count"]
-    rest = cache.join(updated.select("question_id"), "question_id", "left_anti")
-    return (
-        updated.select(*columns, F.lit("updated").alias("status"))
-        .unionByName(new_answers(latest).select(*columns, F.lit("new").alias("status")))
-        .unionByName(rest.select(*columns, F.lit("untouched").alias("status")))
-    )
+    fresh = new_answers(latest)
+    # The same fresh question of a session in two flushes is one row, which the later flush replaces.
+    fresh = fresh.groupBy("question_id").agg(F.max(F.struct(*[c for c in fresh.columns if c != "question_id"])).alias("e")).select("question_id", "e.*")
+    kinds = {f.name: f.dataType for f in cache.schema}
+    added = [(F.col(c) if c in fresh.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in cache.columns]
+    return updated.withColumn("status", F.lit("updated")).unionByName(fresh.select(*added, F.lit("new").alias("status")))
+
+
+def upsert(cache: DataFrame, latest: DataFrame) -> DataFrame:
+    """The whole cache after a flush, with its columns and status: updated, new and untouched rows, one for each key."""
+    changed = changes(cache, latest)
+    rest = cache.join(changed.select("question_id"), "question_id", "left_anti")
+    return changed.unionByName(rest.withColumn("status", F.lit("untouched")))
+
+
+def answered(routes: DataFrame, cache: DataFrame, generated: DataFrame) -> DataFrame:
+    """query_id, route, answer, display_docs, error: the cached answer where a query is routed to one, else the one that was generated for it, without its thoughts.
+
+    ``routes`` as ``route`` gives them; ``generated``: query_id, answer, error, and display_docs if there are any.
+    """
+    known = cache.select("question_id", "answer", "display_docs")
+    cached = routes.filter("route = 'cache'").join(known, "question_id").select("query_id", "route", "answer", "display_docs", F.lit(None).cast("string").alias("error"))
+    shown = F.col("display_docs") if "display_docs" in generated.columns else F.lit(None).cast("string")
+    made = generated.select(F.col("query_id").cast("string").alias("query_id"), clean_answer("answer").alias("answer"), shown.alias("display_docs"), "error")
+    rest = routes.filter("route = 'search'").select("query_id", "route").join(made, "query_id")
+    return cached.unionByName(rest)
 
 
 def sessions(entries: DataFrame, gap: str) -> DataFrame:
@@ -88,18 +121,17 @@ def sessions(entries: DataFrame, gap: str) -> DataFrame:
 
 
 def flush(entries: DataFrame, gap: str, now: str | None = None, immediate: bool = False) -> DataFrame:
-    """session_id, start, question_id, msg, rating: the newest rating of each question in each session that has been idle for ``gap``.
+    """session_id, start, question_id, msg, answer, display_docs, rating: the newest rating of each question in each session that has been idle for ``gap``.
 
-    Entries of one span of ``gap`` from the epoch are less than ``gap`` apart, so they are of one session: sessions are runs of such
-    spans' first and last entries, and the newest ratings are chosen in the spans first. No session's entries are gathered, however
-    many it has. ``immediate`` closes every session.
+    Every entry keeps its session alive, rated or not; only rated ones leave it. Entries of one span of ``gap`` from the epoch are less than
+    ``gap`` apart, so they are of one session: sessions are runs of such spans' first and last entries, and the newest ratings are
+    chosen in the spans first. No session's entries are gathered, however many it has. ``immediate`` closes every session.
     """
     span = F.floor(F.unix_micros("ts") / F.expr(f"unix_micros(timestamp_micros(0) + interval {gap})"))
-    rated = entries.filter("rating is not null and ts is not null").withColumn("span", span)
-    newest = F.max_by(F.struct("msg", F.col("rating").cast("int").alias("rating"), "ts", "seq"), F.struct("ts", -F.col("seq")))
-    found = rated.groupBy("session_id", "span", "question_id").agg(newest.alias("e"))
+    timed = entries.filter("ts is not null").withColumn("span", span)
+    found = timed.filter("rating is not null").groupBy("session_id", "span", F.col("question_id").alias("q")).agg(_newest(entries, ("ts", "seq")).alias("e"))
     w = Window.partitionBy("s").orderBy("p")
-    spans = rated.groupBy(F.col("session_id").alias("s"), F.col("span").alias("p")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    spans = timed.groupBy(F.col("session_id").alias("s"), F.col("span").alias("p")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     fresh = F.coalesce(F.col("first") >= F.lag("last").over(w) + F.expr(f"interval {gap}"), F.lit(True))
     spans = spans.withColumn("n", F.when(fresh, F.col("first"))).withColumn("start", F.last("n", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     if not immediate:
@@ -107,4 +139,9 @@ def flush(entries: DataFrame, gap: str, now: str | None = None, immediate: bool
         spans = spans.join(idle, F.col("s").eqNullSafe(F.col("s2")) & (F.col("start") == F.col("start2")), "left_semi")
     rows = found.join(spans.select("s", "p", "start"), F.col("session_id").eqNullSafe(F.col("s")) & (F.col("span") == F.col("p")))
     best = F.max_by("e", F.struct(F.col("e.ts"), -F.col("e.seq")))
-    return rows.groupBy("session_id", "start", "question_id").agg(best.alias("e")).select("session_id", "start", "question_id", "e.msg", "e.rating")
+    return rows.groupBy("session_id", "start", "q").agg(best.alias("e")).select("session_id", "start", *[f"e.{c}" for c in CARRIED], "e.rating")
+
+
+def read_sessions(log: DataFrame, entry: str = "entry") -> DataFrame:
+    """The entries of a session log, decoded from their JSON; a table or a stream. Text that is no JSON object gives nulls."""
+    return log.select(F.from_json(entry, SESSION_ENTRY).alias("e")).select("e.*")

@@ -43,12 +43,18 @@ def prompt_history(turns: DataFrame, max_turns: int | None = None) -> DataFrame:
     return rows.select("conv_id", "turn", F.when(F.size("lines") > 0, F.array_join("lines", "\n")).otherwise(NONE).alias("history"))
 
 
-def build_prompts(rows: DataFrame, system: str) -> DataFrame:
-    """query_id, prompt: the template with system text, context, history and query."""
-    parts = (F.lit(system), F.col("context"), F.col("history"), F.col("query"))
+def build_prompts(rows: DataFrame, system: str | None = None) -> DataFrame:
+    """query_id, prompt: the template with system text, context, history and query. Without ``system`` each row has its own; what is null stands as missing."""
+    of = lambda c: F.coalesce(F.col(c), F.lit(NONE))
+    parts = (of("system") if system is None else F.lit(system), of("context"), of("history"), F.coalesce(F.col("query"), F.lit("")))
     return rows.select("query_id", F.concat(*[x for head, part in zip(PROMPT, parts, strict=True) for x in (F.lit(head), part)]).alias("prompt"))
 
 
+#: Tabs whose system text each executor may be sent; more are joined by shuffle.
+MOST_TABS = 10_000
+
+
 def system_prompts(sessions: DataFrame, prompts: DataFrame, session_id: str = "session_id") -> DataFrame:
     """The sessions with the system prompt of the tab that their id begins with. ``prompts``: prefix, system; a row for each tab."""
-    return sessions.withColumn("prefix", F.split(session_id, "_")[0]).join(F.broadcast(prompts), "prefix", "left")
+    few = prompts.limit(MOST_TABS + 1).count() <= MOST_TABS
+    return sessions.withColumn("prefix", F.split(session_id, "_")[0]).join(F.broadcast(prompts) if few else prompts, "prefix", "left")

@@ -9,37 +9,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from askmill.operators.blocks import HITS, best, paired
 from askmill.operators.lexical import top_k
 
 #: Vectors of a block of the corpus, and of a block of queries.
 BLOCK, QUERIES = 4096, 256
-#: Query blocks that each executor may be sent; more are joined by shuffle.
-MOST_BLOCKS = 200
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
     """collection, d and, in a row for up to ``size`` vectors: their ids and the unit vectors as doubles. Null vectors and those with a null, NaN or infinite component go; a zero vector stays zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, list] = {}
-
-        def give(key: tuple, found: list) -> pa.RecordBatch:
-            x = np.array([v for _, v in found], np.float64)
-            n = np.linalg.norm(x, axis=1, keepdims=True)
-            x = x / np.where(n > 0, n, 1)
-            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()), pa.array([[i for i, _ in found]], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], names=["collection", "d", f"{name}_ids", f"{name}_vecs"])
-
         for batch in batches:
-            for c, i, v in zip(*[batch.column(k).to_pylist() for k in range(3)], strict=True):
-                found = held.setdefault((c, len(v)), [])
-                found.append((i, v))
-                if len(found) == size:
-                    yield give((c, len(v)), held.pop((c, len(v))))
-        for key, found in held.items():
-            yield give(key, found)
+            collections, d = batch.column("collection").to_pylist(), np.asarray(batch.column("d"))
+            kinds: dict[tuple, list[int]] = {}
+            for k, key in enumerate(zip(collections, d.tolist(), strict=True)):
+                kinds.setdefault(key, []).append(k)
+            for (collection, n), of in kinds.items():
+                for k in range(0, len(of), size):
+                    at = pa.array(of[k : k + size])
+                    x = np.asarray(batch.column("vec").take(at).flatten(), np.float64).reshape(len(at), n)
+                    most = np.abs(x).max(1, keepdims=True)  # keeps squares of very large or small components finite
+                    x = x / np.where(most > 0, most, 1)
+                    norm = np.linalg.norm(x, axis=1, keepdims=True)
+                    x = x / np.where(norm > 0, norm, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([collection], pa.string()), pa.array([n], pa.int32()), pa.array([batch.column("id").take(at).to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())], names=["collection", "d", f"{name}_ids", f"{name}_vecs"])
 
     rows = rows.filter("vec is not null and size(vec) > 0 and forall(vec, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    return rows.select("collection", "id", "vec").mapInArrow(run, f"collection string, d int, {name}_ids array<string>, {name}_vecs binary")
+    return rows.select("collection", "id", "vec", F.size("vec").alias("d")).mapInArrow(run, f"collection string, d int, {name}_ids array<string>, {name}_vecs binary")
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, others: bool = False) -> DataFrame:
@@ -51,32 +48,16 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, others: bool
     """
     q = _blocks(queries.select("collection", F.col("query_id").cast("string").alias("id"), F.col("qvec").alias("vec")), QUERIES, "q")
     c = _blocks(corpus.select("collection", F.col("id").cast("string").alias("id"), F.col("dense").alias("vec")), BLOCK, "c")
-    few = q.limit(MOST_BLOCKS + 1).count() <= MOST_BLOCKS
-    pairs = c.join(F.broadcast(q) if few else q, ["collection", "d"])
+    pairs = paired(q, c, ["collection", "d"], "q_vecs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 row = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
                 qs, cs = (np.frombuffer(row[f"{s}_vecs"]).reshape(-1, row["d"]) for s in "qc")
-                ids = np.array(row["c_ids"], object)
-                scores = np.round(qs @ cs.T, 12)
-                place = {x: n for n, x in enumerate(row["c_ids"])}
-                out: list[tuple] = []
-                for n, query in enumerate(row["q_ids"]):
-                    s = scores[n]
-                    own = place.get(query) if others else None
-                    if own is not None:
-                        s[own] = -np.inf
-                    # All that tie with the k-th, as rounded for the ranks, leave, so that the order of blocks doesn't matter.
-                    least = np.round(np.partition(s, -min(k, len(s)))[-min(k, len(s))], 9)
-                    at = np.flatnonzero((np.round(s, 9) >= least) & np.isfinite(s))
-                    out += [(query, ids[i], float(s[i])) for i in at]
-                if out:
-                    a, b, e = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(e, pa.float64())], names=["query_id", "id", "score"])
-
-    return top_k(pairs.select("collection", "d", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(run, "query_id string, id string, score double"), k)
+                yield from best(np.round(qs @ cs.T, 12), row["q_ids"], row["c_ids"], k, others)
+
+    return top_k(pairs.select("collection", "d", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(run, HITS), k)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -89,7 +70,33 @@ def unit(v: Column) -> Column:
     return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
 
 
-def maxsim(query: Column, late: Column) -> Column:
-    """For each vector of the query its best cosine over the chunk's vectors, summed. Both sides hold unit vectors."""
-    best = F.transform(query, lambda q: F.array_max(F.transform(late, lambda v: dot(q, v))))
-    return F.aggregate(best, F.lit(0.0), lambda s, x: s + x)
+def maxsim(pairs: DataFrame, query: str = "qlate", late: str = "late", out: str = "score") -> DataFrame:
+    """query_id, id and, for each vector of the query, its best cosine over the chunk's vectors, summed. Both sides hold unit vectors; a chunk without vectors, or a query, goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = []
+            for column in (batch.column(2), batch.column(3)):
+                n = np.diff(np.asarray(column.offsets))
+                inner = column.flatten()
+                sides.append((np.asarray(inner.flatten(), np.float64), np.diff(np.asarray(inner.offsets)), n))
+            # Rows of equal shapes are one product.
+            (qx, qd, qn), (cx, cd, cn) = sides
+            width = [np.maximum.reduceat(d, np.cumsum(n) - n) if len(n) else n for _, d, n in sides]
+            score = np.empty(len(qn))
+            for q, c, d in sorted(set(zip(qn.tolist(), cn.tolist(), width[0].tolist(), strict=True))):
+                at = np.flatnonzero((qn == q) & (cn == c) & (width[0] == d))
+                x, y = (v[(s[at][:, None] + np.arange(m * d))].reshape(len(at), m, d) for v, s, m in ((qx, _starts(qd, qn), q), (cx, _starts(cd, cn), c)))
+                score[at] = np.einsum("nqd,ncd->nqc", x, y).max(2).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "id", out])
+
+    rows = pairs.filter(f"size({query}) > 0 and size({late}) > 0")
+    same = F.forall(F.concat(query, late), lambda v: F.size(v) == F.size(F.col(late)[0]))
+    kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "id")}
+    return rows.filter(same).select("query_id", "id", query, late).mapInArrow(run, f"query_id {kinds['query_id']}, id {kinds['id']}, {out} double")
+
+
+def _starts(sizes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where each row's components start, if row k has n[k] vectors of these sizes."""
+    ends = np.cumsum(sizes)
+    return np.r_[0, ends][np.cumsum(n) - n]

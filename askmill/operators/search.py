@@ -46,9 +46,9 @@ def fuse(dense: DataFrame | None, sparse: DataFrame | None, cfg: SearchConfig =
     return ranked.select("query_id", "id", "score", F.when(F.col("d") >= F.col("s"), "dense").otherwise("sparse").alias("source"), "dense_score", "sparse_score", "rank")
 
 
-def hybrid_search(queries: DataFrame, terms: DataFrame, corpus: DataFrame, postings: DataFrame, stats: DataFrame, cfg: SearchConfig = SearchConfig(), others: bool = False) -> DataFrame:
-    """Weighted search over both sides' best chunks. ``queries`` has vectors, ``terms`` the queries' words."""
-    return fuse(dense_topk(queries, corpus, cfg.dense_limit, others), sparse_topk(terms, postings, stats, cfg.sparse_limit, others=others), cfg)
+def hybrid_search(queries: DataFrame, terms: DataFrame, corpus: DataFrame, index: DataFrame, cfg: SearchConfig = SearchConfig(), others: bool = False) -> DataFrame:
+    """Weighted search over both sides' best chunks. ``queries`` has vectors, ``terms`` the queries' words, ``index`` the chunks' words."""
+    return fuse(dense_topk(queries, corpus, cfg.dense_limit, others), sparse_topk(terms, index, cfg.sparse_limit, others=others), cfg)
 
 
 def candidate_union(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -61,8 +61,7 @@ def late_rerank(candidates: DataFrame, query_late: DataFrame, late: DataFrame, c
 
     Late vectors are wide, so they are joined only to the candidates.
     """
-    rows = candidates.join(late, "id").join(query_late, "query_id").filter("late is not null and qlate is not null")
-    return top_k(rows.select("query_id", "id", maxsim(F.col("qlate"), F.col("late")).alias("score")), cfg.late_limit)
+    return top_k(maxsim(candidates.join(late, "id").join(query_late, "query_id")), cfg.late_limit)
 
 
 def search(method: str, **parts) -> DataFrame:
@@ -77,10 +76,27 @@ def search(method: str, **parts) -> DataFrame:
     raise ValueError(f"no method {method!r}")
 
 
+#: What a payload's known keys are if it lacks them.
+DEFAULTS = {"document": "", "file_path": "—", "display_docs": "", "rating": 0.0, "rating_count": 0}
+
+
+def with_defaults(rows: DataFrame) -> DataFrame:
+    """The known keys with their defaults where they are null; a key without a column gets one."""
+    return rows.withColumns({c: F.coalesce(c, F.lit(x)) if c in rows.columns else F.lit(x) for c, x in DEFAULTS.items()})
+
+
 def attach_payload(hits: DataFrame, collection: DataFrame) -> DataFrame:
-    """The hits with the document and path of their chunk, looked up after the top k; absent ones get their defaults."""
-    rows = hits.join(collection.select("id", "document", "file_path"), "id", "left")
-    return rows.withColumns({"document": F.coalesce("document", F.lit("")), "file_path": F.coalesce("file_path", F.lit("—"))})
+    """The hits with what the collection knows of their chunk, looked up after the top k; absent keys get their defaults.
+
+    Both sides' hits are chunks of one collection, so a hit found by both has one payload. Where the hits have both sides' raw
+    scores, the payload map gets them too, 0 for a side that has not found the chunk.
+    """
+    known = [c for c in (*DEFAULTS, "payload") if c in collection.columns]
+    rows = with_defaults(hits.join(collection.select("id", *known), "id", "left"))
+    scores = [c for c in ("dense_score", "sparse_score") if c in hits.columns]
+    added = [x for c in scores for x in (F.lit(f"_{c}"), F.col(c).cast("string"))]
+    payload = F.coalesce("payload", F.expr("cast(map() as map<string, string>)")) if "payload" in known else F.expr("cast(map() as map<string, string>)")
+    return rows.withColumn("payload", F.map_concat(F.map_filter(payload, lambda k, _: ~k.isin(*[f"_{c}" for c in scores])), F.create_map(*added)) if added else payload)
 
 
 def explode_hits(replies: DataFrame, reply: str = "reply") -> DataFrame:
@@ -93,3 +109,10 @@ def search_report(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """query_id, dense_hits, sparse_hits."""
     rows = dense.select("query_id", F.lit(1).alias("d"), F.lit(0).alias("s")).unionByName(sparse.select("query_id", F.lit(0).alias("d"), F.lit(1).alias("s")))
     return rows.groupBy("query_id").agg(F.sum("d").alias("dense_hits"), F.sum("s").alias("sparse_hits"))
+
+
+def hit_counts(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """collection, method, hits: how many hits each method has in each collection. ``hits``: query_id, method; ``queries``: query_id, collection. Counted by query first, so that a collection with most of the hits is no hot spot."""
+    per = hits.groupBy("query_id", "method").agg(F.count("*").alias("n"))
+    rows = per.join(queries.select(F.col("query_id").cast("string").alias("query_id"), "collection").distinct(), "query_id")
+    return rows.groupBy("collection", "method").agg(F.sum("n").alias("hits"))

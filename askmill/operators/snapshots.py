@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,12 +45,27 @@ def write_snapshot(collection: DataFrame, folder: str, name: str) -> str:
     return f"{folder}/{name}"
 
 
+def snapshots_below(spark: SparkSession, folder: str) -> DataFrame:
+    """collection, name, creation_time of all snapshots that lie below ``folder``, from the names of their files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path", "modificationTime")
+    part = lambda k: F.url_decode(F.regexp_extract("path", r"/([^/]+)/collection=([^/]+)/[^/]+$", k))
+    rows = files.select(part(2).alias("collection"), part(1).alias("name"), "modificationTime").filter("name <> ''")
+    return rows.groupBy("collection", "name").agg(F.date_format(F.max("modificationTime"), "yyyy-MM-dd'T'HH:mm:ss").alias("creation_time"))
+
+
 def recover(spark: SparkSession, chosen: DataFrame, folder: str) -> DataFrame:
-    """The rows of the chosen snapshots. One row of ``chosen`` per collection: few, so their names may come to the driver."""
-    found = None
+    """The rows of the chosen snapshots. ``chosen`` has a row for each collection, so its names may come to the driver; a snapshot is read once for all its collections."""
+    names: dict[str, list[str]] = {}
     for row in chosen.filter("status = 'ok'").select("collection", "name").toLocalIterator():
-        part = spark.read.parquet(f"{folder}/{row.name}").filter(F.col("collection") == row.collection)
-        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
-    if found is None:
+        names.setdefault(row.name, []).append(row.collection)
+    if not names:
         raise ValueError("no snapshot to recover")
-    return found
+    parts = [spark.read.parquet(f"{folder}/{name}").filter(F.col("collection").isin(*collections)) for name, collections in sorted(names.items())]
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def restore(spark: SparkSession, chosen: DataFrame, folder: str, target: str) -> DataFrame:
+    """Puts the chosen snapshots in place of their collections in the table below ``target``; its other collections stay. Gives the table."""
+    rows = recover(spark, chosen, folder)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("collection").parquet(target)
+    return spark.read.parquet(target)

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.functions.text import tokens
 from askmill.operators.dense import unit
 
-#: Words of a question: the longest distinct tokens of a whole text.
-QUESTION_WORDS = 12
 COLLECTION = "docs"
 
 
@@ -25,7 +22,7 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "text") -> DataFra
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, length, modificationTime of the files below ``root``; their contents aren't read."""
+    """path, length, modificationTime of the files below ``root``; their contents aren't read. Spark gives empty files no row: they have nothing to ingest."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", "modificationTime")
 
 
@@ -48,19 +45,22 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """collection, id, text, document, file_path, dense: all documents, with a vector where one of their id is there."""
+    """collection, id, text, document, file_path, display_docs, rating, rating_count, payload, dense: all documents, with a vector where one of their id is there. Some payload keys are null."""
     docs = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("dense"))
     paths = F.concat(F.lit("/docs/"), F.coalesce("lang", F.lit("xx")), F.lit("/"), "doc_id")
-    return docs.join(vectors, "doc_id", "left").select(F.lit(COLLECTION).alias("collection"), F.col("doc_id").cast("string").alias("id"), "text", F.col("text").alias("document"), paths.alias("file_path"), "dense")
+    some = lambda n, x: F.when(F.col("doc_id") % n != 0, x)
+    return docs.join(vectors, "doc_id", "left").select(
+        F.lit(COLLECTION).alias("collection"), F.col("doc_id").cast("string").alias("id"), "text", F.col("text").alias("document"), some(7, paths).alias("file_path"),
+        some(2, F.concat(F.lit("see "), "doc_id")).alias("display_docs"), some(3, 1.0 + F.col("doc_id") % 5).alias("rating"), some(3, F.col("doc_id") % 4).alias("rating_count"),
+        F.create_map(F.lit("source"), F.col("source")).alias("payload"), "dense",
+    )
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """collection, query_id, text, qvec: a question from every document whose id is divisible by 100, of the longest distinct tokens of its whole text."""
+    """collection, query_id, text, qvec: a question from every document whose id is divisible by 100, of its whole text."""
     rows = corpus(spark, sf_dir).filter(F.col("id").cast("long") % 100 == 0)
-    longest = F.array_sort(F.transform(F.array_distinct(tokens("text")), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
-    words = F.array_join(F.slice(longest, 1, QUESTION_WORDS)["t"], " ")
-    return rows.select("collection", F.col("id").alias("query_id"), words.alias("text"), F.col("dense").alias("qvec"))
+    return rows.select("collection", F.col("id").alias("query_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("dense").alias("qvec"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,26 +72,32 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def late(rows: DataFrame, vector: str, out: str, parts: int = 8) -> DataFrame:
-    """Adds a vector cut into ``parts`` of equal length, each of unit length; null for a null vector."""
-    size = (F.size(vector) / parts).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.slice(F.col(vector), k * F.lit(8) + 1, F.lit(8)))
-    return rows.withColumn(out, F.when(F.col(vector).isNotNull() & (size == 8), F.transform(cut, unit)))
+    """Adds a vector cut into ``parts`` of equal length, each of unit length; null for a null vector, or one whose length isn't a multiple of ``parts``."""
+    step = (F.size(vector) / parts).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.slice(F.col(vector), k * step + 1, step))
+    return rows.withColumn(out, F.when(F.col(vector).isNotNull() & (F.size(vector) > 0) & (F.size(vector) % parts == 0), F.transform(cut, unit)))
 
 
 def cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
-    return rows.select(F.lit("vectors").alias("collection"), F.col("vec_id").cast("string").alias("question_id"), F.col("embedding").alias("dense"), (1.0 + F.floor(F.col("vec_id") / 10) % 5).alias("rating"), (1 + F.col("vec_id") % 5).alias("rating_count"))
+    name = F.col("vec_id").cast("string")
+    return rows.select(
+        F.lit("vectors").alias("collection"), name.alias("question_id"), F.col("embedding").alias("dense"), F.concat(F.lit("question "), name).alias("question"), F.concat(F.lit("answer "), name).alias("answer"),
+        F.when(F.col("vec_id") % 4 != 0, F.concat(F.lit("/docs/"), name)).alias("display_docs"), (1.0 + F.floor(F.col("vec_id") / 10) % 5).alias("rating"), (1 + F.col("vec_id") % 5).alias("rating_count"),
+    )
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A session log from all events: the question is the event's k, none for a sign-up."""
+    """A session log from all events: the question is the event's k, none for a sign-up; one entry of seven has no rating."""
     rows = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k")
     return rows.select(
         F.col("user_id").cast("string").alias("session_id"),
         F.when(F.col("event_type") != "signup", k).alias("question_id"),
         F.concat_ws("", "event_type", k).alias("msg"),
-        (F.col("value") % 6).alias("rating"),
+        F.concat(F.lit("answer "), F.col("event_id").cast("string")).alias("answer"),
+        F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("/docs/"), k)).alias("display_docs"),
+        F.when(F.col("event_id") % 7 != 0, F.col("value") % 6).alias("rating"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_id").alias("seq"),
     )
@@ -100,7 +106,8 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cache before a flush: a row for each question below 80 that the log names."""
     ids = ratings(spark, sf_dir).filter("question_id is not null").select(F.col("question_id").cast("long").alias("q")).distinct().filter("q < 80")
-    return ids.select(F.col("q").cast("string").alias("question_id"), (3.0 + F.col("q") % 3).alias("rating"), (1 + F.col("q") % 5).alias("rating_count"))
+    name = F.col("q").cast("string")
+    return ids.select(name.alias("question_id"), F.concat(F.lit("question "), name).alias("question"), F.concat(F.lit("old answer "), name).alias("answer"), F.lit(None).cast("string").alias("display_docs"), (3.0 + F.col("q") % 3).alias("rating"), (1 + F.col("q") % 5).alias("rating_count"))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:

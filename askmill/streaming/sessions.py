@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from askmill.config import CACHED_ANSWER
+from askmill.functions.hooks import embed
 from askmill.operators import cache as caches
-from askmill.operators import ingest
+from askmill.streaming import versions
 
 #: How late an entry may come; later ones are dropped.
 DELAY = "10 minutes"
@@ -28,25 +30,30 @@ def sessionize(stream: DataFrame, gap: str, delay: str = DELAY) -> DataFrame:
 def flush_stream(stream: DataFrame, gap: str, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str = DELAY) -> StreamingQuery:
     """Gives ``sink`` the newest rating of each question of the sessions that a batch closes; their state then goes.
 
-    ``checkpoint`` is a folder that all executors share. A batch may come again after a failure, with the same number.
+    Every entry keeps its session alive; the rated ones are the state. ``checkpoint`` is a folder that all executors share. A batch may
+    come again after a failure, with the same number. ``timed_sessions`` needs less state where sessions are very long.
     """
-    packed = stream.filter("rating is not null").withWatermark("ts", delay).groupBy("session_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(
-        F.collect_list(F.struct("question_id", "msg", F.col("rating").cast("int").alias("rating"), "ts", "seq")).alias("es")
-    )
+    have = [F.col(c) if c in stream.columns else F.lit(None).cast("string").alias(c) for c in caches.CARRIED]
+    rated = F.when(F.col("rating").isNotNull(), F.struct(*have, F.col("rating").cast("int").alias("rating"), "ts", "seq"))
+    packed = stream.withWatermark("ts", delay).groupBy("session_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(F.collect_list(rated).alias("es"))
     rows = packed.select("session_id", F.col("w.start").alias("start"), F.inline("es"))
 
     def batch(df: DataFrame, number: int) -> None:
-        newest = F.max_by(F.struct("msg", "rating"), F.struct("ts", -F.col("seq")))
-        sink(df.groupBy("session_id", "start", "question_id").agg(newest.alias("e")).select("session_id", "start", "question_id", "e.msg", "e.rating"), number)
+        newest = F.max_by(F.struct(*caches.CARRIED, "rating", "ts"), F.struct("ts", -F.col("seq")))
+        sink(df.groupBy("session_id", "start", F.col("question_id").alias("q")).agg(newest.alias("e")).select("session_id", "start", "e.*"), number)
 
     return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
+FLUSHED = "session_id string, question_id string, msg string, answer string, display_docs string, rating int"
+
+
 def timed_sessions(stream: DataFrame, minutes: int, policy: str = "idle", delay: str = DELAY) -> DataFrame:
-    """session_id, question_id, msg, rating of sessions closed by a timer or by a clearing message.
+    """session_id, question_id, msg, answer, display_docs, rating of sessions closed by a timer or by a clearing message.
 
-    ``idle``: the timer starts anew with each entry; ``age``: it runs from the first. Only the newest entry of each
-    question is kept as state, so a long session's state is bounded by its questions.
+    ``idle``: the timer starts anew with each entry, rated or not; ``age``: it runs from the first. Only the newest entry of each
+    question is kept as state, so a long session's state is bounded by its questions. A clearing message closes what came before it, by the
+    entries' times: what is later begins a session of its own, even in one batch, or if the message comes late.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -54,61 +61,69 @@ def timed_sessions(stream: DataFrame, minutes: int, policy: str = "idle", delay:
         raise ValueError(f"no policy {policy!r}")
     span = minutes * 60_000
 
+    def text(x) -> str | None:
+        return None if x is None or x != x else str(x)
+
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {"since": None, "last": None, "newest": {}}
-        cleared = False
+        out: list[tuple] = []
+
+        def close(until: float) -> None:
+            gone = {q: x for q, x in held["newest"].items() if x[0] <= until}
+            out.extend((key[0], q or None, *x[2:]) for q, x in sorted(gone.items()))
+            held["newest"] = {q: x for q, x in held["newest"].items() if q not in gone}
+            if held["last"] is not None and held["last"] <= until:
+                held["since"] = held["last"] = None
+            elif held["since"] is not None and held["since"] <= until:
+                held["since"] = min((x[0] for x in held["newest"].values()), default=held["last"])
+
         if not state.hasTimedOut:
-            for part in parts:
-                for r in part.sort_values(["ts", "seq"], kind="stable").itertuples():
-                    if r.msg == CLEAR:
-                        cleared = True
-                        continue
-                    at = int(r.ts.value // 1_000_000)
-                    held["since"] = at if held["since"] is None else min(at, held["since"])
-                    held["last"] = at if held["last"] is None else max(at, held["last"])
-                    q = "" if r.question_id is None or r.question_id != r.question_id else str(r.question_id)
+            for r in pd.concat(list(parts)).sort_values(["ts", "seq"], kind="stable").itertuples():
+                at = int(r.ts.value // 1_000_000)
+                if r.msg == CLEAR:
+                    close(at)
+                    continue
+                held["since"] = at if held["since"] is None else min(at, held["since"])
+                held["last"] = at if held["last"] is None else max(at, held["last"])
+                if r.rating is not None and r.rating == r.rating:
+                    q = text(r.question_id) or ""
                     old = held["newest"].get(q)
                     if old is None or (at, -int(r.seq)) > (old[0], old[1]):
-                        held["newest"][q] = [at, -int(r.seq), r.msg, int(r.rating)]
+                        held["newest"][q] = [at, -int(r.seq), text(r.msg), text(r.answer), text(r.display_docs), int(r.rating)]
         end = None if held["last"] is None else (held["last"] if policy == "idle" else held["since"]) + span
-        if held["newest"] and (cleared or state.hasTimedOut or end <= state.getCurrentWatermarkMs()):
+        if end is not None and (state.hasTimedOut or end <= state.getCurrentWatermarkMs()):
+            close(float("inf"))
+        if held["last"] is None:
             state.remove()
-            found = [(key[0], q or None, m, r) for q, (_, _, m, r) in sorted(held["newest"].items())]
-            yield pd.DataFrame(found, columns=["session_id", "question_id", "msg", "rating"])
-        elif held["newest"]:
+        else:
             state.update((json.dumps(held),))
             state.setTimeoutTimestamp(end)
+        if out:
+            yield pd.DataFrame(out, columns=["session_id", "question_id", "msg", "answer", "display_docs", "rating"])
 
-    rows = stream.filter(f"rating is not null or msg = '{CLEAR}'").withWatermark("ts", delay)
-    return rows.groupBy("session_id").applyInPandasWithState(step, "session_id string, question_id string, msg string, rating int", "held string", "append", GroupStateTimeout.EventTimeTimeout)
-
+    have = [F.col(c) if c in stream.columns else F.lit(None).cast("string").alias(c) for c in caches.CARRIED]
+    rows = stream.select("session_id", *have, "rating", "ts", "seq").withWatermark("ts", delay)
+    return rows.groupBy("session_id").applyInPandasWithState(step, FLUSHED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
 
-def versions(spark: SparkSession, path: str) -> list[int]:
-    """The versions of a cache below ``path``, by the folders' names."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(root)]
-    done = [n for n in names if n.startswith("version-") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
-    return sorted(int(n.removeprefix("version-")) for n in done)
 
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache that ``maintain_cache`` keeps below ``path``: answers with their vectors, to be searched with ``cached_answers`` and served."""
+    return versions.read(spark, path, "question_id", CACHED_ANSWER)
 
-def read_cache(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
-    """The newest complete version, or the newest before a number."""
-    found = [v for v in versions(spark, path) if before is None or v < before]
-    if not found:
-        return spark.createDataFrame([], "question_id string, rating double, rating_count long")
-    return spark.read.parquet(f"{path}/version-{found[-1]}")
 
+def maintain_cache(path: str, checkpoint: str, collection: str = "cache", **hook) -> Callable[[DataFrame, int], None]:
+    """A sink for ``flush_stream`` with this checkpoint: each batch appends the answers that it rates or brings, new ones with the vector of their question.
 
-def maintain_cache(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink for ``flush_stream``: each batch makes a new version from the one before. What is read is never overwritten, and a repeated batch makes the same version again."""
+    A repeated batch changes nothing, nor does another stream's batch of the same number. ``hook``: the embedding model, as ``embed`` takes it.
+    """
 
     def sink(latest: DataFrame, number: int) -> None:
-        old = read_cache(latest.sparkSession, path, before=number)
-        caches.upsert(old, latest).drop("status").write.mode("overwrite").parquet(f"{path}/version-{number}")
+        spark = latest.sparkSession
+        stream = versions.stream_of(spark, checkpoint)
+        rows = caches.changes(read_cache(spark, path), latest)
+        fresh = embed(rows.filter("status = 'new'").drop("dense"), "question", "dense", **hook).withColumn("collection", F.lit(collection))
+        rows = rows.filter("status = 'updated'").unionByName(fresh)
+        versions.append(rows.select([F.col(f.name).cast(f.dataType) for f in CACHED_ANSWER]), path, stream, number)
 
     return sink
 
@@ -123,12 +138,9 @@ def route_stream(questions: DataFrame, cache: DataFrame, sink: Callable[[DataFra
 
 
 def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
-    """Chunks new files and writes each batch as a version of its own: existing rows of their ids are replaced."""
+    """Chunks new files and appends each batch's chunks to the table below ``path``; ``versions.read`` gives the newest chunk of each id."""
 
     def batch(df: DataFrame, number: int) -> None:
-        spark, incoming = df.sparkSession, chunk(df)
-        found = [v for v in versions(spark, path) if v < number]
-        rows = ingest.upsert_collection(spark.read.parquet(f"{path}/version-{found[-1]}"), incoming) if found else incoming
-        rows.write.mode("overwrite").parquet(f"{path}/version-{number}")
+        versions.append(chunk(df), path, versions.stream_of(df.sparkSession, checkpoint), number)
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()

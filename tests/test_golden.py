@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from askmill.config import SearchConfig
-from askmill.functions.hooks import embed, generate
+from askmill.functions.hooks import embed, generate, query_embed
 from askmill.functions.text import clean_answer, chunks, normalize_queries, runs, sentences
-from askmill.operators import cache, chat, dense, ingest, search, snapshots
+from askmill.operators import blocks, cache, chat, dense, ingest, lexical, search, snapshots
+from askmill.sources import shared, tables
 from askmill.sources.collections import create_collection, ingest_texts
 
 HITS = "query_id string, id string, score double, rank int"
@@ -53,6 +54,103 @@ def test_maxsim(spark):
     assert [(r.id, round(r.score, 6)) for r in got] == [("z", 2.0), ("y", 1.6), ("x", 1.0)]
 
 
+def test_maxsim_of_any_shape(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(40):
+        d = int(rng.integers(1, 5))
+        rows.append((f"q{k}", f"c{k}", *(rng.normal(size=(int(rng.integers(1, 6)), d)).tolist() for _ in range(2))))
+    odd = [("q90", "c90", None, [[1.0]]), ("q91", "c91", [[1.0]], None), ("q92", "c92", [], [[1.0]]), ("q93", "c93", [[1.0]], [[1.0, 2.0]])]
+    df = spark.createDataFrame(rows + odd, "query_id string, id string, qlate array<array<double>>, late array<array<double>>")
+    got = {r.query_id: r.score for r in dense.maxsim(df).collect()}
+    assert got == pytest.approx({q: sum(max(float(np.dot(a, b)) for b in c) for a in v) for q, _, v, c in rows})
+
+
+def test_late_parts(spark):
+    rows = [("a", [float(k + 1) for k in range(128)]), ("b", [1.0] * 65), ("c", None), ("d", []), ("e", [3.0] * 64)]
+    got = {r.id: r.l for r in tables.late(spark.createDataFrame(rows, "id string, v array<float>"), "v", "l").collect()}
+    assert [len(x) for x in got["a"]] == [16] * 8 and got["a"][1][0] / got["a"][1][1] == pytest.approx(17 / 18)
+    assert got["b"] is got["c"] is got["d"] is None and [len(x) for x in got["e"]] == [8] * 8
+
+
+def test_search_by_method(spark):
+    corpus = spark.createDataFrame([("c", f"d{k}", t, [float(k % 3 == n) for n in range(3)]) for k, t in enumerate(["red apple", "green apple", "blue sky", "", None])], "collection string, id string, text string, dense array<double>")
+    queries = spark.createDataFrame([("c", "q", "apple sky", [1.0, 0.0, 0.0]), ("c", "void", "", None)], "collection string, query_id string, text string, qvec array<double>")
+    parts = {"queries": queries, "corpus": corpus, "terms": lexical.query_terms(queries), "index": lexical.build_index(corpus)}
+    assert {r.id for r in search.search("dense", queries=queries, corpus=corpus, top_k=2).collect()} == {"d0", "d3"}
+    found = search.search("hybrid", cfg=SearchConfig(sparse_threshold=0.0, dense_threshold=0.0, threshold=0.0), **parts).collect()
+    assert {r.query_id for r in found} == {"q"} and {r.id for r in found} == {"d0", "d1", "d2", "d3", "d4"}
+    with pytest.raises(ValueError):
+        search.search("none")
+
+
+def test_bm25_against_brute_force(spark, monkeypatch):
+    import math
+
+    monkeypatch.setattr(lexical, "BLOCK", 7)
+    monkeypatch.setattr(lexical, "QUERIES", 3)
+    rng = random.Random(4)
+    words = ["aa", "bb", "cc", "dd", "ee", "ff", "gg", "hh"]
+    texts = [" ".join(rng.choices(words, weights=range(1, 9), k=rng.randint(0, 12))) for _ in range(40)] + [None, "", "x-y 12"]
+    rows = [(("c", "d")[k % 2], f"i{k}", t) for k, t in enumerate(texts)]
+    corpus = spark.createDataFrame(rows, "collection string, id string, text string").repartition(3)
+    queries = corpus.select("collection", F.col("id").alias("query_id"), "text")
+    got = {(r.query_id, r.id): r.score for r in lexical.sparse_topk(lexical.query_terms(queries), lexical.build_index(corpus), 100, others=True).collect()}
+    want = {}
+    for c in "cd":
+        own = [(i, (t or "").split() if "-" not in (t or "") else []) for x, i, t in rows if x == c]
+        mean = sum(len(t) for _, t in own) / len(own)
+        for q, asked in own:
+            for i, t in own:
+                if q != i and set(asked) & set(t):
+                    df = {w: sum(w in x for _, x in own) for w in set(asked)}
+                    want[q, i] = sum(math.log(1 + (len(own) - df[w] + 0.5) / (df[w] + 0.5)) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / mean)) for w in set(asked) & set(t))
+    assert got == pytest.approx(want)
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_query_blocks_sent_or_dealt(spark, monkeypatch, sent):
+    monkeypatch.setattr(blocks, "MOST_SENT", sent)
+    monkeypatch.setattr(dense, "QUERIES", 2)
+    monkeypatch.setattr(dense, "BLOCK", 10)
+    rng = random.Random(6)
+    rows = [("c", str(k), [rng.gauss(0, 1) for _ in range(4)]) for k in range(90)]
+    df = spark.createDataFrame(rows, "collection string, id string, dense array<double>").repartition(5)
+    q = df.filter("int(id) < 9").select("collection", F.col("id").alias("query_id"), F.col("dense").alias("qvec"))
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5
+    want = {(a[1], n + 1): b[1] for a in rows[:9] for n, b in enumerate(sorted(rows, key=lambda b: -cosine(a[2], b[2]))[:3])}
+    assert {(r.query_id, r.rank): r.id for r in dense.dense_topk(q, df, 3).collect()} == want
+
+
+def test_payload(spark):
+    found = spark.createDataFrame([("q", "a", 0.5, 0.0), ("q", "gone", 0.0, 3.0)], "query_id string, id string, dense_score double, sparse_score double")
+    table = spark.createDataFrame([("a", "text", None, {"k": "v", "_dense_score": "9"})], "id string, document string, rating double, payload map<string,string>")
+    got = {r.id: r for r in search.attach_payload(found, table).collect()}
+    assert got["a"].payload == {"k": "v", "_dense_score": "0.5", "_sparse_score": "0.0"} and got["gone"].payload == {"_dense_score": "0.0", "_sparse_score": "3.0"}
+    assert [tuple(got[i][c] for c in search.DEFAULTS) for i in ("a", "gone")] == [("text", "—", "", 0.0, 0), ("", "—", "", 0.0, 0)]
+
+
+def test_system_prompts(spark):
+    rows = spark.createDataFrame([("chat_1",), ("code_2",), ("odd",)], "session_id string")
+    got = {r.session_id: r.system for r in chat.system_prompts(rows, spark.createDataFrame([("chat", "A"), ("code", "B")], "prefix string, system string")).collect()}
+    assert got == {"chat_1": "A", "code_2": "B", "odd": None}
+    asked = spark.createDataFrame([("1", None, None, None, None)], "query_id string, system string, context string, history string, query string")
+    assert chat.build_prompts(asked).first().prompt.count("—") == 3
+
+
+def test_files_are_listed_and_read(spark, tmp_path):
+    (tmp_path / "docs" / "hr").mkdir(parents=True)
+    (tmp_path / "docs" / "hr" / "a.txt").write_text("one\ntwo")
+    (tmp_path / "docs" / "b.txt").write_text("x")
+    (tmp_path / "docs" / "empty.txt").write_text("")
+    listed = tables.list_files(spark, str(tmp_path / "docs")).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.length) for r in listed) == [("a.txt", 7), ("b.txt", 1)]
+    read = {r.path.rsplit("/", 1)[1]: r.text for r in tables.read_documents(spark, str(tmp_path / "docs")).collect()}
+    assert read["a.txt"] == "one\ntwo"
+
+
 @pytest.mark.parametrize(("c1", "mode", "want"), [(3.0, "top1", "c1"), (3.0, "first_rated", None), (3.0, "best_rated", "c2"), (3.5, "first_rated", "c1"), (3.5, "best_rated", "c2")])
 def test_cached(spark, c1, mode, want):
     table = [("c", f"c{n}", [s, (1 - s * s) ** 0.5], r) for n, (s, r) in enumerate([(0.95, c1), (0.90, 4.5), (0.85, 4.5), (0.79, 5.0)], 1)]
@@ -86,6 +184,11 @@ def test_average(spark):
     assert [r.question_id for r in rejected.collect()] == ["q99"]
     new = [r for r in cache.upsert(table, df((None, 4))).collect() if r.status == "new"]
     assert [(r.rating, r.rating_count) for r in new] == [(4.0, 1)]
+    full = spark.createDataFrame([("q7", "asked", "said", "see", 4.0, 3, [1.0]), ("q8", "a", "b", None, 1.0, 1, None)], "question_id string, question string, answer string, display_docs string, rating double, rating_count long, dense array<float>")
+    log = spark.createDataFrame([("s", "q7", "m", "x", "y", 5), ("s", None, "how", "so", "there", 4)], "session_id string, question_id string, msg string, answer string, display_docs string, rating int")
+    got = {r.status: r for r in cache.upsert(full, log).collect()}
+    assert tuple(got["updated"])[:6] == ("q7", "asked", "said", "see", 4.25, 4) and tuple(got["untouched"])[:6] == ("q8", "a", "b", None, 1.0, 1)
+    assert tuple(got["new"])[1:7] == ("how", "so", "there", 4.0, 1, None)
 
 
 def test_average_is_sequential(spark):
@@ -148,6 +251,50 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert [(r.collection, r.id) for r in snapshots.recover(spark, chosen, str(tmp_path)).collect()] == [("docs", "a")]
 
 
+def test_restore_over_a_collection(spark, tmp_path):
+    at, folder = str(tmp_path / "table"), str(tmp_path / "snaps")
+    rows = lambda *x: spark.createDataFrame(list(x), "collection string, id string")
+    snapshots.write_snapshot(rows(("docs", "old"), ("cache", "b c")), folder, "s1")
+    snapshots.write_snapshot(rows(("a b", "x")), folder, "s2")
+    rows(("docs", "new"), ("other", "z")).write.partitionBy("collection").parquet(at)
+    found = snapshots.snapshots_below(spark, folder)
+    assert {(r.collection, r.name) for r in found.collect()} == {("docs", "s1"), ("cache", "s1"), ("a b", "s2")}
+    every = found.select("collection", "name", F.lit("ok").alias("status"))
+    assert {(r.collection, r.id) for r in snapshots.restore(spark, every, folder, at).collect()} == {("docs", "old"), ("cache", "b c"), ("a b", "x"), ("other", "z")}
+    with pytest.raises(ValueError):
+        snapshots.recover(spark, every.limit(0), folder)
+
+
+@pytest.mark.parametrize("most", [1, 1000])
+def test_normalise_by_join_too(spark, monkeypatch, most):
+    from askmill.functions import text
+
+    monkeypatch.setattr(text, "MOST_WORDS", most)
+    q = spark.createDataFrame([("a", "the cats ran The end"), ("b", None), ("c", "x-ray")], "query_id string, text string")
+    stop, lemmas = spark.createDataFrame([("the",), ("ran",)], "word string"), spark.createDataFrame([("cats", "cat"), ("cats", "dog"), ("ran", "run"), ("end", None)], "word string, lemma string")
+    assert {r.query_id: r.normalized for r in normalize_queries(q, stop, lemmas).collect()} == {"a": "cat end", "b": "", "c": ""}
+    assert {r.normalized for r in normalize_queries(q).collect()} == {"the cats ran the end", ""}
+
+
+def test_tokens(spark):
+    from askmill.functions.text import tokens
+
+    text = "It's re-do of co-op, a--bc de-- --fg x_y 12ab ÉTÉ İx q1-ww ok-_ end."
+    assert spark.createDataFrame([(text,)], "t string").select(tokens("t").alias("x")).first().x == ["it", "of", "bc", "de", "fg", "été", "i̇x", "end"]
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError):
+        shared.shared_dir(Session)
+
+
 def test_normalise(spark):
     q = spark.createDataFrame([("q", "Как  настроить кое-что в VPN2 сервере?"), ("s", "Как в")], "query_id string, text string")
     stop = spark.createDataFrame([("как",), ("в",)], "word string")
@@ -178,6 +325,7 @@ def test_hooks(spark, tmp_path):
     df = spark.createDataFrame([("a", "x y"), ("b", "x y"), ("c", "")], "id string, document string")
     got = {r.id: r.dense for r in embed(df, "document").collect()}
     assert got["a"] == got["b"] and len(got["c"]) == 64
+    assert {r.q: r.qvec for r in query_embed(spark.createDataFrame([("1", "x y"), ("2", None)], "q string, text string")).collect()} == {"1": got["a"], "2": got["c"]}
     empty = create_collection(spark, str(tmp_path / "c"))
     assert ingest_texts(empty, df).count() == 3 and ingest_texts(ingest_texts(empty, df), df).count() == 3
 
@@ -228,15 +376,14 @@ def test_flush_gathers_no_entries(spark, immediate):
     df = spark.createDataFrame(rows, "session_id string, question_id string, msg string, rating double, ts timestamp, seq long")
     now, want, runs_ = max(x[4] for x in rows) - timedelta(hours=8), {}, {}
     for r in rows:
-        if r[3] is not None:
-            of = runs_.setdefault(r[0], [])
-            if not of or r[4] - of[-1][-1][4] >= gap:
-                of.append([])
-            of[-1].append(r)
+        of = runs_.setdefault(r[0], [])
+        if not of or r[4] - of[-1][-1][4] >= gap:
+            of.append([])
+        of[-1].append(r)
     for s, of in runs_.items():
         for run in of:
             if immediate or run[-1][4] + gap <= now:
-                want |= {(s, run[0][4], r[1]): (r[2], int(r[3])) for r in sorted(run, key=lambda r: (r[4], -r[5]))}
+                want |= {(s, run[0][4], r[1]): (r[2], int(r[3])) for r in sorted(run, key=lambda r: (r[4], -r[5])) if r[3] is not None}
     flushed = cache.flush(df, "30 minutes", now=str(now), immediate=immediate)
-    assert {tuple(r)[:3]: tuple(r)[3:] for r in flushed.collect()} == want
+    assert {(r.session_id, r.start, r.question_id): (r.msg, r.rating) for r in flushed.collect()} == want
     assert "collect_list" not in flushed._jdf.queryExecution().toString()

@@ -2,9 +2,10 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from askmill.config import SESSION_ENTRY
+from askmill.config import CACHED_ANSWER, SESSION_ENTRY
+from askmill.functions.hooks import query_embed
 from askmill.operators import cache
-from askmill.streaming import sessions
+from askmill.streaming import sessions, versions
 
 T0 = datetime(2024, 1, 1)
 
@@ -32,26 +33,86 @@ def written(spark, tmp_path):
 def test_streamed_flush_equals_batch_flush(spark, tmp_path):
     path, found = written(spark, tmp_path), []
     for _ in range(2):  # the second run starts from the checkpoint and adds nothing
-        sessions.flush_stream(stream(spark, path), "30 minutes", lambda df, n: found.extend(map(tuple, df.collect())), str(tmp_path / "cp")).awaitTermination()
+        sessions.flush_stream(stream(spark, path), "30 minutes", lambda df, n: found.extend((r.session_id, r.start, r.question_id, r.msg, r.rating) for r in df.collect()), str(tmp_path / "cp")).awaitTermination()
     want = cache.flush(log(spark), "30 minutes", now="2024-01-09 00:00:00").collect()
-    assert sorted(map(str, found)) == sorted(str(tuple(r)) for r in want) and found
+    assert sorted(map(str, found)) == sorted(str((r.session_id, r.start, r.question_id, r.msg, r.rating)) for r in want) and found
 
 
-def test_cache_is_kept_up(spark, tmp_path):
+def test_unrated_entries_keep_a_session(spark, tmp_path):
+    rows = [("s", "q", "m0", 2.0, 0), ("s", "q", "m1", None, 20), ("s", "q", "m2", 4.0, 40), ("s", "r", "m3", 5.0, 90), ("end", "q", "m", 1.0, 9000)]
+    df = spark.createDataFrame([(s, q, m, r, T0 + timedelta(minutes=t), k) for k, (s, q, m, r, t) in enumerate(rows)], log(spark).schema)
+    want = [("s", T0, "q", "m2", 4), ("s", T0 + timedelta(minutes=90), "r", "m3", 5)]
+    of = lambda r: (r.session_id, r.start, r.question_id, r.msg, r.rating)
+    assert sorted(map(of, cache.flush(df, "30 minutes", now="2024-01-02 00:00:00").collect())) == want
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = []
+    sessions.flush_stream(stream(spark, str(tmp_path / "in")), "30 minutes", lambda df, n: found.extend(map(of, df.collect())), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(found) == want
+
+
+def test_cache_is_kept_up_and_answers(spark, tmp_path):
     path, out = written(spark, tmp_path), str(tmp_path / "cache")
-    sessions.flush_stream(stream(spark, path), "30 minutes", sessions.maintain_cache(out), str(tmp_path / "cp")).awaitTermination()
-    rows = sessions.read_cache(spark, out)
-    assert rows.count() == rows.select("question_id").distinct().count() > 0
+
+    def run(checkpoint):
+        sessions.flush_stream(stream(spark, path), "30 minutes", sessions.maintain_cache(out, checkpoint), checkpoint).awaitTermination()
+        return {r.question_id: r for r in sessions.read_cache(spark, out).collect()}
+
+    first = run(str(tmp_path / "cp"))
+    flushed = cache.flush(log(spark), "30 minutes", now="2024-01-09 00:00:00").collect()
+    assert {r.question for r in first.values()} == {r.msg for r in flushed if r.question_id is None} and len(first) > 0
+    assert all(len(r.dense) == 64 and r.rating_count == 1 and r.collection == "cache" for r in first.values())
+    # A repeated batch changes nothing; a stream with a new checkpoint starts at batch 0 again, and is put on top.
+    assert run(str(tmp_path / "cp")) == first and run(str(tmp_path / "other")) == first
+    rated = spark.createDataFrame([("t", k, "again", 5, None, None) for k in list(first)[:1]], "session_id string, question_id string, msg string, rating int, answer string, display_docs string")
+    sessions.maintain_cache(out, str(tmp_path / "cp"))(rated, 77)
+    sessions.maintain_cache(out, str(tmp_path / "cp"))(rated, 77)
+    now = {r.question_id: r for r in sessions.read_cache(spark, out).collect()}
+    (changed,) = [i for i in now if now[i] != first[i]]
+    assert now[changed].rating_count == 2 and now[changed].question == first[changed].question
+    for _ in range(2):
+        versions.compact(spark, out, "question_id", CACHED_ANSWER)
+        assert {r.question_id: r for r in sessions.read_cache(spark, out).collect()} == now
+    # What the stream has written is searched and served.
+    some = list(now.values())[0]
+    asked = query_embed(spark.createDataFrame([("cache", "known", some.question), ("cache", "new", "nothing like it")], "collection string, query_id string, text string"))
+    table = sessions.read_cache(spark, out)
+    routes = cache.route(asked, cache.cached_answers(asked, table))
+    made = spark.createDataFrame([("new", "<think>x</think> said", None)], "query_id string, answer string, error string")
+    got = {r.query_id: (r.route, r.answer) for r in cache.answered(routes, table, made).collect()}
+    assert got == {"known": ("cache", some.answer), "new": ("search", "said")}
+
+
+def timed(spark, tmp_path, batches, policy="idle", minutes=30):
+    path = str(tmp_path / "in")
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame([(s, q, m, r, T0 + timedelta(minutes=t), 100 * k + n) for n, (s, q, m, r, t) in enumerate(rows)], log(spark).schema)
+        df.coalesce(1).write.mode("append").parquet(path)
+    name = f"timed_{tmp_path.name}".replace("-", "_")
+    sessions.timed_sessions(stream(spark, path), minutes, policy).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    return sorted((r.session_id, r.question_id, r.msg, r.rating) for r in spark.table(name).collect())
 
 
-def test_timed_sessions(spark, tmp_path):
-    path = written(spark, tmp_path)
-    rows = sessions.timed_sessions(stream(spark, path), 60 * 24, "age")
-    q = rows.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table("timed")
-    assert got.count() == got.select("session_id", "question_id").distinct().count() > 0
-    assert got.filter("session_id = 'end'").count() == 0
+def test_timed_sessions_by_age(spark, tmp_path):
+    rows = [("a", "q", "m0", 1.0, 0), ("a", "q", "m1", 2.0, 20), ("b", "q", "m2", 3.0, 0)]
+    got = timed(spark, tmp_path, [rows, [("end", "q", "m", 1.0, 35)], [("end", "q", "m", 1.0, 46)], [("end", "q", "m", 1.0, 60)]], "age")
+    assert got == [("a", "q", "m1", 2), ("b", "q", "m2", 3)]
+
+
+def test_timed_sessions_are_renewed(spark, tmp_path):
+    rows = [("a", "q", "m0", 1.0, 0), ("a", None, "m1", None, 25), ("b", "q", "m2", 3.0, 0)]
+    got = timed(spark, tmp_path, [rows, [("end", "q", "m", 1.0, 45)], [("end", "q", "m", 1.0, 46)], [("end", "q", "m", 1.0, 47)]])
+    assert got == [("b", "q", "m2", 3)]  # a's unrated entry at 25 minutes keeps it beyond 35
+
+
+def test_clearing_closes_what_came_before(spark, tmp_path):
+    clear = ("a", None, sessions.CLEAR, None, 5)
+    got = timed(spark, tmp_path, [[("a", "q", "m0", 1.0, 0), clear, ("a", "q", "m1", 2.0, 6), ("b", "r", "m2", 3.0, 6)]])
+    assert got == [("a", "q", "m0", 1)]
+
+
+def test_a_late_clearing_keeps_newer_entries(spark, tmp_path):
+    got = timed(spark, tmp_path, [[("a", "q", "m0", 1.0, 0), ("a", "r", "m1", 2.0, 6)], [("a", None, sessions.CLEAR, None, 3)]])
+    assert got == [("a", "q", "m0", 1)]
 
 
 def test_sessionize(spark, tmp_path):
@@ -73,7 +134,8 @@ def test_files_are_ingested_once(spark, tmp_path):
         if rows:
             spark.createDataFrame(rows, "id string, document string").coalesce(1).write.mode("append").parquet(source)
         sessions.ingest_stream(spark.readStream.schema("id string, document string").parquet(source), chunk, out, cp).awaitTermination()
-    assert {r.id: r.document for r in spark.read.parquet(f"{out}/version-{sessions.versions(spark, out)[-1]}").collect()} == {"a": "X", "b": "Z"}
+    schema = spark.createDataFrame([], "id string, document string").schema
+    assert {r.id: r.document for r in versions.read(spark, out, "id", schema).collect()} == {"a": "X", "b": "Z"}
 
 
 def test_questions_are_routed(spark, tmp_path):
