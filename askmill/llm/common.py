@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from askmill.sources.shared import cut, shared_dir  # noqa: F401  for the operators
+
 #: A word: any run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,25 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (``spark.checkpoint.dir``).
-
-    Only where the cluster names none, as in local tests, a temporary folder is set for the session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="askmill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def cut(df: DataFrame, what: str = "step", codec: str = "snappy") -> DataFrame:
-    """Writes ``df`` as Parquet into the shared folder and reads it again, so that later jobs and lost executors don't repeat what came before."""
-    path = f"{shared_dir(df.sparkSession)}/askmill-{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def running_total(df: DataFrame, by: list[str], order: list[str], value: str, out: str, bucket: str) -> DataFrame:
     """``out``: the sum of ``value`` over the rows of the same ``by`` that come before this one in ``order``.
 
