@@ -1,10 +1,12 @@
 """Main text of web pages by template deduction over equivalence classes.
 
-The pages of a host share a template. Its tokens, here the page's containers with their place in the nesting and the
-texts of containers, are told from content by their occurrence vectors: in which pages a token occurs. Texts of equal
-vectors form an equivalence class; a class that occurs in enough of the host's pages is template, unless it holds
-the text of the slot itself: then its pages are copies of one article. Containers that occur once a page and hold nearly all text
-that is not template are slots; the article is what the best slot holds without the template's texts.
+The pages of a host share a template. Its tokens, here the page's containers with their place in the nesting, the texts of
+containers and the texts of blocks, are told from content by their occurrence vectors: in which pages a token occurs, and how often. Tokens of
+equal vectors form an equivalence class. A class is valid if it occurs in enough of the host's pages; its containers nest in
+those around them. A text is template if its class is valid and holds a container with it: the text of a whole container, or a block that
+comes wherever one around it does. A class that holds the text of the slot itself is none: its pages are copies of one article.
+Containers that occur once a page and hold nearly all text that is not template are slots; the article is what the best slot
+holds without the template's texts. Names of containers choose between slots, and say what of a page is no article in any.
 """
 
 from __future__ import annotations
@@ -12,7 +14,9 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -24,7 +28,7 @@ from askmill.llm.common import cut
 SHARE, PAGES = 0.5, 3
 #: A slot holds this share of the text that is not template, over its host's pages or in a page read alone.
 NEARLY = 0.9
-#: A page whose slot holds less than this share of its text is read alone; a container with more is not rejected by its name.
+#: A page whose slot holds less than this share of its text is read alone; a container with more is not rejected by its name; blocks with more of a slot's text are copies, not template.
 MINOR = 0.5
 #: Hosts whose slots each executor may be sent (some kilobyte each); more are joined by shuffle.
 MOST_HOSTS = 200_000
@@ -47,154 +51,217 @@ ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dial
 # What belongs to the container around it: its text alone is never template.
 PARTS = {"p", "li", "br", "h1", "h2", "h3", "h4", "h5", "h6", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "dt", "dd", "option", "figcaption", "legend", "hgroup"}
 CONTENT = {"article", "content", "entry", "main", "post", "story"}
+# Words that don't change what the others of a name say, and those before which a name tells of a state, not of the container itself.
+NEUTRAL = {"area", "bar", "block", "body", "bottom", "box", "btn", "button", "buttons", "container", "content", "entry", "global", "group", "icon", "icons", "inner", "item", "left", "link", "links", "list", "main", "page", "panel", "post", "primary", "right", "section", "site", "text", "top", "wrap", "wrapper"}
+STATES = {"has", "is", "js", "no", "not", "with", "without"}
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+# Possessive throughout: what has failed isn't tried again in parts, so a page is read in time in proportion to its length.
+_TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)|/[^a-zA-Z][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|(?<==)"[^"]*+"|(?<==)'[^']*+'|["'])*+)>)""", re.S)
+_ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 _WORD = re.compile(r"[a-zA-Z]+")
+_BEGUN = re.compile(r"</?[a-zA-Z]")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+#: What the start of an element of a kind ends: an element of the second set, if it is the innermost one open.
+_CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
-def _marks(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
-    """A container's token, whether it is no part of an article, whether its name says so, and whether it is named as one."""
+@dataclass
+class Marks:
+    """What a tag's attributes say of it: a token, whether it is hidden, whether a name says that it is no article, or that it is one."""
+
+    token: str
+    hidden: bool = False
+    says: bool = False
+    named: bool = False
+
+
+def marks(tag: str, attributes: str) -> Marks:
     if not attributes.strip():
-        return tag, tag in NOT_ARTICLE and tag != "form", tag == "form", tag in ("article", "main")
+        return Marks(tag, False, tag == "form", tag in ("article", "main"))
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-    names = {w.lower() for k in ("class", "id") for w in _WORD.findall(found.get(k, ""))}
-    away = tag in NOT_ARTICLE and tag != "form" or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(found.get("style", "")))
-    says = tag == "form" or bool(names & NAMES) and tag not in ("body", "html") or found.get("role", "").lower() in ROLES
-    token = tag + "".join(f".{x}" for x in sorted(names))
-    return token, away, says, tag in ("article", "main") or found.get("role", "").lower() == "main" or bool(names & CONTENT) and tag not in ("body", "html")
-
-
-class Block:
-    __slots__ = ("path", "away", "text", "chars", "inside")
-
-    def __init__(self, path: tuple[str, ...], away: bool, text: str, link: int, inside: tuple[int, ...]):
-        self.path, self.away, self.text, self.chars, self.inside = path, away, text, len(text) - min(link, len(text)), inside
-
-
-def _rejected(found: list[Block], says: set[int], named: dict[int, tuple[int, ...]]) -> set[int]:
-    """Of the containers that ``says`` holds, those that their names reject: all but one with most of the page's text, and no named article beside it."""
-    size: dict[int, int] = {}
-    for b in found:
-        if not b.away:
-            for n in b.inside:
-                size[n] = size.get(n, 0) + b.chars
-    most = MINOR * sum(b.chars for b in found if not b.away)
-    large = {n for n in says if size.get(n, 0) > most}
-    if not large:
-        return says
-    holding = {n: {b.inside for b in found if n in b.inside} for n in large}
-    beside = [(n, around) for n, around in named.items() if size.get(n, 0) and not says & {*around, n}]
-    return says - {n for n in large if not any(m not in x and n not in (*around, m) for m, around in beside for x in list(holding[n])[:1])}
-
-
-def blocks(page: str) -> tuple[list[Block], dict[tuple[str, ...], int], set[tuple[str, ...]]]:
-    """A page's text blocks in order, each with the path of containers around it; how often each path opens; and the paths named as an article."""
-    out: list[Block] = []
-    opened: dict[tuple[str, ...], int] = {}
-    named: dict[int, tuple[int, ...]] = {}
-    paths: dict[int, tuple[str, ...]] = {}
-    says: set[int] = set()
-    stack: list[tuple[str, tuple[str, ...], bool, tuple[int, ...]]] = [("", (), False, ())]
-    serial = 0
+    role = found.get("role", "").lower()
+    hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(found.get("style", "")))
+    names = [[w.lower() for w in _WORD.findall(x)] for k in ("class", "id") for x in found.get(k, "").split()]
+    own = [set(x) for x in names if x and x[0] not in STATES and tag not in ("body", "html")]
+    named = tag in ("article", "main") or role in ("article", "main") or any(x & CONTENT and x <= CONTENT | NEUTRAL for x in own)
+    says = tag == "form" or role in ROLES or not named and any(x & NAMES and x <= NAMES | NEUTRAL for x in own)
+    return Marks(tag + "".join(f".{w}" for w in sorted({w for x in names for w in x})), hidden, says, named)
+
+
+def _mark(*parts: object) -> int:
+    """64 bits, as a signed number, of these parts."""
+    x = xxhash.xxh64_intdigest("\0".join(map(str, parts)))
+    return x - 2**64 if x >= 2**63 else x
+
+
+@dataclass
+class Page:
+    """Containers in the order in which they open, 0 being the page, and blocks of text in theirs. A container's blocks are those from ``first`` to ``last``."""
+
+    parent: list[int] = field(default_factory=lambda: [-1])
+    depth: list[int] = field(default_factory=lambda: [0])
+    tag: list[str] = field(default_factory=lambda: [""])
+    mark: list[int] = field(default_factory=lambda: [0])
+    gone: list[bool] = field(default_factory=lambda: [False])
+    says: list[bool] = field(default_factory=lambda: [False])
+    named: list[bool] = field(default_factory=lambda: [False])
+    end: list[int] = field(default_factory=lambda: [0])
+    first: list[int] = field(default_factory=lambda: [0])
+    last: list[int] = field(default_factory=lambda: [0])
+    text: list[str] = field(default_factory=list)
+    chars: list[int] = field(default_factory=list)
+    inside: list[int] = field(default_factory=list)
+
+    def settle(self) -> None:
+        """Says which blocks are no article: those that tags or attributes hide, and those of containers that their names reject.
+
+        A name doesn't reject a container with most of the page's text, unless a container named as an article stands beside it.
+        """
+        n = len(self.parent)
+        held = np.r_[0, np.cumsum([0 if self.gone[c] else x for c, x in zip(self.inside, self.chars, strict=True)])].astype(np.int64)
+        size = held[self.last] - held[self.first]
+        under, around, good = [False] * n, [0] * n, [False] * n
+        for c in range(1, n):
+            p = self.parent[c]
+            under[c] = under[p] or self.says[c]
+            around[c] = around[p] + good[p]
+            good[c] = self.named[c] and not self.gone[c] and not under[c] and size[c] > 0
+        below = np.r_[0, np.cumsum(good)]
+        for c in range(1, n):
+            beside = below[-1] - around[c] - (below[self.end[c]] - below[c])
+            rejected = self.says[c] and (size[c] <= MINOR * size[0] or beside > 0)
+            self.gone[c] = self.gone[c] or self.gone[self.parent[c]] or bool(rejected)
+            self.says[c] = rejected or self.says[self.parent[c]]
+            self.named[c] = self.named[c] and not self.gone[c]
+
+    def kept(self) -> np.ndarray:
+        return np.array([not self.gone[c] for c in self.inside], bool)
+
+    def home(self) -> list[int]:
+        """For each container itself, or for a part of a text the container around it that is none."""
+        out = [0]
+        for c in range(1, len(self.parent)):
+            out.append(out[self.parent[c]] if self.tag[c] in PARTS else c)
+        return out
+
+
+def blocks(page: str) -> Page:
+    """A page's containers and text blocks, in one pass over it."""
+    out, stack, opened, lost = Page(), [0], {}, []
     parts: list[str] = []
     links = link_depth = at = 0
 
-    def close() -> None:
+    def flush() -> None:
         nonlocal links
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(stack[-1][1], stack[-1][2], text, links, stack[-1][3]))
+                out.text.append(text)
+                out.chars.append(len(text) - min(links, len(text)))
+                out.inside.append(stack[-1])
             parts.clear()
         links = 0
+        lost.clear()
+
+    def leave() -> None:
+        c = stack.pop()
+        opened[out.tag[c]] -= 1
+        out.end[c], out.last[c] = len(out.parent), len(out.text)
 
     while at < len(page):
-        m = _TAG.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at:
+        lt = page.find("<", at)
+        end = len(page) if lt < 0 else lt
+        if end > at and not lost:
             parts.append(page[at:end])
-            links += (end - at) * bool(link_depth)
-        if not m:
+            links += (end - at) * link_depth
+        if lt < 0:
             break
+        m = _TAG.match(page, lt)
+        if not m:
+            if _BEGUN.match(page, lt):
+                break  # a tag that never ends
+            if not lost:
+                parts.append("<")
+            at = lt + 1
+            continue
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
-                ended = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
+                ended = _ENDS[tag].search(page, at)
                 at = ended.end() if ended else len(page)
             continue
         if tag == "a":
             link_depth = 0 if m[1] else 1
-        if tag == "br" or tag == "hr":
+        if tag == "br" and not lost:
             parts.append(" ")
-            if tag == "hr":
-                close()
-        if tag in VOID or tag not in BLOCK:
+        if tag == "hr":
+            flush()
+        if tag in VOID:
+            continue
+        if tag not in BLOCK:
+            # An inline element that is hidden, or named as no article, is lost up to its end, or the block's.
+            if m[1]:
+                if lost and tag == lost[-1]:
+                    lost.pop()
+            elif not m[3].endswith("/"):
+                found = marks(tag, m[3])
+                if lost and tag == lost[-1] or found.hidden or found.says:
+                    lost.append(tag)
             continue
-        close()
+        flush()
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                while out.tag[stack[-1]] != tag:
+                    leave()
+                leave()
             continue
-        for one, until in (("p", {"p"}), ("li", {"li", "ul", "ol"}), ("td", {"td", "th", "tr", "table"}), ("th", {"td", "th", "tr", "table"}), ("tr", {"tr", "table"}), ("dt", {"dt", "dd", "dl"}), ("dd", {"dt", "dd", "dl"}), ("option", {"option"})):
-            # An open paragraph ends at any block, a list item or cell at the next of its kind.
-            if stack[-1][0] == one and (one == "p" or tag in until and tag not in ("ul", "ol", "table", "dl")):
-                stack.pop()
-        token, away, by_name, article = _marks(tag, m[3])
-        path = (*stack[-1][1], token)
-        inside = any(x[0] == "article" for x in stack)
-        away = stack[-1][2] or away or tag == "header" and not inside
-        serial += 1
-        if by_name:
-            says.add(serial)
-        if article and not away:
-            named[serial], paths[serial] = stack[-1][3], path
-        stack.append((tag, path, away, (*stack[-1][3], serial)))
-        opened[path] = opened.get(path, 0) + 1
-    close()
-    if says:
-        says = _rejected(out, says, named)
-        for b in out:
-            b.away = b.away or not says.isdisjoint(b.inside)
-    return out, opened, {paths[n] for n, around in named.items() if says.isdisjoint((*around, n))}
-
-
-def _mark(path: tuple[str, ...], text: int) -> int:
-    mark = xxhash.xxh64_intdigest(f"{'/'.join(path)} {text}")
-    return mark - 2**64 if mark >= 2**63 else mark
-
-
-def texts(found: list[Block]) -> tuple[dict[int, tuple[tuple[str, ...], int]], list[dict[int, int]]]:
-    """The texts of a page's containers by their mark (path, characters in the page), and per block the marks that hold it, each with its path's length.
-
-    A container's text is all that it holds, and what it holds directly; parts of a text, as paragraphs, have none of their own.
-    """
-    whole: dict[int, list] = {}
-    own: list[int | None] = []
-    for b in found:
-        text = xxhash.xxh64_intdigest(b.text)
-        direct = bool(b.path) and b.path[-1].split(".")[0] not in PARTS
-        own.append(_mark((*b.path, "#"), text) if direct else None)
-        if not b.away:
-            for k, n in enumerate(b.inside):
-                w = whole.setdefault(n, [b.path[: k + 1], 0, 0])
-                w[1] = (w[1] * 1_000_003 + text) % 2**64
-                w[2] += b.chars
-    marks = {n: _mark(path, text) for n, (path, text, _) in whole.items() if path[-1].split(".")[0] not in PARTS}
-    out: dict[int, tuple[tuple[str, ...], int]] = {}
-    for n, mark in marks.items():
-        out[mark] = (whole[n][0], whole[n][2] + (out[mark][1] if mark in out else 0))
-    for b, mark in zip(found, own, strict=True):
-        if mark is not None and not b.away:
-            out[mark] = ((*b.path, "#"), b.chars + (out[mark][1] if mark in out else 0))
-    holding = [{marks[n]: k + 1 for k, n in enumerate(b.inside) if n in marks} | ({mark: len(b.path) + 1} if mark is not None else {}) for b, mark in zip(found, own, strict=True)]
-    return out, holding
+        if out.tag[stack[-1]] == "p" or out.tag[stack[-1]] in _CLOSES.get(tag, ()):
+            leave()
+        found, top = marks(tag, m[3]), stack[-1]
+        stack.append(len(out.parent))
+        out.parent.append(top)
+        out.depth.append(out.depth[top] + 1)
+        out.tag.append(tag)
+        out.mark.append(_mark(out.mark[top], found.token))
+        out.gone.append(out.gone[top] or found.hidden or tag in NOT_ARTICLE and tag != "form" or tag == "header" and not opened.get("article"))
+        out.says.append(found.says)
+        out.named.append(found.named)
+        out.first.append(len(out.text))
+        out.end.append(0)
+        out.last.append(0)
+        opened[tag] = opened.get(tag, 0) + 1
+    flush()
+    while len(stack) > 1:
+        leave()
+    out.end[0], out.last[0] = len(out.parent), len(out.text)
+    out.settle()
+    return out
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def texts(page: Page) -> tuple[dict[int, int], list[int | None]]:
+    """For containers, but parts of a text, the mark of all the article's text that they hold; and for each block of the article a mark of where it stands and what it says."""
+    kept, home = page.kept().tolist(), page.home()
+    # Sums of powers: a run's are told from those up to its ends, so that a deep page takes no longer than a flat one.
+    upto, power = [0], [1]
+    for text, keep in zip(page.text, kept, strict=True):
+        upto.append((upto[-1] * _BASE + xxhash.xxh64_intdigest(text)) % 2**64 if keep else upto[-1])
+        power.append(power[-1] * _BASE % 2**64 if keep else power[-1])
+    count = np.r_[0, np.cumsum(kept)].tolist() if kept else [0]
+    powers = {n: p for n, p in zip(count, power, strict=True)}
+    whole = {}
+    for c in range(1, len(page.parent)):
+        a, b = page.first[c], page.last[c]
+        if page.tag[c] not in PARTS and count[b] > count[a] and not page.gone[c]:
+            whole[c] = _mark(page.mark[c], "whole", (upto[b] - upto[a] * powers[count[b] - count[a]]) % 2**64)
+    own = [_mark(page.mark[home[c]], "block", t) if keep else None for c, t, keep in zip(page.inside, page.text, kept, strict=True)]
+    return whole, own
 
 
 def _host(url: str | None) -> str | None:
@@ -203,73 +270,124 @@ def _host(url: str | None) -> str | None:
 
 
 def tokens(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
-    """host, path, text, pages, vector, count, chars, named: sums over a host's pages for each container path (text 0) and each text of a container.
+    """host, path, parent, depth, text, whole, pages, vector, count, chars, named: sums over a host's pages for each container path (text 0), each text of a container (whole) and each of a block.
 
-    vector: the sum of the hashes of the pages it occurs in, modulo 2^64, so that equal occurrence vectors have
-    equal sums; each task adds up its own pages before anything is shuffled. The empty path stands for the
-    page. chars: the article text below the path; named: whether a page names it as an article.
+    path, parent and text are marks, so that a token is as short for a deep page. vector: the sum of the hashes of the pages it
+    occurs in, times how often, modulo 2^64, so that equal occurrence vectors have equal sums; each task adds up its own pages before anything is
+    shuffled. Path 0 stands for the page. chars: the article's text below the path, or of the text; named: whether a page names it as an article.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str, int], list] = {}
+            sums: dict[tuple[str, int, int, int, int, bool], list] = {}
             for k in range(batch.num_rows):
-                host, page = _host(batch.column(1)[k].as_py()), batch.column(2)[k].as_py()
-                if host is None or not page:
+                host, given = _host(batch.column(1)[k].as_py()), batch.column(2)[k].as_py()
+                if host is None or not given:
                     continue
                 mark = xxhash.xxh64_intdigest(f"{batch.column(0)[k].as_py()}")
-                found, opened, named = blocks(page)
-                chars: dict[tuple[str, ...], int] = {}
-                for b in found:
-                    if not b.away:
-                        for n in range(len(b.path) + 1):
-                            chars[b.path[:n]] = chars.get(b.path[:n], 0) + b.chars
-                containers = [(path, 0, n, chars.get(path, 0)) for path, n in [((), 1), *opened.items()] if not path or path[-1].split(".")[0] not in PARTS]
-                for path, text, n, size in containers + [(path, m, 1, size) for m, (path, size) in texts(found)[0].items()]:
-                    s = sums.setdefault((host, "/".join(path), text), [0, 0, 0, 0, False])
+                page = blocks(given)
+                held = np.r_[0, np.cumsum(np.where(page.kept(), page.chars, 0))].astype(int).tolist() if page.text else [0]
+                whole, own = texts(page)
+                found: dict[tuple[int, int, int, int, bool], list] = {}
+                home = page.home()
+
+                def add(token: tuple[int, int, int, int, bool], chars: int, named: bool) -> None:
+                    x = found.setdefault(token, [0, 0, False])
+                    x[0] += 1
+                    x[1] += chars
+                    x[2] |= named
+
+                for c in range(len(page.parent)):
+                    if page.tag[c] in PARTS:
+                        continue
+                    around = page.mark[home[page.parent[c]]] if c else 0
+                    size = held[page.last[c]] - held[page.first[c]]
+                    add((page.mark[c], around, page.depth[c], 0, False), size, page.named[c])
+                    if c in whole:
+                        add((page.mark[c], around, page.depth[c], whole[c], True), size, False)
+                for c, m, chars in zip(page.inside, own, page.chars, strict=True):
+                    if m is not None:
+                        h = home[c]
+                        add((page.mark[h], 0, page.depth[h], m, False), chars, False)
+                for token, (n, chars, named) in found.items():
+                    s = sums.setdefault((host, *token), [0, 0, 0, 0, False])
                     s[0] += 1
-                    s[1] = (s[1] + mark) % 2**64
+                    s[1] = (s[1] + mark * n) % 2**64
                     s[2] += n
-                    s[3] += size
-                    s[4] |= path in named
-            rows = [(h, p, t, a, v - 2**64 if v >= 2**63 else v, c, x, y) for (h, p, t), (a, v, c, x, y) in sums.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            types = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "text", "pages", "vector", "count", "chars", "named"])
-
-    rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(text).alias("t")).mapInArrow(run, "host string, path string, text long, pages long, vector long, count long, chars long, named boolean")
+                    s[3] += chars
+                    s[4] |= named
+            rows = [(*token, a, v - 2**64 if v >= 2**63 else v, c, x, y) for token, (a, v, c, x, y) in sums.items()]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 11
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "parent", "depth", "text", "whole", "pages", "vector", "count", "chars", "named"])
+
+    kind = "host string, path long, parent long, depth int, text long, whole boolean, pages long, vector long, count long, chars long, named boolean"
+    rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(text).alias("t")).mapInArrow(run, kind)
     # Vectors are sums modulo 2^64: exact in decimals, brought back to one value of each residue.
     residue = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(str(2**64)).cast("decimal(38,0)"))
-    return rows.groupBy("host", "path", "text").agg(F.sum("pages").alias("pages"), residue.alias("vector"), F.sum("count").alias("count"), F.sum("chars").alias("chars"), F.max("named").alias("named"))
+    by = ["host", "path", "parent", "depth", "text", "whole"]
+    return rows.groupBy(*by).agg(F.sum("pages").alias("pages"), residue.alias("vector"), F.sum("count").alias("count"), F.sum("chars").alias("chars"), F.max("named").alias("named"))
+
+
+@dataclass
+class Place:
+    """A container path: the path around it, how deep it lies, its text that is not template, whether it is named as an article and may be a slot."""
+
+    parent: int
+    depth: int
+    chars: int
+    named: bool
+    slot: bool = True
 
 
-def best_slot(paths: dict[tuple[str, ...], int], named: set[tuple[str, ...]]) -> tuple[str, ...]:
-    """Of the paths (with their text) the slot: the outermost named one, or else the innermost around the largest named one, or of all, that holds nearly all."""
-    whole = NEARLY * paths[()]
-    holds = {p for p, n in paths.items() if n >= whole} | {()}
-    if articles := holds & named:
-        return min(articles, key=lambda p: (len(p), -paths[p], p))
-    largest = max((p for p in named if p in paths), key=lambda p: (paths[p], p), default=None)
-    around = {p for p in holds if largest is None or largest[: len(p)] == p}
-    return max(around, key=lambda p: (len(p), paths.get(p, 0), p))
+def chain(places: dict[int, Place], path: int) -> list[int]:
+    """The path and those around it, up to the page's."""
+    out = [path]
+    while out[-1]:
+        out.append(places[out[-1]].parent)
+    return out
 
 
-def deduce(tokens: list[tuple[tuple[str, ...], int, int, int, bool]]) -> tuple[tuple[str, ...], set[int]]:
-    """A host's slot and the marks of its template's texts, from what is in enough of its pages: path, text, vector, chars, named.
+def best_slot(places: dict[int, Place]) -> int:
+    """The slot: the outermost named path that holds nearly all text, or else the innermost that does, around the largest named one if there is one."""
+    whole = NEARLY * places[0].chars
+    holds = {p for p, x in places.items() if x.slot and x.chars >= whole} | {0}
+    if articles := [p for p in holds if places[p].named]:
+        return min(articles, key=lambda p: (places[p].depth, -places[p].chars, p))
+    largest = max((p for p, x in places.items() if x.named), key=lambda p: (places[p].chars, p), default=None)
+    around = holds if largest is None else holds.intersection(chain(places, largest))
+    return max(around, key=lambda p: (places[p].depth, places[p].chars, p))
 
-    Texts of equal vectors are a class. A class that holds the text of the slot, or of what is around it, has copies of one page.
+
+def deduce(tokens: list[dict]) -> tuple[int, set[int]]:
+    """A host's slot and the marks of its template's texts, from the tokens that are in enough of its pages.
+
+    Tokens of equal vectors are a class. Of a class without the text of the slot, or of what is around it, the texts of containers are
+    template, and so are blocks if a container around them is of the class: they come wherever it does. Blocks that would take most of the
+    slot's text are copies as well.
     """
-    paths = {path: chars for path, text, _, chars, _ in tokens if not text}
-    named = {path for path, text, _, _, says in tokens if not text and says}
-    template: set[int] = set()
-    slot = best_slot(paths, named)
+    paths, said = [t for t in tokens if not t["text"]], [t for t in tokens if t["text"]]
+    once = {t["path"]: t["vector"] for t in paths if t["pages"] == t["count"]}
+    size = {t["path"]: t["chars"] for t in paths}
+    places = {t["path"]: Place(t["parent"], t["depth"], t["chars"], t["named"] and t["path"] in once, t["path"] in once) for t in paths}
+    slot, template = best_slot(places), set()
     for _ in range(2):
-        around = {slot[:k] for k in range(len(slot) + 1)}
-        copies = {vector for path, text, vector, _, _ in tokens if text and (path in around or path[-1].split(".")[0] in ("html", "body"))}
-        found = {path: 0 for path, text, vector, _, _ in tokens if text and vector not in copies}
-        template = {text for _, text, vector, _, _ in tokens if text and vector not in copies}
-        outer = [(path, chars) for path, text, _, chars, _ in tokens if text in template and not any(path[:k] in found for k in range(len(path)))]
-        slot = best_slot({p: n - sum(c for path, c in outer if path[: len(p)] == p) for p, n in paths.items()}, named)
+        around = set(chain(places, slot))
+        copies = {t["vector"] for t in said if t["whole"] and (t["path"] in around or not places[t["path"]].parent)}
+        outer = {t["path"]: t for t in said if t["whole"] and t["path"] not in around and t["vector"] not in copies}
+        repeated = [t for t in said if not t["whole"] and t["vector"] not in copies and any(t["vector"] == once.get(p) for p in chain(places, t["path"]))]
+        inner = [t for t in repeated if slot in chain(places, t["path"])]
+        if sum(t["chars"] for t in inner) > MINOR * size[slot]:
+            repeated = [t for t in repeated if t not in inner]
+        template = {t["text"] for t in [*outer.values(), *repeated]}
+        # What goes from a path: the outermost template containers below it, and the blocks that are in none.
+        less = dict.fromkeys(places, 0)
+        for t in [*outer.values(), *repeated]:
+            ways = chain(places, t["path"])
+            if not any(p in outer for p in ways[t["whole"] :]):
+                for p in ways:
+                    less[p] += t["chars"]
+        slot = best_slot({p: Place(x.parent, x.depth, size[p] - less[p], x.named, x.slot) for p, x in places.items()})
     return slot, template
 
 
@@ -278,41 +396,63 @@ def slots(found: DataFrame) -> DataFrame:
 
     What is in less than half of a host's pages goes first, so a host's row holds some hundred tokens, however many its pages.
     """
-    whole = found.filter("path = ''").select(F.col("host").alias("h"), F.col("pages").alias("of"))
-    rows = found.filter(F.col("pages") >= PAGES).join(whole, F.col("host") == F.col("h")).filter((F.col("pages") >= SHARE * F.col("of")) & ((F.col("text") != 0) | (F.col("pages") == F.col("count"))))
-    hosts = rows.groupBy("host").agg(F.collect_list(F.struct("path", "text", "vector", "chars", "named")).alias("tokens"))
+    whole = found.filter("path = 0 and text = 0").select(F.col("host").alias("h"), F.col("pages").alias("of"))
+    rows = found.filter(F.col("pages") >= PAGES).join(whole, F.col("host") == F.col("h")).filter(F.col("pages") >= SHARE * F.col("of"))
+    fields = ["path", "parent", "depth", "text", "whole", "pages", "vector", "count", "chars", "named"]
+    hosts = rows.groupBy("host").agg(F.collect_list(F.struct(*fields)).alias("tokens"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for given in batch.column(1).to_pylist():
-                given.sort(key=lambda x: (x["path"], x["text"]))
-                slot, template = deduce([(tuple(x["path"].split("/")) if x["path"] else (), x["text"], int(x["vector"]), x["chars"], x["named"]) for x in given])
-                out.append(("/".join(slot), sorted(template)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["host", "slot", "template"])
+            out = [deduce(sorted(given, key=lambda x: (x["path"], x["text"], x["whole"]))) for given in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in out], pa.int64()), pa.array([sorted(x) for _, x in out], pa.list_(pa.int64()))], names=["host", "slot", "template"])
 
-    return hosts.mapInArrow(run, "host string, slot string, template array<long>")
+    return hosts.mapInArrow(run, "host string, slot long, template array<long>")
 
 
-def main_text(page: str | None, slot: str | None, template: list[int] | None = None) -> str:
+def main_text(given: str | None, slot: int | None, template: list[int] | None = None) -> str:
     """The article's blocks joined by spaces: those in the host's slot, without its template; a page without the slot, or with most of its text elsewhere, is read alone."""
-    if not page:
+    if not given:
+        return ""
+    page = blocks(given)
+    if not page.text:
         return ""
-    found, opened, named = blocks(page)
-    known = set(template or ())
-    holding = texts(found)[1] if known else [{}] * len(found)
-    # The slot itself and what is around it are no template; neither is a page that would have no text left.
-    path = tuple(slot.split("/")) if slot else ()
-    kept = [b for b, marks in zip(found, holding, strict=True) if not b.away and not any(n > (len(path) if b.path[: len(path)] == path else 0) and m in known for m, n in marks.items())]
-    kept = kept or [b for b in found if not b.away]
-    sums: dict[tuple[str, ...], int] = {(): 0} | {p: 0 for p in opened if p[-1].split(".")[0] not in PARTS}
-    for b in kept:
-        for k in range(len(b.path) + 1):
-            if b.path[:k] in sums:
-                sums[b.path[:k]] += b.chars
-    if slot is None or path not in sums or sums[path] < MINOR * sums[()]:
-        path = best_slot(sums, named)
-    return " ".join(b.text for b in kept if b.path[: len(path)] == path)
+    n, kept, known = len(page.parent), page.kept(), set(template or ())
+    if known:
+        whole, own = texts(page)
+        around = set()
+        for c in range(n):
+            if page.mark[c] == slot:
+                while c >= 0 and c not in around:
+                    around.add(c)
+                    c = page.parent[c]
+        cover = np.zeros(len(page.text) + 1, int)
+        for c, m in whole.items():
+            if m in known and c not in around:
+                cover[page.first[c]] += 1
+                cover[page.last[c]] -= 1
+        rest = kept & (np.cumsum(cover)[:-1] == 0) & np.array([m not in known for m in own])
+        kept = rest if rest.any() else kept  # a page that would have no text left is none of the template
+    held = np.r_[0, np.cumsum(np.where(kept, page.chars, 0))]
+    places: dict[int, Place] = {}
+    home, at = page.home(), {}
+    for c in range(n):
+        if page.tag[c] not in PARTS:
+            x = places.setdefault(page.mark[c], Place(page.mark[home[page.parent[c]]] if c else 0, page.depth[c], 0, False))
+            x.chars += int(held[page.last[c]] - held[page.first[c]])
+            x.named |= page.named[c]
+            at.setdefault(page.mark[c], []).append(c)
+    if slot is None or slot not in places or places[slot].chars < MINOR * places[0].chars:
+        slot = best_slot(places)
+    inside, around = np.zeros(len(page.text) + 1, int), set()
+    for c in at[slot]:
+        inside[page.first[c]] += 1
+        inside[page.last[c]] -= 1
+        while not places[slot].named and c >= 0 and c not in around:
+            around.add(c)
+            c = page.parent[c]
+    # Nothing names such a slot, so what stands directly in the containers around it, as a title does, belongs to it.
+    beside = np.array([home[c] in around for c in page.inside])
+    return " ".join(page.text[k] for k in np.flatnonzero(kept & ((np.cumsum(inside)[:-1] > 0) | beside)))
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str = "html") -> DataFrame:
