@@ -27,6 +27,8 @@ SPAN, FEWEST_WORDS, MOST_REPEATED = 5, 10, 20
 # The symbols of the base rule, and the classes of characters.
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "white", "mark", "other")
+#: Letters that stand for no common word and for each of them, in their order.
+PLACES = "".join(map(chr, range(ord("0"), ord("0") + COMMON + 1)))
 
 
 def _left(text: Column, pattern: str) -> Column:
@@ -52,17 +54,17 @@ def class_counts(rows: DataFrame, text: str, words: str, out: str = "classes", s
     return rows.drop("__left", "__white", "__no_upper", "__rest", "__size", "__lower", "__other")
 
 
-def _features(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
-    """Per document what the rules need. Each select names what the next uses more than once, so that it is made once."""
-    rows = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+def _features(rows: DataFrame) -> DataFrame:
+    """Adds to row, t, ref_words what the rules need. Each select names what the next uses more than once, so that it is made once."""
+    keep = [c for c in rows.columns if c != "t"]
     words = F.regexp_extract_all("t", F.lit(WORD), F.lit(0))
     rows = class_counts(rows.withColumn("words", words), "t", "words", symbols="n_symbols").withColumn("lines", F.split("t", "\n"))
     rows = rows.select(
-        "k", "lang", "classes", "n_symbols",
+        *keep, "classes", "n_symbols",
         F.size("words").cast("long").alias("n_words"),
         F.filter("lines", lambda x: x.rlike(WORD)).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-        common_text(F.col("words")).alias("common"),
+        common_places(F.col("words"), F.col("ref_words")).alias("common"),
     )
     # Windows of five words by the hash of their words' hashes (64 bits: within one text no two windows meet by chance).
     shifted = [F.slice("hashes", F.lit(k + 1), F.greatest(F.lit(0), F.size("hashes") - SPAN + 1)) for k in range(SPAN)]
@@ -70,9 +72,14 @@ def _features(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return with_repeated_words(rows, "spans", "n_repeat_words")
 
 
-def common_text(words: Column) -> Column:
-    """The words in small letters, each between two spaces of its own, so that counting one is taking it away."""
-    return F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
+def common_places(words: Column, common: Column) -> Column:
+    """A letter for each word: which of the common words it is, or the first one for none of them."""
+    return F.array_join(F.transform(words, lambda w: F.substring(F.lit(PLACES), F.array_position(common, F.lower(w)).cast("int") + 1, F.lit(1))), "")
+
+
+def common_counts(places: Column, common: Column) -> Column:
+    """How often each common word stands in a text: by taking its letter away."""
+    return F.transform(common, lambda w, k: (F.length(places) - F.length(F.replace(places, F.substring(F.lit(PLACES), k + 2, F.lit(1)), F.lit("")))).cast("double"))
 
 
 def with_repeated_words(rows: DataFrame, spans: str, out: str) -> DataFrame:
@@ -94,25 +101,30 @@ def _but_first(x: str) -> Column:
     return F.slice(x, F.lit(2), F.greatest(F.lit(0), F.size(x) - 1))
 
 
-def references(features: DataFrame, common: int = COMMON) -> DataFrame:
-    """lang, ref_classes array<double>, ref_words array<string>, ref_shares array<double>, ref_none double (the distance of a text without common words): one row per language; documents of null language share one.
+def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> DataFrame:
+    """l (the language), ref_classes array<double>, ref_words array<string>, ref_shares array<double>, ref_none double (the distance of a text without common words): one row per language; documents of null language share one.
 
-    Shares of words are of all words. ``features`` are those of all documents. Each task sums its own counts
-    first; then only a language's distinct words are shuffled, with its totals under names that hold a space.
+    All words of all documents are counted. Each task sums its own counts first, so that a language's distinct words alone are
+    shuffled, with its number of characters under a name that holds a space. Classes are then counted in distinct words.
     """
-    one = F.transform(F.filter(F.split(F.col("common"), " "), lambda w: w != ""), lambda w: F.struct(w.alias("w"), F.lit(1).cast("long").alias("c")))
-    totals = [F.struct(F.lit(f" {c}").alias("w"), F.col("classes")[k].alias("c")) for k, c in enumerate(CLASSES)] + [F.struct(F.lit(" n").alias("w"), F.col("n_words").alias("c"))]
-    sums = cut(features.select("lang", F.inline(F.concat(one, F.array(*totals)))).groupBy("lang", "w").agg(F.sum("c").alias("c")), "word-counts")
-    total = lambda c: F.sum(F.when(F.col("w") == f" {c}", F.col("c")))
-    totals = sums.filter(F.col("w").startswith(" ")).groupBy("lang").agg(total("n").alias("n"), *[total(c).alias(c) for c in CLASSES])
+    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    pair = lambda w, c: F.struct(w.alias("w"), c.cast("long").alias("c"))
+    words = F.transform(F.split("t", r"[\x20\x09-\x0D]+"), lambda w: pair(w, F.lit(1)))
+    counted = rows.select("lang", F.inline(F.concat(words, F.array(pair(F.lit(" "), F.length("t")))))).groupBy("lang", "w").agg(F.sum("c").alias("c")).filter("w <> ''")
+    counted = cut(counted, "word-counts", "zstd")
+    sizes = class_counts(counted.filter("w <> ' '").withColumn("one", F.array("w")), "w", "one")
+    sums = sizes.groupBy("lang").agg(F.sum("c").alias("n"), *[F.sum(F.col("classes")[k] * F.col("c")).alias(c) for k, c in enumerate(CLASSES)])
+    every = counted.filter("w = ' '").select(F.col("lang").alias("l"), F.col("c").alias("chars"))
+    of = lambda c: F.coalesce(c, F.lit(0))
+    totals = every.join(sums, F.col("l").eqNullSafe(F.col("lang")), "left").withColumn("white", F.col("chars") - sum((of(c) for c in CLASSES if c != "white"), F.lit(0)))
+    small = counted.filter(F.col("w").rlike(r"\p{L}")).groupBy("lang", F.lower("w").alias("w")).agg(F.sum("c").alias("c"))
     first = Window.partitionBy("lang").orderBy(F.desc("c"), "w")
-    top = sums.filter(~F.col("w").startswith(" ") & F.col("w").rlike(r"\p{L}")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= common)
-    lists = top.groupBy(F.col("lang").alias("l")).agg(F.sort_array(F.collect_list(F.struct("r", "w", "c"))).alias("top"))
-    whole = sum((F.col(c) for c in CLASSES[1:]), F.col(CLASSES[0]))
-    joined = totals.join(lists, F.col("lang").eqNullSafe(F.col("l")), "left")
+    top = small.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= common)
+    lists = top.groupBy(F.col("lang").alias("l2")).agg(F.sort_array(F.collect_list(F.struct("r", "w", "c"))).alias("top"))
+    joined = totals.join(lists, F.col("l").eqNullSafe(F.col("l2")), "left")
     shares = joined.select(
-        "lang",
-        F.array(*[F.col(c) / F.greatest(F.lit(1), whole) for c in CLASSES]).alias("ref_classes"),
+        "l",
+        F.array(*[of(c) / F.greatest(F.lit(1), "chars") for c in CLASSES]).alias("ref_classes"),
         F.coalesce(F.col("top.w"), F.expr("cast(array() as array<string>)")).alias("ref_words"),
         F.transform(F.coalesce(F.col("top.c"), F.expr("cast(array() as array<bigint>)")), lambda c: c / F.greatest(F.lit(1), F.col("n"))).alias("ref_shares"),
     )
@@ -133,22 +145,15 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), total / 2))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
-
-    A null text has no words and fails the base rule. A document of a null language is compared with the documents
-    of no language. Documents with too few characters or words for a histogram have distance 0 there. Repeated
-    rows keep their rows; other columns are left out; an empty table gives an empty table.
-    """
-    features = cut(_features(docs, key, text, lang), "features")
-    refs = cut(references(features), "references").withColumnRenamed("lang", "l")
+def _judged(docs: DataFrame, text: str, lang: str) -> DataFrame:
+    """row (the document's own columns), and the verdict's. Texts are read twice, for the references and for the verdicts, and never shuffled."""
+    refs = cut(references(docs, text, lang), "references")
     # One row of some kilobytes for each language; beyond so many, Spark joins by shuffle.
     small = F.broadcast(refs) if refs.limit(2_001).count() <= 2_000 else refs
-    rows = features.join(small, F.col("lang").eqNullSafe(F.col("l")))
-    count = lambda w: ((F.octet_length("common") - F.octet_length(F.replace(F.col("common"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)).cast("double")
-    rows = rows.withColumn("found", F.transform("ref_words", count))
+    rows = docs.select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.col(lang).cast("string").alias("own"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(small, F.col("own").eqNullSafe(F.col("l")))
+    rows = _features(rows.drop("own", "l"))
     n, chars = F.greatest(F.lit(1), F.col("n_words")), F.aggregate("classes", F.lit(0).cast("long"), lambda s, x: s + x)
-    rows = rows.withColumn("chars", chars).withColumn("shares", F.transform("found", lambda c: c / n))
+    rows = rows.withColumn("chars", chars).withColumn("shares", F.transform(common_counts(F.col("common"), F.col("ref_words")), lambda c: c / n))
     class_shares = F.transform("classes", lambda c: c / F.greatest(F.lit(1), F.col("chars")))
     rows = rows.withColumns(
         {
@@ -162,16 +167,20 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     most, least, chance = map(F.lit, MOST_WORDS)
     near = F.col("word_distance") <= F.col("ref_none") * F.least(most, least + chance / F.sqrt(n))
     kept = ~F.col("base_failed") & (F.col("class_distance") <= MOST_CLASSES) & near
-    return rows.select(
-        F.col("k").alias(key), "n_words", (F.col("chars") - white).cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept")
-    )
+    return rows.select("row", "n_words", (F.col("chars") - white).cast("long").alias("word_chars"), F.col("n_symbols").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", kept.alias("kept"))
 
 
-def select_kept(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their own columns. A key whose rows differ is kept row by row.
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """Per document: key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance, kept.
 
-    The verdicts are joined back by key and text checksum, so that only these are shuffled beside the rows.
+    A null text has no words and fails the base rule. A document of a null language is compared with the documents
+    of no language. Documents with too few characters or words for a histogram have distance 0 there. Repeated
+    rows keep their rows; other columns are left out; an empty table gives an empty table.
     """
-    verdicts = judge(docs.select(F.struct(F.col(key).alias("key"), F.xxhash64(text, lang).alias("sum")).alias("id"), text, lang), key="id", text=text, lang=lang)
-    kept = verdicts.filter("kept").select(F.col("id.key").alias("__k"), F.col("id.sum").alias("__s")).distinct()
-    return docs.join(kept, F.col(key).eqNullSafe(F.col("__k")) & (F.xxhash64(text, lang) == F.col("__s")), "left_semi")
+    rows = _judged(docs.select(key, text, lang), text, lang)
+    return rows.select(F.col("row")[key].alias(key), *[c for c in rows.columns if c != "row"])
+
+
+def select_kept(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose document is kept, with their own columns, row by row."""
+    return _judged(docs, text, lang).filter("kept").select("row.*")
