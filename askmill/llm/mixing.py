@@ -11,6 +11,8 @@ from askmill.llm.common import WORD, cut, running_total
 ROUNDS = 3
 #: Leading hexadecimal digits of the shuffle's hash that make a bucket of the running totals: 4096 for each source.
 DIGITS = 3
+#: Ranges of virtual time in which the mix is sorted.
+RANGES = 4096
 
 
 def targets(sizes: DataFrame, source: str = "source", cycle: int = 3, rounds: int = ROUNDS) -> DataFrame:
@@ -38,11 +40,11 @@ def targets(sizes: DataFrame, source: str = "source", cycle: int = 3, rounds: in
 
 
 def fair_queue(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", rounds: int = ROUNDS, seed: str = "mix") -> DataFrame:
-    """Per document: key, source, size, source_size, target, copies, taken, and first_finish, the virtual finish of its first copy.
+    """Per document: key, source, size, source_size, target, taken, copies, first_finish (the virtual finish of its first copy), weight.
 
     A source's documents come in the order of a hash of their key, round after round. A copy's virtual finish is
-    the source's words up to its middle, divided by the source's weight; the global order by that is the mix. It is
-    cut at the virtual time at which the budget is used up, which ``targets`` gives without sorting the copies: a
+    the source's words up to its middle, divided by the source's weight; the global order by that is the mix (``mix_order`` sorts it). It is
+    cut at the virtual time at which the budget is used up, which ``targets`` gives: a
     document is taken once for each copy whose middle comes before. So each source is off its target by
     at most half of one document. Null texts have size 0 and are never taken; documents of one key tie and
     are told apart by their size; a null source is one of its own. An empty table gives an empty table.
@@ -59,10 +61,26 @@ def fair_queue(docs: DataFrame, key: str = "doc_id", source: str = "source", tex
     )
     out = rows.withColumn("copies", copies.cast("int"))
     return out.select(
-        F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", (middle / F.col("weight")).alias("first_finish"), "weight"
+        F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", (middle / F.col("weight")).alias("first_finish"), "weight", "finish", "shuffle"
     )
 
 
+def mix_order(plan: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The plan of ``fair_queue`` with a row for each copy that is taken, and one for a document that isn't: copy (from 0), copy_finish, position.
+
+    position is the copy's place in the global order by virtual finish (ties: the shuffle's order, the key, the copy), from 0; null if it isn't taken. The order is a
+    range-sort: copies are dealt by ranges of virtual time, of equal widths, as all sources are served evenly over it; each range is sorted on
+    its own, and the ranges' counts are summed up before. What lies beyond the virtual time of the budget is cut off.
+    """
+    rows = plan.withColumn("copy", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), "copies") - 1)))
+    rows = rows.withColumn("copy_finish", F.col("first_finish") + F.col("copy") * F.col("source_size") / F.col("weight"))
+    place = F.least(F.lit(1.0), F.coalesce(F.col("copy_finish") / F.when(F.col("finish") > 0, F.col("finish")), F.lit(0.0)))
+    taken = F.col("copies") > 0
+    rows = rows.withColumns({"one": taken.cast("long"), "bucket": F.when(taken, F.floor(place * RANGES)).otherwise(RANGES + 1 + F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(RANGES)))})
+    placed = running_total(rows, [], ["copy_finish", "shuffle", key, "copy"], "one", "position", "bucket")
+    return placed.withColumn("position", F.when(taken, F.col("position"))).drop("one", "bucket")
+
+
 def _few(sources: DataFrame, most: int = 20_000) -> bool:
     """Whether there are so few sources that each executor can hold them all (a row of some 60 bytes each)."""
     return sources.limit(most + 1).count() <= most

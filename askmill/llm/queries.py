@@ -17,7 +17,9 @@ def op1_template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.fair_queue(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    plan = mixing.fair_queue(table(spark, sf_dir, "documents"))
+    first = mixing.mix_order(plan).filter("copy = 0")
+    return first.select("doc_id", "size", "source_size", "target", "taken", F.round("first_finish", 6).alias("first_finish"), F.coalesce("position", F.lit(-1)).alias("position"))
 
 
 def op3_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,14 +75,21 @@ served as (
            sum(source_size) over ()::bigint budget
     from lasting),
 fin as (select arg_min(v, runs_out) finish from (select (budget - spent)::double / rest_weight v, runs_out from served) where v <= runs_out),
-targets as (select source, source_size, case when runs_out <= finish then whole::double else weight * finish end target from served, fin),
+targets as (select source, source_size, weight, case when runs_out <= finish then whole::double else weight * finish end target from served, fin),
 placed as (
     select s.*, coalesce(sum(size) over (partition by source order by shuffle, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint ahead
-    from sized s)
-select p.doc_id, p.size, t.source_size, t.target,
-       (p.size * case when p.size = 0 or t.source_size = 0 then 0
-                 else greatest(0, least(3, floor((t.target - (p.ahead + p.size / 2.0)) / t.source_size) + 1)) end)::bigint taken
-from placed p join targets t on p.source is not distinct from t.source
+    from sized s),
+plan as (
+    select p.doc_id, p.size, t.source_size, t.target, p.shuffle, t.weight, (p.ahead + p.size / 2.0)::double / t.weight first_finish,
+           (case when p.size = 0 or t.source_size = 0 then 0
+            else greatest(0, least(3, floor((t.target - (p.ahead + p.size / 2.0)) / t.source_size) + 1)) end)::bigint copies
+    from placed p join targets t on p.source is not distinct from t.source),
+copied as (select *, unnest(range(greatest(copies, 1))) as copy from plan),
+ordered as (
+    select *, sum(case when copies > 0 then 1 else 0 end) over (
+        order by first_finish + (copy * source_size)::double / weight, shuffle, doc_id, copy rows between unbounded preceding and current row)::bigint - 1 place
+    from copied)
+select doc_id, size, source_size, target, size * copies taken, round(first_finish, 6) first_finish, case when copies > 0 then place else -1 end as position from ordered where copy = 0
 """
 
 
