@@ -93,7 +93,8 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     Turns are taken by their number, then role and text, so repeated numbers and rows keep an order; nulls come
     first. An unknown or null role must be relabelled. A conversation ends after a user's or an assistant's turn,
     or, of system turns alone, where it is. A null text counts as empty. A null conv is a conversation of its own. rendered is the piece of the
-    conversation that the row adds: put together in order, and closed, they are the whole; no row holds a conversation.
+    conversation that the row adds: put together in order they are the whole, its last turn closed; no row holds a conversation. Markers
+    in a text are written with a space in them there, so that no text can open or close a turn; the column text keeps them.
     Other columns are left out; an empty table gives an empty table.
     """
     rows = turns.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("n"), F.col(role).cast("string").alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"))
@@ -117,15 +118,17 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
             for k in range(len(ms) - 1, -1, -1):
                 ends.append(int(np.argmin(best[k] + ms[k][:, ends[-1]])))
             ends = ends[::-1]
-            columns = [t.column("c").combine_chunks(), t.column("block").combine_chunks(), pa.array(ends[:-1], pa.int32()), pa.array(ends[1:], pa.int32()), pa.array([float(best[-1][:START].min())] * len(ms))]
-            yield pa.RecordBatch.from_arrays(columns, names=["c2", "block2", "first", "last", "total"])
+            closing = pa.array([False] * (len(ms) - 1) + [True])
+            columns = [t.column("c").combine_chunks(), t.column("block").combine_chunks(), pa.array(ends[:-1], pa.int32()), pa.array(ends[1:], pa.int32()), pa.array([float(best[-1][:START].min())] * len(ms)), closing]
+            yield pa.RecordBatch.from_arrays(columns, names=["c2", "block2", "first", "last", "total", "closing"])
 
-    between = cut(dealt(blocks, "c", order=("block",)).mapInArrow(states, f"c2 {kind}, block2 long, first int, last int, total double"), "states")
+    between = cut(dealt(blocks, "c", order=("block",)).mapInArrow(states, f"c2 {kind}, block2 long, first int, last int, total double, closing boolean"), "states")
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(groups(batches, ["c", "block"])):
-            given, action, inserted = [], [], []
+            given, action, inserted, closing = [], [], [], []
             for t in part:
+                closing += [False] * (t.num_rows - 1) + [t.column("closing")[0].as_py()]
                 had = [role_number(x) for x in t.column("r").to_pylist()]
                 for (_, role, between), own in zip(repairs(had, t.column("first")[0].as_py(), t.column("last")[0].as_py()), had, strict=True):
                     given.append(None if role < 0 else ROLES[role])
@@ -133,15 +136,19 @@ def repair(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
                     inserted.append([ROLES[x] for x in between])
             whole = pa.concat_tables(part).combine_chunks()
             kept = [whole.column(x).combine_chunks() for x in ("c", "n", "at", "t", "total")]
-            made = [pa.array(given, pa.string()), pa.array(action, pa.string()), pa.array(inserted, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(kept + made, names=["c", "n", "at", "text", "cost", "role", "action", "inserted"])
+            made = [pa.array(given, pa.string()), pa.array(action, pa.string()), pa.array(inserted, pa.list_(pa.string())), pa.array(closing, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(kept + made, names=["c", "n", "at", "text", "cost", "role", "action", "inserted", "closing"])
 
-    joined = rows.join(between, rows["c"].eqNullSafe(between["c2"]) & (rows["block"] == between["block2"])).select("c", "n", "at", "r", "t", "block", "first", "last", "total")
-    out = dealt(joined, "c", "block", order=("at",)).mapInArrow(choose, f"c {kind}, n long, at long, text string, cost double, role string, action string, inserted array<string>")
+    joined = rows.join(between, rows["c"].eqNullSafe(between["c2"]) & (rows["block"] == between["block2"])).select("c", "n", "at", "r", "t", "block", "first", "last", "total", "closing")
+    out = dealt(joined, "c", "block", order=("at",)).mapInArrow(choose, f"c {kind}, n long, at long, text string, cost double, role string, action string, inserted array<string>, closing boolean")
     opening = lambda r: F.concat(F.lit(OPEN), r, F.lit("\n"))
     empty = F.array_join(F.transform("inserted", lambda r: F.concat(opening(r), F.lit(CLOSE + "\n"))), "")
     # A turn is closed by the row that opens the next one; merged texts stand under each other.
-    rendered = F.when(F.col("action") == "merge", F.concat(F.lit("\n"), F.col("text"))).otherwise(F.concat(F.when(F.col("at") > 0, CLOSE + "\n").otherwise(""), empty, opening(F.col("role")), F.col("text")))
+    text = F.col("text")
+    for marker in (OPEN, CLOSE):
+        text = F.replace(text, F.lit(marker), F.lit(marker.replace("|", "| ", 1)))
+    rendered = F.when(F.col("action") == "merge", F.concat(F.lit("\n"), text)).otherwise(F.concat(F.when(F.col("at") > 0, CLOSE + "\n").otherwise(""), empty, opening(F.col("role")), text))
+    rendered = F.concat(rendered, F.when(F.col("closing"), CLOSE + "\n").otherwise(""))
     return out.select(F.col("c").alias(conv), F.col("n").alias(turn), F.col("at").alias("position"), "role", "text", "action", "inserted", rendered.alias("rendered"), F.col("cost").alias("conversation_cost"))
 
 
