@@ -9,6 +9,7 @@ other pair is computed again from the vectors, in double precision.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,18 +20,28 @@ from pyspark.sql import functions as F
 from askmill.llm.common import cut, dealt, groups
 from askmill.llm.components import components
 
-#: Bits of a vector's codes, at least; bits of a band of them.
-CODE_BITS, BAND_BITS = 128, 8
+#: Bits of a vector's codes, at least, by which inner products are estimated.
+CODE_BITS = 128
+#: Bits of a band, at least: more as a label has more vectors, so that a bucket of unlike vectors has about so many. Bands are as many as MISSED asks for.
+BAND_BITS, BUCKET = 8, 256
+#: The largest probability with which a pair at the threshold meets in no band.
+MISSED = 1e-3
 #: Errors within which an estimate is not trusted. At 6 a pair is dropped wrongly with a chance below 1e-8.
 TRUST = 6.0
 #: Vectors of a block that is compared with another block's.
 BLOCK = 1024
 
 
-def turns(d: int, seed: int = 5) -> np.ndarray:
-    """As many random orthogonal d x d matrices as CODE_BITS ask for, two at least, side by side."""
+def turns(d: int, bits: int = CODE_BITS, seed: int = 5) -> np.ndarray:
+    """As many random orthogonal d x d matrices as so many bits ask for, two at least, side by side. More bits begin with the same matrices."""
     rng = np.random.default_rng(seed)
-    return np.concatenate([np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(max(2, -(-CODE_BITS // d)))], 1)
+    return np.concatenate([np.linalg.qr(rng.normal(size=(d, d)))[0] for _ in range(max(2, -(-bits // d)))], 1)
+
+
+def bands(bits: int, threshold: float) -> int:
+    """How many bands of so many bits find a pair at the threshold but for MISSED: a bit of two unit vectors agrees as often as a random plane leaves them on one side."""
+    agree = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if agree >= 1 else max(1, math.ceil(math.log(MISSED) / math.log1p(-agree)))
 
 
 def encode(unit: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,7 +64,7 @@ def linked(left: dict, right: dict, d: int, threshold: float, band: int) -> np.n
     guess, error = estimates(right["codes"], right["factors"], left["turned"], d)
     open_ = guess + TRUST * error[None, :].astype(np.float32) >= threshold
     for k in range(band):
-        open_ &= left["codes"][:, None, k] != right["codes"][None, :, k]
+        open_ &= left["keys"][:, None, k] != right["keys"][None, :, k]
     n = int(open_.sum())
     if n > 0.05 * open_.size:
         return open_ & (left["unit"] @ right["unit"].T >= threshold)
@@ -75,37 +86,43 @@ def forest(yes: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.nda
         l, r = l2, r2
 
 
-def _coded(reps: DataFrame) -> DataFrame:
-    """label, d, id, copies, vec (float64 binary of the unit vector), codes, factors."""
+def _coded(reps: DataFrame, threshold: float) -> DataFrame:
+    """label, d, id, copies, vec (float64 binary of the unit vector), codes, factors, keys (int32 binary: each band's bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[int, np.ndarray] = {}
+        made: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            sizes = np.asarray(batch.column("d"))
-            columns: dict[str, list] = {"vec": [b""] * len(sizes), "codes": [b""] * len(sizes), "factors": [b""] * len(sizes)}
-            for d in np.unique(sizes):
-                at = np.flatnonzero(sizes == d)
+            sizes, bits = np.asarray(batch.column("d")), np.asarray(batch.column("bits"))
+            columns: dict[str, list] = {c: [b""] * len(sizes) for c in ("vec", "codes", "factors", "keys")}
+            for d, b in sorted(set(zip(sizes.tolist(), bits.tolist(), strict=True))):
+                at = np.flatnonzero((sizes == d) & (bits == b))
                 x = np.asarray(batch.column("emb").take(pa.array(at)).flatten(), np.float64).reshape(len(at), d)
-                unit = x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
-                turn = made.setdefault(int(d), turns(int(d)))
-                packed, factors = encode(unit, turn)
+                most = np.abs(x).max(1, keepdims=True)
+                unit = x / most
+                unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+                n = bands(b, threshold)
+                turn = made.setdefault((d, b), turns(d, max(CODE_BITS, n * b)))
+                base = turns(d).shape[1]
+                packed, factors = encode(unit, turn[:, :base])
+                signs = (unit @ turn[:, : n * b] > 0).reshape(len(at), n, b)
+                keys = (signs @ (1 << np.arange(b))).astype("<i4")
                 for k, i in enumerate(at):
-                    columns["vec"][i], columns["codes"][i], columns["factors"][i] = unit[k].tobytes(), packed[k].tobytes(), factors[k].tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "d", "id", "copies")] + [pa.array(c, pa.binary()) for c in columns.values()], names=["label", "d", "id", "copies", *columns])
+                    columns["vec"][i], columns["codes"][i], columns["factors"][i], columns["keys"][i] = unit[k].tobytes(), packed[k].tobytes(), factors[k].tobytes(), keys[k].tobytes()
+            band_keys = pa.array([np.frombuffer(x, "<i4") for x in columns["keys"]], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("label", "d", "id", "copies")] + [pa.array(c, pa.binary()) for c in columns.values()] + [band_keys], names=["label", "d", "id", "copies", *columns, "bands"])
 
-    return reps.select("label", "d", "id", "copies", "emb").mapInArrow(run, "label long, d int, id long, copies long, vec binary, codes binary, factors binary")
+    return reps.select("label", "d", "id", "copies", "emb", "bits").mapInArrow(run, "label string, d int, id long, copies long, vec binary, codes binary, factors binary, keys binary, bands array<int>")
 
 
 def _units(coded: DataFrame) -> DataFrame:
     """A row for each band of a vector and each pair of blocks of its bucket that holds its own block."""
-    bands = F.transform(F.sequence(F.lit(0), F.octet_length("codes") - 1), lambda k: F.struct(k.alias("band"), F.substring(F.col("codes"), k + 1, F.lit(1)).alias("bits")))
-    rows = coded.select("*", F.inline(bands))
+    rows = coded.select(*[c for c in coded.columns if c != "bands"], F.posexplode("bands").alias("band", "bits"))
     by = ["label", "d", "band", "bits"]
     large = cut(rows.groupBy(*by).agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "large")
     sizes = F.broadcast(large) if large.limit(100_001).count() <= 100_000 else large
     rows = rows.join(sizes, by, "left").withColumn("blocks", F.ceil(F.coalesce("size", F.lit(1)) / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    return rows.select(*by, "id", "copies", "vec", "codes", "factors", "own", F.inline(pair))
+    return rows.select(*by, "id", "copies", "vec", "codes", "factors", "keys", "own", F.inline(pair))
 
 
 def _compare(units: DataFrame, threshold: float) -> DataFrame:
@@ -118,7 +135,7 @@ def _compare(units: DataFrame, threshold: float) -> DataFrame:
             return None
         turn = made.setdefault(d, turns(d))
         binary = lambda c, kind: np.frombuffer(b"".join(rows.column(c).to_pylist()), kind).reshape(rows.num_rows, -1)
-        every = {"unit": binary("vec", np.float64), "codes": binary("codes", np.uint8), "factors": binary("factors", np.float32)}
+        every = {"unit": binary("vec", np.float64), "codes": binary("codes", np.uint8), "factors": binary("factors", np.float32), "keys": binary("keys", "<i4")}
         every["turned"] = every["unit"] @ turn
         ids, copies, own = (np.asarray(rows.column(c)) for c in ("id", "copies", "own"))
         if i == j:
@@ -162,17 +179,24 @@ def near_vectors(table: DataFrame, threshold: float = 0.93, key: str = "vec_id",
 
     Rows of equal labels whose vectors have a cosine of at least ``threshold`` are linked. A null label links with
     nothing, nor do vectors that are null, zero, or hold a null or non-finite component; vectors of different
-    lengths don't either. Equal vectors become one first and count as often as they occur. A pair is compared where eight bits of
-    its codes are equal, in the first such band only; with 16 bands a pair at 0.93 is found with probability
-    0.9992, closer ones more surely. A null key has component null and is kept. An empty table gives an empty table.
+    lengths don't either. Labels may be of any simple type. Equal vectors become one first and count as often as they occur. A pair is compared where a band of
+    its bits is equal, in the first such band only: eight bits and 16 bands find a pair at 0.93 with probability
+    0.9992, closer ones more surely. A label of more than 65,536 vectors has wider bands, and more of them, for the same probability, so that buckets of
+    unlike vectors stay small; only vectors that are alike share large ones, and their links must all be counted. A null key has component null and is
+    kept. An empty table gives an empty table.
     """
-    rows = table.select(F.col(key).cast("long").alias("id"), F.col(label).cast("long").alias("label"), F.col(vector).cast("array<float>").alias("emb"))
+    rows = table.select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.col(vector).cast("array<double>").alias("emb"))
     fine = F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("emb").isNotNull() & F.forall("emb", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("emb", lambda x: x != 0)
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
     valid = rows.filter("fine").drop("fine")
     reps = valid.groupBy("label", "emb").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("d", F.size("emb"))
     reps = cut(reps, "vectors")
-    found = cut(_compare(_units(cut(_coded(reps), "codes")), threshold), "compared")
+    # A row for each label and length of vectors.
+    sizes = reps.groupBy(F.col("label").alias("l"), F.col("d").alias("s")).agg(F.count("*").alias("of"))
+    width = F.greatest(F.lit(BAND_BITS), F.least(F.lit(30), F.ceil(F.log2(F.col("of") / BUCKET)))).cast("int")
+    sizes = F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes
+    sized = reps.join(sizes, (F.col("label") == F.col("l")) & (F.col("d") == F.col("s"))).withColumn("bits", width)
+    found = cut(_compare(_units(cut(_coded(sized, threshold), "codes")), threshold), "compared")
     counts = found.groupBy("id").agg(F.sum("n").alias("linked"))
     joined = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")).distinct()).withColumnRenamed("node", "id")
     named = reps.select("label", "emb", "copies", "id").join(counts, "id", "left").join(joined, "id", "left")
