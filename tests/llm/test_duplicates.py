@@ -149,6 +149,36 @@ def test_near_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_labels_and_double_vectors(spark, monkeypatch):
+    rows = [(1, [1e39, 1e39], "a"), (2, [1e39, 1e39], "a"), (3, [1.0, 1.0 + 1e-12], "a"), (4, [1.0, 1.0], "b"), (5, [1e-200, 1e-200], "a"), (6, [-1.0, -1.0], "a"), (None, [1.0, 1.0], "a"), (6, [-1.0, -1.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").withColumns({"of": F.lit(1), "l": F.lit("x"), "s": F.lit(0), "bits": F.lit(9)})
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in vectors.near_vectors(df).collect())
+    assert got[1:] == [(1, 3, 1, True), (2, 3, 1, False), (3, 3, 1, False), (4, 0, 4, True), (5, 3, 1, False), (6, 1, 6, True), (6, 1, 6, True)]
+
+
+def test_wider_bands_find_as_much(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BUCKET", 1)  # eleven bits for two thousand vectors
+    rng, pairs = np.random.default_rng(8), []
+    for k in range(1000):
+        x, y = unit(rng.normal(size=24)), unit(rng.normal(size=24))
+        y = unit(y - (x @ y) * x)
+        pairs += [(2 * k, x.tolist(), 1), (2 * k + 1, (0.9301 * x + (1 - 0.9301**2) ** 0.5 * y).tolist(), 1)]
+    df = spark.createDataFrame(pairs, "vec_id long, embedding array<double>, label int")
+    got = vectors.near_vectors(df).filter("n_links > 0").count()
+    assert got >= 1996 and vectors.bands(11, 0.93) > vectors.bands(8, 0.93) == 16
+
+
+def test_hot_bucket_of_one_label(spark):
+    # A label of unlike vectors: what is compared grows with its vectors, not with their square.
+    rng = np.random.default_rng(9)
+    made = []
+    for n in (2_000, 8_000):
+        x = rng.normal(size=(n, 16))
+        reps = spark.createDataFrame([(k, v.tolist(), "a", 16, 1, max(8, int(np.ceil(np.log2(n / 4))))) for k, v in enumerate(x)], "id long, emb array<double>, label string, d int, copies long, bits int")
+        made.append(vectors._units(vectors._coded(reps, 0.93)).count() / n)
+    assert made[1] < 1.6 * made[0]
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
     d = 64
