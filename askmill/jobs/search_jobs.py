@@ -13,7 +13,7 @@ from askmill.sources import tables
 from askmill.sources.shared import cut
 
 #: Nearest neighbours in the test vectors are far apart, and their texts' BM25 scores are large; the thresholds are set so that both filters bite.
-CFG = SearchConfig(dense_threshold=0.2, sparse_threshold=25.0, threshold=0.3)
+CFG = SearchConfig(dense_threshold=0.2, sparse_threshold=90.0, threshold=0.3)
 # Words without meaning of their own, and the system text of the retrieval chat.
 STOPWORDS = ("the", "of", "and", "to", "in", "de", "la", "der", "die", "und", "el", "que", "le", "les")
 SYSTEM = (
