@@ -182,5 +182,10 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
 
 def select_kept(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose document is kept, with their own columns, row by row."""
-    return _judged(docs, text, lang).filter("kept").select("row.*")
+    """The rows of ``docs`` whose document is kept, with their own columns, row by row.
+
+    Spark would put a filter on the verdict below the selects that it is made in, and so make each of their parts as often as the
+    verdict uses it; a filter that needs a row number stays above them.
+    """
+    rows = _judged(docs, text, lang).withColumn("number", F.monotonically_increasing_id())
+    return rows.filter(F.col("kept") & (F.col("number") >= 0)).select("row.*")
