@@ -64,7 +64,7 @@ def _features(rows: DataFrame) -> DataFrame:
         F.size("words").cast("long").alias("n_words"),
         F.filter("lines", lambda x: x.rlike(WORD)).alias("lines"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"),
-        common_places(F.col("words"), F.col("ref_words")).alias("common"),
+        common_places(F.col("words"), F.col("ref_words"), F.col("ref_longest")).alias("common"),
     )
     # Windows of five words by the hash of their words' hashes (64 bits: within one text no two windows meet by chance).
     shifted = [F.slice("hashes", F.lit(k + 1), F.greatest(F.lit(0), F.size("hashes") - SPAN + 1)) for k in range(SPAN)]
@@ -72,9 +72,10 @@ def _features(rows: DataFrame) -> DataFrame:
     return with_repeated_words(rows, "spans", "n_repeat_words")
 
 
-def common_places(words: Column, common: Column) -> Column:
-    """A letter for each word: which of the common words it is, or the first one for none of them."""
-    return F.array_join(F.transform(words, lambda w: F.substring(F.lit(PLACES), F.array_position(common, F.lower(w)).cast("int") + 1, F.lit(1))), "")
+def common_places(words: Column, common: Column, longest: Column) -> Column:
+    """A letter for each word: which of the common words it is, or the first one for none of them. Small letters are never fewer than what they are made of, so a word longer than the longest common one is none of them."""
+    place = lambda w: F.substring(F.lit(PLACES), F.array_position(common, F.lower(w)).cast("int") + 1, F.lit(1))
+    return F.array_join(F.transform(words, lambda w: F.when(F.length(w) <= longest, place(w)).otherwise(F.lit(PLACES[0]))), "")
 
 
 def common_counts(places: Column, common: Column) -> Column:
@@ -102,7 +103,7 @@ def _but_first(x: str) -> Column:
 
 
 def references(docs: DataFrame, text: str = "text", lang: str = "lang", common: int = COMMON) -> DataFrame:
-    """l (the language), ref_classes array<double>, ref_words array<string>, ref_shares array<double>, ref_none double (the distance of a text without common words): one row per language; documents of null language share one.
+    """l (the language), ref_classes array<double>, ref_words array<string>, ref_shares array<double>, ref_longest int (characters of the longest), ref_none double (the distance of a text without common words): one row per language; documents of null language share one.
 
     All words of all documents are counted. Each task sums its own counts first, so that a language's distinct words alone are
     shuffled, with its number of characters under a name that holds a space. Classes are then counted in distinct words.
@@ -128,6 +129,7 @@ def references(docs: DataFrame, text: str = "text", lang: str = "lang", common:
         F.coalesce(F.col("top.w"), F.expr("cast(array() as array<string>)")).alias("ref_words"),
         F.transform(F.coalesce(F.col("top.c"), F.expr("cast(array() as array<bigint>)")), lambda c: c / F.greatest(F.lit(1), F.col("n"))).alias("ref_shares"),
     )
+    shares = shares.withColumn("ref_longest", F.coalesce(F.array_max(F.transform("ref_words", lambda w: F.length(w))), F.lit(0)))
     return shares.withColumn("ref_none", js_distance(_with_rest(F.transform("ref_shares", lambda c: F.lit(0.0))), _with_rest(F.col("ref_shares"))))
 
 
