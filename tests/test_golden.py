@@ -75,6 +75,15 @@ def test_late_parts(spark):
     assert got["b"] is got["c"] is got["d"] is None and [len(x) for x in got["e"]] == [8] * 8
 
 
+def test_index_is_kept(spark, tmp_path):
+    corpus = spark.createDataFrame([("1", "a", "red apple red"), ("2", "b", "sky"), ("1", "c", None)], "collection string, id string, text string")
+    kept = lexical.read_index(spark, lexical.write_index(corpus, str(tmp_path / "index")))
+    plain = lambda df: sorted((r.collection, r.id, r.dl, r.terms, r.tfs) for r in df.collect())
+    assert plain(kept) == plain(lexical.build_index(corpus)) == [("1", "a", 3, ["apple", "red"], [1, 2]), ("1", "c", 0, [], []), ("2", "b", 1, ["sky"], [1])]
+    terms = lexical.query_terms(spark.createDataFrame([("1", "q", "apple"), ("2", "p", "apple")], "collection string, query_id string, text string"))
+    assert [(r.query_id, r.id) for r in lexical.sparse_topk(terms, kept).collect()] == [("q", "a")]
+
+
 def test_search_by_method(spark):
     corpus = spark.createDataFrame([("c", f"d{k}", t, [float(k % 3 == n) for n in range(3)]) for k, t in enumerate(["red apple", "green apple", "blue sky", "", None])], "collection string, id string, text string, dense array<double>")
     queries = spark.createDataFrame([("c", "q", "apple sky", [1.0, 0.0, 0.0]), ("c", "void", "", None)], "collection string, query_id string, text string, qvec array<double>")
