@@ -184,7 +184,7 @@ _MARKS = ".,;:!?"
 class WordIds:
     """The ids of words met so far, found by 96 bits of hashes: some 30 bytes a word. Begun anew when it holds MOST words."""
 
-    MOST = 1_500_000
+    MOST = 500_000
 
     def __init__(self):
         self.key, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
@@ -294,6 +294,7 @@ class IdEncoder:
             flat, done = gathered(ids, n, number)
             upto = done[ends + np.arange(len(ends))]
             yield part, flat, np.diff(upto, prepend=0)
+        pa.default_memory_pool().release_unused()  # a worker waits for its next task without what this batch took
 
 
 def id_encoder(path: str) -> IdEncoder:
