@@ -177,7 +177,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, key: str = "doc_i
 
 #: A word of Latin-1 letters, composed already: one pre-token, whatever the case and normal form.
 _PLAIN = r"\A[A-Za-zÀ-ÖØ-öø-ÿ]+\z"
-#: Marks that are a pre-token of their own after a letter or digit, if nothing follows.
+#: Letters and digits of common scripts whose small letter and normal form is one letter or digit again. Others may end in a combining mark
+#: (a dotted capital I does), which a mark of punctuation joins; words that end so are left to the library.
+_LAST = "[0-9A-Za-zÀ-ÖØ-öø-įıĲ-ſΑ-ΡΣ-Ωα-ωЀ-џ一-鿿]\\z"
+#: Marks that are a pre-token of their own after such a letter or digit, if nothing follows.
 _MARKS = ".,;:!?"
 
 
@@ -255,8 +258,8 @@ class IdEncoder:
                 name = names[k]
                 if simple:
                     # Printable ASCII stands for itself.
-                    name = name if name.isascii() else "".join([letter[b] for b in name.lower().encode()])
-                    out.append([x.id for x in merge(name)])
+                    name = name.lower()  # texts with special strings in them come as they are written
+                    out.append([x.id for x in merge(name if name.isascii() else "".join([letter[b] for b in name.encode()]))])
                 else:
                     out.append(self.whole(name))
             return out
@@ -267,7 +270,7 @@ class IdEncoder:
         """The ids of each word, one after the other, and how many each has; behind them the end id as a word of its own."""
         cores = pc.ascii_rtrim(words, characters=self.marks)
         marked = np.asarray(pc.equal(pc.subtract(pc.binary_length(words), pc.binary_length(cores)), 1))
-        marked = marked & np.asarray(pc.match_substring_regex(cores, r"[\p{L}\p{N}]\z"))
+        marked = marked & np.asarray(pc.match_substring_regex(cores, _LAST))
         ends = np.frombuffer(words.buffers()[1], np.int64 if words.type == pa.large_string() else np.int32)[words.offset + 1 : words.offset + len(words) + 1]
         last = np.frombuffer(words.buffers()[2], np.uint8)[ends[marked] - 1] if marked.any() else np.zeros(0, np.uint8)
         found = pc.if_else(pa.array(marked), cores, words).dictionary_encode()

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -15,7 +16,7 @@ from tokenizers import Tokenizer
 from askmill.llm import chat, language, mixing, packing, quality, shards, template, tokens
 from tests.oracle import SMALL
 
-ODD = [None, "", " ", "a  b", "a\n b", "a\t \nb", "a<|endoftext|> b", " \n<|endoftext|>x", "éé x́", "tab\tx\x1cy\x85z　w", "it's we'll  \n\n can't", "x \n", "<|startoftext|>A B<|endoftext|>", "İstanbul ΣΑΣ Σ", "日本語 テキスト", "a " * 3000, "​zz ﻿", " ́a b", "same", "same"]
+ODD = [None, "", " ", "a  b", "a\n b", "a\t \nb", "a<|endoftext|> b", " \n<|endoftext|>x", "éé x́", "tab\tx\x1cy\x85z　w", "it's we'll  \n\n can't", "x \n", "<|startoftext|>A B<|endoftext|>", "İstanbul ΣΑΣ Σ", "日本語 テキスト", "a " * 3000, "​zz ﻿", " ́a b", "Hello World <|endoftext|> Again", "A text with F# pipes: x <| f Done", "KENDİ, BİZİ. İ.", "same", "same"]
 SCHEMA = "doc_id long, text string, lang string, source string"
 
 
@@ -47,6 +48,25 @@ def test_token_counts(docs, texts, empty):
     assert tokens.count_tokens(empty, path).count() == 0
 
 
+#: What texts for the id encoder are made of: special strings and parts of them, letters that case or normal form changes, marks, all kinds of white space.
+ATOMS = (
+    ["<|", "<|endoftext|>", "<|startoftext|>", "|>", "İ", "İ.", "KENDİ,", "Word", "HELLO", "the", "Ünter", "É", "́", "̇", "̣", "क़", "ß", "ẞ", "Σ", "ς", "ŉ", "ſ", "ﬁ", "가", "ᄀ", "ᅡ", "漢", "ア", "゙", "か", "1", "٣", "²", "½", "😀", "‍", "_", "-", "'s", "'LL", "’"]
+    + ["a.", "B!", "x?", ";", ":", ",", ".", "...", "?!", '"', "#", "Ǆ", "ǅ", "Ω", "K", "Å", "﻿", "​", "\x00"]
+    + [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", " ", "　", " "]
+)
+
+
+def test_ids_are_the_librarys():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, encoder, rng = Tokenizer.from_file(path), tokens.IdEncoder(path), random.Random(3)
+    odd = lambda: chr(rng.choice([rng.randint(32, 0x250), rng.randint(0x250, 0xD7FF), rng.randint(0xE000, 0x1FFFF)]))
+    every = ["".join(odd() if rng.random() < k % 2 * 0.3 else rng.choice(ATOMS) for _ in range(rng.randint(1, 9))) for k in range(50_000)]
+    for part, ids, sizes in encoder(pa.array(every), 2):
+        ends = np.cumsum(sizes)
+        for text, a, b in zip(part.to_pylist(), ends - sizes, ends, strict=True):
+            assert ids[a:b].tolist() == [*t.encode(text, add_special_tokens=False).ids, 2], text
+
+
 def test_whole_tokens_are_proved():
     path = public_tokenizers.path("byte_bpe_50k.json")
     t, found = Tokenizer.from_file(path), tokens.whole_tokens(path)
