@@ -10,7 +10,7 @@ from askmill.functions.text import normalize_queries as normalize
 from askmill.functions.text import tokens
 from askmill.operators import chat, dense, ingest, lexical, search
 from askmill.sources import tables
-from askmill.sources.shared import cut
+from askmill.sources.shared import new_folder
 
 #: Nearest neighbours in the test vectors are far apart, and their texts' BM25 scores are large; the thresholds are set so that both filters bite.
 CFG = SearchConfig(dense_threshold=0.2, sparse_threshold=90.0, threshold=0.3)
@@ -29,8 +29,8 @@ def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts are read once for the index; the searches read that."""
-    index = cut(_index(spark, sf_dir), "index")
-    return lexical.sparse_topk(lexical.query_terms(tables.questions(spark, sf_dir)), index, CFG.sparse_limit, others=True)
+    path = lexical.write_index(tables.corpus(spark, sf_dir).select("collection", "id", "text"), new_folder(spark, "index"))
+    return lexical.sparse_topk(lexical.query_terms(tables.questions(spark, sf_dir)), lexical.read_index(spark, path), CFG.sparse_limit, others=True)
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from askmill.operators.blocks import HITS, best, paired
+from askmill.operators.blocks import Row, best, searched
 from askmill.operators.lexical import top_k
 
 #: Vectors of a block of the corpus, and of a block of queries.
@@ -48,16 +48,13 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, others: bool
     """
     q = _blocks(queries.select("collection", F.col("query_id").cast("string").alias("id"), F.col("qvec").alias("vec")), QUERIES, "q")
     c = _blocks(corpus.select("collection", F.col("id").cast("string").alias("id"), F.col("dense").alias("vec")), BLOCK, "c")
-    pairs = paired(q, c, ["collection", "d"], "q_vecs")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                row = {n: batch.column(n)[r].as_py() for n in batch.schema.names}
-                qs, cs = (np.frombuffer(row[f"{s}_vecs"]).reshape(-1, row["d"]) for s in "qc")
-                yield from best(np.round(qs @ cs.T, 12), row["q_ids"], row["c_ids"], k, others)
+    def kernel(query: Row, chunk: Row) -> Iterator[pa.RecordBatch]:
+        d = chunk("d").as_py()
+        qs, cs = (np.frombuffer(x.as_buffer()).reshape(-1, d) for x in (query("q_vecs"), chunk("c_vecs")))
+        yield from best(np.round(qs @ cs.T, 12), query("q_ids").as_py(), chunk("c_ids").as_py(), k, others)
 
-    return top_k(pairs.select("collection", "d", "q_ids", "q_vecs", "c_ids", "c_vecs").mapInArrow(run, HITS), k)
+    return top_k(searched(q, c, ["collection", "d"], kernel), k)
 
 
 def dot(a: Column, b: Column) -> Column:

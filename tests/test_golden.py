@@ -75,13 +75,33 @@ def test_late_parts(spark):
     assert got["b"] is got["c"] is got["d"] is None and [len(x) for x in got["e"]] == [8] * 8
 
 
-def test_index_is_kept(spark, tmp_path):
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_tokenised_once(spark):
     corpus = spark.createDataFrame([("1", "a", "red apple red"), ("2", "b", "sky"), ("1", "c", None)], "collection string, id string, text string")
+    index = lexical.build_index(corpus)
+    assert sorted((r.collection, r.id, r.dl, r.terms, r.tfs) for r in index.collect()) == [("1", "a", 3, ["apple", "red"], [1, 2]), ("1", "c", 0, [], []), ("2", "b", 1, ["sky"], [1])]
+    for df in (index, lexical.build_postings(index), lexical.document_frequencies(index), lexical.pack_index(index), lexical.pack_index(index).filter("n > 1")):
+        assert plan_of(df).count("regexp_extract_all") == 1
+
+
+def test_index_is_kept(spark, tmp_path):
+    corpus = spark.createDataFrame([("1", "a", "red apple red"), ("2", "b", "sky"), ("1", "c", None), (None, "d", "apple")], "collection string, id string, text string")
     kept = lexical.read_index(spark, lexical.write_index(corpus, str(tmp_path / "index")))
-    plain = lambda df: sorted((r.collection, r.id, r.dl, r.terms, r.tfs) for r in df.collect())
-    assert plain(kept) == plain(lexical.build_index(corpus)) == [("1", "a", 3, ["apple", "red"], [1, 2]), ("1", "c", 0, [], []), ("2", "b", 1, ["sky"], [1])]
+    assert sorted((r.collection or "", r.n, r.total) for r in kept.groupBy("collection").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()) == [("", 1, 1), ("1", 2, 3), ("2", 1, 1)]
     terms = lexical.query_terms(spark.createDataFrame([("1", "q", "apple"), ("2", "p", "apple")], "collection string, query_id string, text string"))
-    assert [(r.query_id, r.id) for r in lexical.sparse_topk(terms, kept).collect()] == [("q", "a")]
+    found = lexical.sparse_topk(terms, kept)
+    assert [(r.query_id, r.id) for r in found.collect()] == [("q", "a")]
+    # Of 32 buckets, the search reads the one of its term; the index isn't shuffled.
+    plan = plan_of(found)
+    assert sum(f"b{k:02d}:struct" in plan for k in range(lexical.BUCKETS)) == 1
+    search = plan[plan.rindex("MapInArrow") :]
+    assert "Exchange" not in search and "Scan parquet" in search
+    assert lexical.sparse_topk(terms.filter("false"), kept).count() == 0
+    longer = [r.score for r in lexical.sparse_topk(terms, kept, avgdl=100.0).collect()]
+    assert longer[0] > found.collect()[0].score  # the chunk is short beside that mean
 
 
 def test_search_by_method(spark):
