@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import chat, language, minhash, mixing, packing, quality, shards, template, tokens, vectors
+from askmill.llm import chat, language, minhash, mixing, packing, quality, shards, template, tokens, trie, vectors
 from askmill.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op10_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 #: WFQ by windows: the same hash order, running totals and finish time.
 OP2_SQL = """
 with sized as (
@@ -94,7 +98,7 @@ select doc_id, size, source_size, target, size * copies taken, round(first_finis
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_slots, op2_fair_mix, op3_hyperminhash, op4_token_counts, op5_role_repair, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes)}
+    return {f.__name__: f for f in (op1_template_slots, op2_fair_mix, op3_hyperminhash, op4_token_counts, op5_role_repair, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes, op11_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
