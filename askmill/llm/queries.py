@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from askmill.llm import chat, language, minhash, mixing, packing, quality, shards, template, tokens, trie, vectors
+from askmill.llm import chat, classifier, collocations, language, minhash, mixing, packing, quality, shards, template, tokens, trie, vectors
 from askmill.llm.common import table
 
 
@@ -63,6 +63,15 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return classifier.score(docs, classifier.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 #: WFQ by windows: the same hash order, running totals and finish time.
 OP2_SQL = """
 with sized as (
@@ -97,9 +106,35 @@ select doc_id, size, source_size, target, size * copies taken, round(first_finis
 """
 
 
+#: Phrases by windows over words: all n-grams are counted, without bitmaps or pruning.
+OP13_SQL = r"""
+with pieces as (
+    select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) piece
+    from documents),
+split as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from pieces),
+grams as (
+    select lang, m, array_to_string(ws[i:i + m - 1], ' ') phrase from (select lang, ws, m, unnest(range(1, len(ws) - m + 2)) i from split, (select unnest([1, 2, 3, 4]) m))),
+counted as (select lang, m, phrase, count(*) f from grams group by all),
+totals as (select lang, sum(f)::bigint n from counted where m = 1 group by lang),
+candidates as (select lang, m, phrase, f a, string_split(phrase, ' ') ws from counted where m > 1 and f >= 30),
+cuts as (
+    select c.lang, c.phrase, c.m, c.a, k, x.f l, y.f r, ((2000000::hugeint * c.a) // (x.f + y.f))::bigint score
+    from (select *, unnest(range(1, m)) k from candidates) c
+    join counted x on x.lang = c.lang and x.m = k and x.phrase = array_to_string(c.ws[1:k], ' ')
+    join counted y on y.lang = c.lang and y.m = c.m - k and y.phrase = array_to_string(c.ws[k + 1:c.m], ' ')),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inner_parts as (
+    select lang, array_to_string(ws[i:i + s - 1], ' ') phrase, max(a) f
+    from (select *, unnest(range(1, m - s + 2)) i from (select *, unnest(range(2, m)) s from candidates)) group by all),
+kept as (select b.* from best b left join inner_parts p using (lang, phrase) where p.f is null or 100::hugeint * p.f < 80::hugeint * b.a),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from kept)
+select lang, rank, phrase, a, l::bigint l, r::bigint r, n, score from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_template_slots, op2_fair_mix, op3_hyperminhash, op4_token_counts, op5_role_repair, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes, op11_prefix_trie)}
+    return {f.__name__: f for f in (op1_template_slots, op2_fair_mix, op3_hyperminhash, op4_token_counts, op5_role_repair, op6_divergence_rules, op7_language_id, op8_token_shards, op9_sum_of_squares, op10_binary_codes, op11_prefix_trie, op12_ftrl_quality, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_fair_mix": OP2_SQL}
+    return {"op2_fair_mix": OP2_SQL, "op13_phrases": OP13_SQL}
