@@ -32,7 +32,7 @@ def cut(df: DataFrame, what: str = "step", codec: str = "snappy") -> DataFrame:
 
 
 #: Bytes of what is read, for each core, up to which rows may be dealt anew.
-SPREAD = 64 << 20
+SPREAD = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
