@@ -104,6 +104,10 @@ def prompt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.prompt_history(tables.turns(spark, sf_dir))
 
 
+def prompt_history_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.prompt_history(tables.cleared_turns(spark, sf_dir), clear=chat.CLEAR)
+
+
 def clean_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = tables.turns(spark, sf_dir).filter("role = 'assistant'")
     thought = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("<think>a\nb</think>  \n "), "text")).otherwise(F.col("text"))
@@ -170,7 +174,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         cached_answers_top1, cached_answers_first, cached_answers_best, route_cache_or_search, answered_union, session_entries, session_windows, session_flush, session_flush_immediate, latest_rating_per_question,
-        cache_rating_update, cache_upsert, clean_messages, prompt_history, clean_answers, snapshots_expired, snapshots_due, snapshots_latest, snapshots_to_recover,
+        cache_rating_update, cache_upsert, clean_messages, prompt_history, prompt_history_cleared, clean_answers, snapshots_expired, snapshots_due, snapshots_latest, snapshots_to_recover,
     )
 }
 ORACLE_SQL = {
@@ -195,6 +199,12 @@ ORACLE_SQL = {
         pairs as (select conv_id, turn, text u, case when next_role = 'assistant' then next_text end b from (
             select *, lead(role) over w next_role, lead(text) over w next_text from turns window w as (partition by conv_id order by turn)) where role = 'user')
         select conv_id, turn, coalesce((select string_agg('Юзер: ' || u || ' | Бот: ' || b, chr(10) order by turn) from pairs x where x.conv_id = p.conv_id and x.turn < p.turn and b is not null), '—') history from pairs p""",
+    "prompt_history_cleared": f"""with {TURNS},
+        marked as (select *, role = 'user' and (conv_id + turn) % 5 = 0 cleared from turns),
+        counted as (select *, sum(cleared::int) over (partition by conv_id order by turn) epoch from marked),
+        pairs as (select conv_id, epoch, turn, text u, case when next_role = 'assistant' then next_text end b from (
+            select *, lead(role) over w next_role, lead(text) over w next_text from counted window w as (partition by conv_id, epoch order by turn)) where role = 'user' and not cleared)
+        select conv_id, turn, coalesce((select string_agg('Юзер: ' || u || ' | Бот: ' || b, chr(10) order by turn) from pairs x where x.conv_id = p.conv_id and x.epoch = p.epoch and x.turn < p.turn and b is not null), '—') history from pairs p""",
     "clean_answers": "select conv_id, turn, text answer from conversations where role = 'assistant' and not starts_with(text, '<think>') union all select conv_id, turn, regexp_replace(text, '^<think>.*?</think>\\s*', '', 's') from conversations where role = 'assistant' and starts_with(text, '<think>')",
     "snapshots_expired": f"with {SNAPSHOTS} select collection, name, creation_time from catalog where created_at < timestamp '{NOW}' - interval 30 days",
     "snapshots_due": f"with {SNAPSHOTS} select collection from (select collection from catalog union select o_orderstatus from orders) where collection not in (select collection from catalog where created_at::date = date '{NOW[:10]}')",

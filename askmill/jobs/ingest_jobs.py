@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from askmill.functions.text import chunk_documents as chunk
 from askmill.operators import ingest
 from askmill.sources import tables
+from askmill.sources.shared import cut
 
 SIZE, OVERLAP = 128, 1
 
@@ -89,9 +90,52 @@ def upsert_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.upsert_collection(existing, incoming)
 
 
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The current files with their texts, and the texts that were indexed: of known and gone files, some with another ending than now."""
+    texts = tables.table(spark, sf_dir, "documents").select("doc_id", "text")
+    now = _current(spark, sf_dir).join(texts, "doc_id").select("doc_id", "collection", "path", "text")
+    old = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" An old ending."), F.repeat(F.lit(" More of it."), 200))).otherwise(F.col("text"))
+    path = F.when(F.col("doc_id") % 11 == 0, F.concat("path", F.lit(".gone"))).otherwise(F.col("path"))
+    return now, now.filter("doc_id % 3 <> 0").select("collection", path.alias("path"), old.alias("text"))
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """Chunks with the fingerprint of their file."""
+    return chunk(rows.select("collection", F.col("path").alias("file_path"), "text", ingest.fingerprint("text").alias("fingerprint")), SIZE, OVERLAP)
+
+
+def _synced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    now, old = _versions(spark, sf_dir)
+    index = _chunked(old)
+    return now, index, ingest.sync_content(now.select("collection", "path", ingest.fingerprint("text").alias("fingerprint")), index)
+
+
+def sync_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _synced(spark, sf_dir)[2]
+
+
+def resync_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after the edited files were chunked again: no chunk of an old ending is left."""
+    now, index, status = _synced(spark, sf_dir)
+    status = cut(status, "status")
+    due = now.join(status.filter("status in ('new', 'changed')").select("collection", "path"), ["collection", "path"], "left_semi")
+    return ingest.resync(index, status, _chunked(due)).select("collection", "file_path", "chunk_index", "id", "fingerprint", F.md5("document").alias("document_md5"))
+
+
 _SOURCE = "source_docs as (select d.doc_id, f.{c} collection, f.path file_path, d.text from documents d join {f} f using (doc_id)),"
 
-QUERIES = {f.__name__: f for f in (files_by_collection, sync_new_files, sync_orphans, sync_survivors, chunk_documents, ingest_report, upsert_chunks)}
+VERSIONS = """,
+now_docs as (select doc_id, f.collection, f.path, coalesce(text, '') t, text from current_files f join documents using (doc_id)),
+old_docs as (
+    select doc_id, collection, case when doc_id % 11 = 0 then path || '.gone' else path end path,
+           case when doc_id % 5 = 0 then text || ' An old ending.' || repeat(' More of it.', 200) else text end text
+    from now_docs where doc_id % 3 <> 0),
+kinds as (
+    select coalesce(n.collection, o.collection) collection, coalesce(n.path, o.path) path,
+           case when n.path is null then 'gone' when o.path is null then 'new' when coalesce(o.text, '') = n.t then 'same' else 'changed' end status
+    from now_docs n full join (select * from old_docs where len(list_filter(regexp_extract_all(text, '([^.!?\\n]+[.!?]*)', 1), lambda x: length(trim(x)) > 0)) > 0) o on o.collection = n.collection and o.path = n.path)"""
+
+QUERIES = {f.__name__: f for f in (files_by_collection, sync_new_files, sync_orphans, sync_survivors, chunk_documents, ingest_report, upsert_chunks, sync_by_content, resync_chunks)}
 ORACLE_SQL = {
     "files_by_collection": f"with {FILES} select collection, suffix, count(*) n_files from current_files group by all",
     "sync_new_files": f"with {FILES}{INDEXED} select collection, path from current_files c where not exists (select 1 from indexed i where i.collection = c.collection and i.file_path = c.path)",
@@ -105,6 +149,11 @@ ORACLE_SQL = {
             select collection, 1 a, 0 b, 0 o from new_files union all select collection, 0, 1, 0 from chunked
             union all select collection, 0, 0, 1 from indexed i where not exists (select 1 from current_files c where i.collection = c.collection and i.file_path = c.path))
         group by collection""",
+    "sync_by_content": f"""with recursive {FILES}{VERSIONS}, source_docs as (select doc_id, collection, path file_path, text from old_docs), {CHUNKS},
+        had as (select collection, file_path path, count(*) chunks from chunked group by all)
+        select collection, path, status, coalesce(chunks, 0)::bigint chunks from kinds left join had using (collection, path)""",
+    "resync_chunks": f"""with recursive {FILES}{VERSIONS}, source_docs as (select doc_id, collection, path file_path, text from now_docs), {CHUNKS}
+        select c.collection, file_path, chunk_index, id, sha256(coalesce(d.text, '')) fingerprint, md5(document) document_md5 from chunked c join now_docs d using (doc_id)""",
     "upsert_chunks": f"""with recursive {FILES}{INDEXED}, {_SOURCE.format(c='collection', f='current_files')} {CHUNKS},
         old as (select *, md5(concat_ws('|', collection, file_path, chunk_index::varchar)) id from indexed)
         select collection, file_path, chunk_index, id, document from chunked

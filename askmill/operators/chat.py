@@ -25,21 +25,35 @@ def context_per_query(hits: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
-def pairs(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, u, b: each user's turn, with the assistant's answer if the next turn is one."""
+#: What a user sends to have the dialogue's history cleared.
+CLEAR = "/clear"
+
+
+def _pairs(turns: DataFrame, clear: str | None) -> DataFrame:
+    """conv_id, turn, u, b and epoch, how often the dialogue was cleared before: a clearing turn answers nothing, and no pair reaches over it."""
     w = Window.partitionBy("conv_id").orderBy("turn")
-    rows = turns.withColumns({"next_role": F.lead("role").over(w), "next_text": F.lead("text").over(w)}).filter("role = 'user'")
-    return rows.select("conv_id", "turn", F.col("text").alias("u"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("b"))
+    cleared = F.lit(False) if clear is None else F.coalesce((F.col("role") == "user") & (F.col("text") == clear), F.lit(False))
+    rows = turns.select("conv_id", "turn", "role", "text", cleared.alias("cleared"))
+    # Turns of an epoch lie in the conversation's partition: one shuffle serves all windows.
+    rows = rows.withColumn("epoch", F.count_if("cleared").over(w.rowsBetween(Window.unboundedPreceding, 0)) if clear is not None else F.lit(0).cast("long"))
+    w = Window.partitionBy("conv_id", "epoch").orderBy("turn")
+    rows = rows.withColumns({"next_role": F.lead("role").over(w), "next_text": F.lead("text").over(w)}).filter("role = 'user' and not cleared")
+    return rows.select("conv_id", "epoch", "turn", F.col("text").alias("u"), F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("b"))
+
+
+def pairs(turns: DataFrame, clear: str | None = None) -> DataFrame:
+    """conv_id, turn, u, b: each user's turn, with the assistant's answer if the next turn is one. Turns that clear the history are none."""
+    return _pairs(turns, clear).drop("epoch")
 
 
-def prompt_history(turns: DataFrame, max_turns: int | None = None) -> DataFrame:
-    """conv_id, turn, history: before each user's turn the answered pairs of the conversation, in order.
+def prompt_history(turns: DataFrame, max_turns: int | None = None, clear: str | None = None) -> DataFrame:
+    """conv_id, turn, history: before each user's turn the answered pairs of the conversation, in order. After a user's turn with the text ``clear`` it starts anew.
 
     All of them by default, so a conversation's prompts grow with the square of its turns; ``max_turns`` keeps the last ones.
     """
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding if max_turns is None else -max_turns, -1)
+    w = Window.partitionBy("conv_id", "epoch").orderBy("turn").rowsBetween(Window.unboundedPreceding if max_turns is None else -max_turns, -1)
     line = F.when(F.col("b").isNotNull(), F.concat(F.lit(USER), "u", F.lit(BOT), "b"))
-    rows = pairs(turns).withColumn("line", line).withColumn("lines", F.collect_list("line").over(w))
+    rows = _pairs(turns, clear).withColumn("line", line).withColumn("lines", F.collect_list("line").over(w))
     return rows.select("conv_id", "turn", F.when(F.size("lines") > 0, F.array_join("lines", "\n")).otherwise(NONE).alias("history"))
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,14 +52,19 @@ def snapshots_below(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recover(spark: SparkSession, chosen: DataFrame, folder: str) -> DataFrame:
-    """The rows of the chosen snapshots. ``chosen`` has a row for each collection, so its names may come to the driver; a snapshot is read once for all its collections."""
-    names: dict[str, list[str]] = {}
-    for row in chosen.filter("status = 'ok'").select("collection", "name").toLocalIterator():
-        names.setdefault(row.name, []).append(row.collection)
-    if not names:
+    """The rows of the chosen snapshots, each with its collection; columns that a snapshot lacks are null. One scan reads the chosen folders, however many, and no others.
+
+    ``chosen`` has a row for each collection, and what it names is listed by the driver in any case.
+    """
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    found = chosen.filter("status = 'ok'").select("collection", "name").distinct().collect()
+    if not found:
         raise ValueError("no snapshot to recover")
-    parts = [spark.read.parquet(f"{folder}/{name}").filter(F.col("collection").isin(*collections)) for name, collections in sorted(names.items())]
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    paths = [f"{folder}/{r.name}/collection={'__HIVE_DEFAULT_PARTITION__' if r.collection is None else escape(r.collection)}" for r in found]
+    rows = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).parquet(*sorted(paths))
+    value = F.regexp_extract(F.col("_metadata.file_path"), r"/collection=([^/]+)/[^/]+$", 1)
+    # The path is a URL of a name that is escaped already.
+    return rows.select("*", F.when(value != "__HIVE_DEFAULT_PARTITION__", F.url_decode(F.url_decode(F.replace(value, F.lit("+"), F.lit("%252B"))))).alias("collection"))
 
 
 def restore(spark: SparkSession, chosen: DataFrame, folder: str, target: str) -> DataFrame:

@@ -115,6 +115,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.when(blank, "  \n ").otherwise(F.col("text")).alias("text"))
 
 
+def cleared_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns, of which one user's turn of five clears the dialogue."""
+    from askmill.operators.chat import CLEAR
+
+    clears = (F.col("role") == "user") & ((F.col("conv_id") + F.col("turn")) % 5 == 0)
+    return turns(spark, sf_dir).withColumn("text", F.when(clears, CLEAR).otherwise(F.col("text")))
+
+
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
     iso = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from askmill.config import CACHED_ANSWER
 from askmill.functions.hooks import embed
@@ -27,25 +27,146 @@ def sessionize(stream: DataFrame, gap: str, delay: str = DELAY) -> DataFrame:
     return rows.select("session_id", F.col("w.start").alias("start"), "last", "entries")
 
 
-def flush_stream(stream: DataFrame, gap: str, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str = DELAY) -> StreamingQuery:
-    """Gives ``sink`` the newest rating of each question of the sessions that a batch closes; their state then goes.
+#: What a session's state keeps of a question's newest entry, besides the question.
+_ENTRY = ("msg", "answer", "display_docs")
+FLUSHED = "session_id string, start timestamp, question_id string, msg string, answer string, display_docs string, rating int"
+
+
+def _text(x) -> str | None:
+    return None if x is None or x != x else str(x)
+
 
-    Every entry keeps its session alive; the rated ones are the state. ``checkpoint`` is a folder that all executors share. A batch may
-    come again after a failure, with the same number. ``timed_sessions`` needs less state where sessions are very long.
+class _Runs(StatefulProcessor):
+    """Runs of entries less than a gap apart (``idle``), or that begin less than a span after the first (``age``), closed by event-time timers.
+
+    The state is keyed: a run's start and end, and of each run and question the newest rated entry. So it grows with the questions, not with the entries,
+    and a batch touches only the questions that it has. A clearing message closes what came before it, by the entries' times.
     """
-    have = [F.col(c) if c in stream.columns else F.lit(None).cast("string").alias(c) for c in caches.CARRIED]
-    rated = F.when(F.col("rating").isNotNull(), F.struct(*have, F.col("rating").cast("int").alias("rating"), "ts", "seq"))
-    packed = stream.withWatermark("ts", delay).groupBy("session_id", F.session_window("ts", f"{gap} -1 microseconds").alias("w")).agg(F.collect_list(rated).alias("es"))
-    rows = packed.select("session_id", F.col("w.start").alias("start"), F.inline("es"))
 
-    def batch(df: DataFrame, number: int) -> None:
-        newest = F.max_by(F.struct(*caches.CARRIED, "rating", "ts"), F.struct("ts", -F.col("seq")))
-        sink(df.groupBy("session_id", "start", F.col("question_id").alias("q")).agg(newest.alias("e")).select("session_id", "start", "e.*"), number)
+    def __init__(self, gap: int, policy: str):
+        self.gap, self.policy = gap, policy
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.runs = handle.getMapState("runs", "start long", "last long")
+        self.newest = handle.getMapState("newest", "start long, question string", "ts long, seq long, msg string, answer string, display_docs string, rating int")
+
+    def _due(self, start: int, last: int) -> int:
+        """The time, in milliseconds, from which a run is over."""
+        return -(-((last if self.policy == "idle" else start) + self.gap) // 1000)
+
+    def _joins(self, run: tuple[int, int], start: int, last: int) -> bool:
+        if self.policy == "age":
+            return run[0] - self.gap < start < run[0] + self.gap
+        return start < run[1] + self.gap and run[0] < last + self.gap
+
+    def _close(self, key: tuple, over: list[tuple[int, int]], until: int | None = None) -> list[tuple]:
+        """What these runs have to give, and their end; with ``until``, of each only what is no later."""
+        if not over:
+            return []
+        starts, out, kept = {s for s, _ in over}, [], {}
+        for k, e in list(self.newest.iterator()):
+            if k[0] in starts and (until is None or e[0] <= until):
+                out.append((key[0], pd.Timestamp(k[0], unit="us"), k[1] or None, *e[2:]))
+                self.newest.removeKey(tuple(k))
+            elif k[0] in starts:
+                kept.setdefault(k[0], []).append(e[0])
+        for start, last in over:
+            if until is None or last <= until:
+                self.handle.deleteTimer(self._due(start, last))
+                self.runs.removeKey((start,))
+            elif start <= until:  # what is later goes on as a run of its own
+                self._move((start, last), min(kept.get(start, [last])), last)
+        return sorted(out, key=str)
+
+    def _move(self, run: tuple[int, int], start: int, last: int) -> None:
+        """A run that begins or ends elsewhere now."""
+        self.handle.deleteTimer(self._due(*run))
+        if run[0] != start:
+            self.runs.removeKey((run[0],))
+            for k, e in [(k, e) for k, e in self.newest.iterator() if k[0] == run[0]]:
+                self.newest.removeKey(tuple(k))
+                self._put(start, k[1], tuple(e))
+        self.runs.updateValue((start,), (last,))
+        self.handle.registerTimer(self._due(start, last))
+
+    def _put(self, start: int, question: str, entry: tuple) -> None:
+        old = self.newest.getValue((start, question)) if self.newest.containsKey((start, question)) else None
+        if old is None or (entry[0], -entry[1]) > (old[0], -old[1]):
+            self.newest.updateValue((start, question), entry)
+
+    def _add(self, rows: pd.DataFrame) -> None:
+        """Entries in order, none of which clears."""
+        at = rows["us"].to_numpy()
+        cuts = np.flatnonzero(np.diff(at) >= self.gap) + 1 if self.policy == "idle" else np.arange(1, len(at))
+        known = [(k[0], v[0]) for k, v in self.runs.iterator()]
+        for part in np.split(np.arange(len(at)), cuts):
+            start, last = int(at[part[0]]), int(at[part[-1]])
+            met = [r for r in known if self._joins(r, start, last)]
+            for r in met:
+                start, last = min(start, r[0]), max(last, r[1])
+            known = [r for r in known if r not in met] + [(start, last)]
+            for r in met:
+                if r != (start, last):
+                    self._move(r, start, last)
+            if not met:
+                self._move((start, last), start, last)
+            rated = rows.iloc[part][rows["rating"].iloc[part].notna().to_numpy()]
+            # Rows are in order of time; of one time, the first append counts.
+            newest = rated.sort_values(["us", "seq"], ascending=[True, False], kind="stable").groupby("q", sort=False).tail(1)
+            for r in newest.itertuples():
+                self._put(start, r.q, (int(r.us), int(r.seq), *(_text(getattr(r, c)) for c in _ENTRY), int(r.rating)))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        every = pd.concat(list(rows))
+        us = every["ts"].astype("datetime64[us]").astype("int64")
+        every = every.assign(us=us, q=every["question_id"].fillna("")).sort_values(["us", "seq"], kind="stable")
+        clears, out, done = np.flatnonzero((every["msg"] == CLEAR).to_numpy()), [], 0
+        for k in [*clears.tolist(), None]:
+            if len(every.iloc[done:k]):
+                self._add(every.iloc[done:k])
+            if k is not None:
+                until = int(every["us"].iloc[k])
+                out += self._close(key, [(s[0], v[0]) for s, v in list(self.runs.iterator()) if s[0] <= until], until)
+                done = k + 1
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        yield self._frame(self._close(key, [(s[0], v[0]) for s, v in list(self.runs.iterator()) if self._due(s[0], v[0]) <= now]))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=["session_id", "start", "question_id", *_ENTRY, "rating"])
+
+    def close(self) -> None:
+        pass
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """Has the session's streams keep their state in the store that keyed state needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _closed_runs(stream: DataFrame, gap: int, policy: str, delay: str) -> DataFrame:
+    keyed_state(stream.sparkSession)
+    have = [F.col(c).cast("string").alias(c) if c in stream.columns else F.lit(None).cast("string").alias(c) for c in caches.CARRIED]
+    rows = stream.filter("session_id is not null and ts is not null").select("session_id", *have, "rating", "ts", "seq").withWatermark("ts", delay)
+    return rows.groupBy("session_id").transformWithStateInPandas(_Runs(gap, policy), FLUSHED, "Append", "EventTime")
+
+
+def _microseconds(spark: SparkSession, interval: str) -> int:
+    return spark.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + interval {interval})").alias("n")).first().n
 
-    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
+def flush_stream(stream: DataFrame, gap: str, sink: Callable[[DataFrame, int], None], checkpoint: str, delay: str = DELAY) -> StreamingQuery:
+    """Gives ``sink`` the newest rating of each question of the sessions that a batch closes; their state then goes.
 
-FLUSHED = "session_id string, question_id string, msg string, answer string, display_docs string, rating int"
+    Every entry keeps its session alive; of the rated ones the newest of each question is the state, whatever a session's length. Entries may come in any
+    order within ``delay``: one between two runs makes them one. ``checkpoint`` is a folder that all executors share. A batch may
+    come again after a failure, with the same number. Entries without a session or a time belong to none.
+    """
+    rows = _closed_runs(stream, _microseconds(stream.sparkSession, gap), "idle", delay)
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
 
 
 def timed_sessions(stream: DataFrame, minutes: int, policy: str = "idle", delay: str = DELAY) -> DataFrame:
@@ -55,55 +176,9 @@ def timed_sessions(stream: DataFrame, minutes: int, policy: str = "idle", delay:
     question is kept as state, so a long session's state is bounded by its questions. A clearing message closes what came before it, by the
     entries' times: what is later begins a session of its own, even in one batch, or if the message comes late.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
     if policy not in ("idle", "age"):
         raise ValueError(f"no policy {policy!r}")
-    span = minutes * 60_000
-
-    def text(x) -> str | None:
-        return None if x is None or x != x else str(x)
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else {"since": None, "last": None, "newest": {}}
-        out: list[tuple] = []
-
-        def close(until: float) -> None:
-            gone = {q: x for q, x in held["newest"].items() if x[0] <= until}
-            out.extend((key[0], q or None, *x[2:]) for q, x in sorted(gone.items()))
-            held["newest"] = {q: x for q, x in held["newest"].items() if q not in gone}
-            if held["last"] is not None and held["last"] <= until:
-                held["since"] = held["last"] = None
-            elif held["since"] is not None and held["since"] <= until:
-                held["since"] = min((x[0] for x in held["newest"].values()), default=held["last"])
-
-        if not state.hasTimedOut:
-            for r in pd.concat(list(parts)).sort_values(["ts", "seq"], kind="stable").itertuples():
-                at = int(r.ts.value // 1_000_000)
-                if r.msg == CLEAR:
-                    close(at)
-                    continue
-                held["since"] = at if held["since"] is None else min(at, held["since"])
-                held["last"] = at if held["last"] is None else max(at, held["last"])
-                if r.rating is not None and r.rating == r.rating:
-                    q = text(r.question_id) or ""
-                    old = held["newest"].get(q)
-                    if old is None or (at, -int(r.seq)) > (old[0], old[1]):
-                        held["newest"][q] = [at, -int(r.seq), text(r.msg), text(r.answer), text(r.display_docs), int(r.rating)]
-        end = None if held["last"] is None else (held["last"] if policy == "idle" else held["since"]) + span
-        if end is not None and (state.hasTimedOut or end <= state.getCurrentWatermarkMs()):
-            close(float("inf"))
-        if held["last"] is None:
-            state.remove()
-        else:
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(end)
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "question_id", "msg", "answer", "display_docs", "rating"])
-
-    have = [F.col(c) if c in stream.columns else F.lit(None).cast("string").alias(c) for c in caches.CARRIED]
-    rows = stream.select("session_id", *have, "rating", "ts", "seq").withWatermark("ts", delay)
-    return rows.groupBy("session_id").applyInPandasWithState(step, FLUSHED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return _closed_runs(stream, minutes * 60_000_000, policy, delay).drop("start")
 
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
@@ -128,15 +203,24 @@ def maintain_cache(path: str, checkpoint: str, collection: str = "cache", **hook
     return sink
 
 
-def route_stream(questions: DataFrame, cache: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "top1") -> StreamingQuery:
-    """Routes questions (collection, query_id, qvec) as they come: a batch's top answers need its whole window, so each batch is a job of its own."""
+def route_stream(questions: DataFrame, cache: DataFrame | Callable[[SparkSession], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "top1") -> StreamingQuery:
+    """Routes questions (collection, query_id, qvec) as they come: a batch's top answers need its whole window, so each batch is a job of its own.
+
+    ``cache``: the answers, or what gives them. A function is called for each batch, so that ``living_cache`` serves what streams have put in since.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        sink(caches.route(df, caches.cached_answers(df, cache, mode)), number)
+        now = cache(df.sparkSession) if callable(cache) else cache
+        sink(caches.route(df, caches.cached_answers(df, now, mode)), number)
 
     return questions.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
 
 
+def living_cache(path: str) -> Callable[[SparkSession], DataFrame]:
+    """The newest version of the cache below ``path``, whenever it is asked for."""
+    return lambda spark: read_cache(spark, path)
+
+
 def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
     """Chunks new files and appends each batch's chunks to the table below ``path``; ``versions.read`` gives the newest chunk of each id."""
 
@@ -144,3 +228,8 @@ def ingest_stream(files: DataFrame, chunk: Callable[[DataFrame], DataFrame], pat
         versions.append(chunk(df), path, versions.stream_of(df.sparkSession, checkpoint), number)
 
     return files.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """How many rows of a stream came too late so far, and were dropped: of the batches whose progress is kept (spark.sql.streaming.numRecentProgressUpdates)."""
+    return sum(int(o["numRowsDroppedByWatermark"]) for p in query.recentProgress for o in p["stateOperators"])

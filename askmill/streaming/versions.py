@@ -56,7 +56,10 @@ def read(spark: SparkSession, path: str, key: str, schema: T.StructType) -> Data
     current = _current(folders(spark, path))
     if not current:
         return spark.createDataFrame([], schema)
-    number = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:base|delta)-(\d+)[^/]*/[^/]*$", 1).cast("int")
+    # Two streams that append at once take one number: then the stream's name decides, the same way for all readers.
+    name = r"/(?:base|delta)-(\d+)(?:-(\w+)-(\d+))?/[^/]*$"
+    part = lambda k: F.regexp_extract(F.col("_metadata.file_path"), name, k)
+    number = F.struct(part(1).cast("int").alias("n"), part(2).alias("stream"), F.coalesce(part(3).try_cast("int"), F.lit(0)).alias("batch"))
     rows = spark.read.schema(schema).parquet(*[f"{path}/{x[4]}" for x in current])
     if len(current) == 1:
         return rows

@@ -416,3 +416,13 @@ def test_flush_gathers_no_entries(spark, immediate):
     flushed = cache.flush(df, "30 minutes", now=str(now), immediate=immediate)
     assert {(r.session_id, r.start, r.question_id): (r.msg, r.rating) for r in flushed.collect()} == want
     assert "collect_list" not in flushed._jdf.queryExecution().toString()
+
+
+def test_cleared_history_starts_anew(spark):
+    turns = [("user", "u1"), ("assistant", "b1"), ("user", chat.CLEAR), ("assistant", "Hello."), ("user", "u2"), ("assistant", "b2"), ("user", "u3"), ("user", chat.CLEAR), ("user", chat.CLEAR), ("user", "u4")]
+    df = spark.createDataFrame([(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(2, 0, "assistant", chat.CLEAR), (2, 1, "user", None)], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r.history for r in chat.prompt_history(df, clear=chat.CLEAR).collect()}
+    assert got == {(1, 0): chat.NONE, (1, 4): chat.NONE, (1, 6): "Юзер: u2 | Бот: b2", (1, 9): chat.NONE, (2, 1): chat.NONE}
+    assert {r.turn for r in chat.pairs(df, clear=chat.CLEAR).filter("conv_id = 1").collect()} == {0, 4, 6, 9}
+    assert {(r.conv_id, r.turn) for r in chat.prompt_history(df).collect()} > set(got)
+    assert plan_of(chat.prompt_history(df, clear=chat.CLEAR)).count("Exchange") == 1

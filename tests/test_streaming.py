@@ -144,3 +144,74 @@ def test_questions_are_routed(spark, tmp_path):
     table = spark.createDataFrame([("c", "c1", [0.9, 0.1], 4.0)], "collection string, question_id string, dense array<double>, rating double")
     sessions.route_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "q")), table, lambda df, n: found.extend(map(tuple, df.collect())), str(tmp_path / "cp")).awaitTermination()
     assert sorted(found) == [("far", "search", None), ("near", "cache", "c1")]
+
+
+def read_state(spark, checkpoint, name):
+    return spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+
+
+def test_entries_out_of_order_make_the_same_sessions(spark, tmp_path):
+    """Entries come up to 8 minutes late, so runs that seemed apart are one."""
+    import random
+
+    rng = random.Random(2)
+    rows = [(f"s{rng.randint(0, 2)}", rng.choice(["q", "r", None]), f"m{k}", rng.choice([None, 1.0, 4.0]), T0 + timedelta(seconds=rng.randint(60, 400) * k // 4), k) for k in range(200)]
+    df = spark.createDataFrame(rows + [("end", "q", "m", 1.0, T0 + timedelta(days=9), 999)], log(spark).schema)
+    order = sorted(rows, key=lambda r: r[4] + timedelta(seconds=rng.randint(0, 480)))
+    for k in range(0, len(order), 25):
+        spark.createDataFrame(order[k : k + 25], log(spark).schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    df.filter("session_id = 'end'").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    found, of = [], lambda r: str((r.session_id, r.start, r.question_id, r.msg, r.rating))
+    sessions.flush_stream(stream(spark, str(tmp_path / "in")), "5 minutes", lambda b, n: found.extend(map(of, b.collect())), str(tmp_path / "cp")).awaitTermination()
+    want = cache.flush(df, "5 minutes", now="2024-01-09 00:00:00").collect()
+    assert sorted(found) == sorted(map(of, want)) and len({r.start for r in want}) > 5
+
+
+def test_state_grows_with_questions_not_with_entries(spark, tmp_path):
+    rows = spark.range(100_000).select(F.lit("s").alias("session_id"), F.concat(F.lit("q"), F.col("id") % 10).alias("question_id"), F.concat(F.lit("m"), "id").alias("msg"), (F.col("id") % 5).cast("double").alias("rating"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id")).alias("ts"), F.col("id").alias("seq"))
+    rows.filter("id < 60000").drop("id").coalesce(1).write.parquet(str(tmp_path / "in"))
+    rows.filter("id >= 60000").drop("id").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    cp, found = str(tmp_path / "cp"), []
+    sessions.flush_stream(stream(spark, str(tmp_path / "in")), "30 minutes", lambda df, n: found.extend(df.collect()), cp).awaitTermination()
+    assert read_state(spark, cp, "newest").count() == 10 and read_state(spark, cp, "runs").count() == 1 and not found
+    spark.createDataFrame([("end", "q", "m", 1.0, datetime(2024, 1, 1), 1)], log(spark).schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sessions.flush_stream(stream(spark, str(tmp_path / "in")), "30 minutes", lambda df, n: found.extend(df.collect()), cp).awaitTermination()
+    assert sorted((r.question_id, r.msg) for r in found) == [(f"q{k}", f"m{99_990 + k}") for k in range(10)]
+    assert {r.user_map_key.start for r in read_state(spark, cp, "newest").collect()} == {int(datetime(2024, 1, 1).timestamp() * 1e6)}
+
+
+def test_a_routed_stream_serves_what_came_since(spark, tmp_path):
+    """Between two batches of questions the cache gets an answer: the second batch is served it."""
+    out, questions, found = str(tmp_path / "cache"), str(tmp_path / "q"), []
+    asked = query_embed(spark.createDataFrame([("cache", "a", "what is it"), ("cache", "b", "what is it")], "collection string, query_id string, text string"))
+    flushes = sessions.flush_stream(stream(spark, written(spark, tmp_path)), "30 minutes", lambda df, n: df.collect(), str(tmp_path / "cp"))
+    flushes.awaitTermination()
+    put = sessions.maintain_cache(out, str(tmp_path / "cp"))
+    fresh = spark.createDataFrame([("s", None, "what is it", "that", None, 5)], "session_id string, question_id string, msg string, answer string, display_docs string, rating int")
+
+    def sink(df, number):
+        found.extend((r.query_id, r.route) for r in df.collect())
+        if number == 0:
+            put(fresh, 0)
+
+    for k in "ab":
+        asked.filter(F.col("query_id") == k).coalesce(1).write.mode("append").parquet(questions)
+    rows = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", 1).parquet(questions)
+    sessions.route_stream(rows, sessions.living_cache(out), sink, str(tmp_path / "cp2")).awaitTermination()
+    assert sorted(r for _, r in found) == ["cache", "search"] and [r for _, r in found][0] == "search"
+
+
+def test_appends_of_one_number_are_read_alike(spark, tmp_path):
+    schema = spark.createDataFrame([], "id string, v int").schema
+    for stream_name, v in (("aa", 1), ("zz", 2)):
+        spark.createDataFrame([("k", v)], schema).coalesce(1).write.parquet(str(tmp_path / f"delta-3-{stream_name}-7"))
+    spark.createDataFrame([("k", 0)], schema).coalesce(1).write.parquet(str(tmp_path / "base-2"))
+    assert [r.v for r in versions.read(spark, str(tmp_path), "id", schema).collect()] == [2]
+
+
+def test_late_rows_are_counted(spark, tmp_path):
+    for k, minute in enumerate((0, 600, 601, 1)):
+        spark.createDataFrame([("s", "q", "m", 1.0, T0 + timedelta(minutes=minute), k)], log(spark).schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = sessions.sessionize(stream(spark, str(tmp_path / "in")), "30 minutes").writeStream.format("noop").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sessions.late_rows(q) == 1
