@@ -110,8 +110,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int, out: str, key: str = "
     """Writes all documents' ids in ascending key order below ``out``; gives that path.
 
     Texts are encoded once, and counted as they are; their ids are then dealt by ranges of keys, over as many shards as
-    the ids fill. Null texts count as empty (the end id alone). Null keys come first, rows of equal keys stay rows of their
-    own; other columns are left out. An empty table gives empty files.
+    the ids fill. Null texts count as empty (the end id alone). Null keys come first; rows of equal keys stay rows of their
+    own, in an order that their ids give; other columns are left out. An empty table gives empty files.
     """
     spark = docs.sparkSession
     width = 2 if load(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else 4
@@ -145,7 +145,8 @@ def write_shards(docs: DataFrame, path: str, end_id: int, out: str, key: str = "
                 at, block = to, block + 1
 
     shards = shards or shard_count(int(found[:, 0].sum()), spark.sparkContext.defaultParallelism)
-    dealt = encoded.filter("counts is null").select("k", "ids").repartitionByRange(shards, "k").sortWithinPartitions("k").select(F.spark_partition_id().alias("shard"), "k", "ids")
+    # Documents of one key are in the order of their ids, so reruns agree; a key that very many have is dealt over several shards.
+    dealt = encoded.filter("counts is null").select("k", "ids", F.xxhash64("ids").alias("h")).repartitionByRange(shards, "k", "h").sortWithinPartitions("k", "h", "ids").select(F.spark_partition_id().alias("shard"), "k", "ids")
     dealt.mapInArrow(run, f"shard int, block int, keys array<{kind}>, lengths array<int>, control binary, data binary").write.parquet(f"{out}/blocks")
     return out
 
