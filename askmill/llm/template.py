@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,11 +31,13 @@ SHARE, PAGES = 0.5, 3
 NEARLY = 0.9
 #: A page whose slot holds less than this share of its text is read alone; a container with more is not rejected by its name; blocks with more of a slot's text are copies, not template.
 MINOR = 0.5
-#: Hosts whose slots each executor may be sent (some kilobyte each); more are joined by shuffle.
-MOST_HOSTS = 200_000
+#: Bytes of hosts' slots and templates that each executor may be sent; more are joined by shuffle.
+MOST_SENT = 64 << 20
+#: Tokens that a task adds up before it gives them out.
+TOKENS = 200_000
 
 # HTML's elements by what they do, and the names by which pages mark what isn't article.
-RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "math", "object", "select", "xmp", "noembed", "noframes"}
+RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "object", "select", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset",
@@ -61,7 +64,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([
 _WORD = re.compile(r"[a-zA-Z]+")
 _BEGUN = re.compile(r"</?[a-zA-Z]")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+_ENDS = {tag: re.compile(rf"</{tag}\b", re.I) for tag in RAW}
 #: What the start of an element of a kind ends: an element of the second set, if it is the innermost one open.
 _CLOSES = {"li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
@@ -192,7 +195,9 @@ def blocks(page: str) -> Page:
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
                 ended = _ENDS[tag].search(page, at)
-                at = ended.end() if ended else len(page)
+                # Where no such tag is closed, none of the later ones is.
+                at = page.find(">", ended.end()) + 1 if ended else 0
+                at = at or len(page)
             continue
         if tag == "a":
             link_depth = 0 if m[1] else 1
@@ -227,7 +232,7 @@ def blocks(page: str) -> Page:
         out.depth.append(out.depth[top] + 1)
         out.tag.append(tag)
         out.mark.append(_mark(out.mark[top], found.token))
-        out.gone.append(out.gone[top] or found.hidden or tag in NOT_ARTICLE and tag != "form" or tag == "header" and not opened.get("article"))
+        out.gone.append(out.gone[top] or found.hidden or tag in NOT_ARTICLE and tag != "form" or tag == "header" and not (opened.get("article") or opened.get("main")))
         out.says.append(found.says)
         out.named.append(found.named)
         out.first.append(len(out.text))
@@ -278,9 +283,19 @@ def tokens(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int, int, int, int, bool], list] = {}
+
+        def give() -> pa.RecordBatch:
+            rows = [(*token, a, v - 2**64 if v >= 2**63 else v, c, x, y) for token, (a, v, c, x, y) in sums.items()]
+            sums.clear()
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 11
+            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "parent", "depth", "text", "whole", "pages", "vector", "count", "chars", "named"])
+
         for batch in batches:
-            sums: dict[tuple[str, int, int, int, int, bool], list] = {}
             for k in range(batch.num_rows):
+                if len(sums) >= TOKENS:
+                    yield give()
                 host, given = _host(batch.column(1)[k].as_py()), batch.column(2)[k].as_py()
                 if host is None or not given:
                     continue
@@ -316,10 +331,7 @@ def tokens(pages: DataFrame, key: str, url: str, text: str) -> DataFrame:
                     s[2] += n
                     s[3] += chars
                     s[4] |= named
-            rows = [(*token, a, v - 2**64 if v >= 2**63 else v, c, x, y) for token, (a, v, c, x, y) in sums.items()]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 11
-            types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["host", "path", "parent", "depth", "text", "whole", "pages", "vector", "count", "chars", "named"])
+        yield give()
 
     kind = "host string, path long, parent long, depth int, text long, whole boolean, pages long, vector long, count long, chars long, named boolean"
     rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).alias("u"), F.col(text).alias("t")).mapInArrow(run, kind)
@@ -359,34 +371,71 @@ def best_slot(places: dict[int, Place]) -> int:
     return max(around, key=lambda p: (places[p].depth, places[p].chars, p))
 
 
+def walked(places: dict[int, Place]) -> tuple[list[int], dict[int, int]]:
+    """The paths, each before what it holds, and for each the place in that order at which what it holds ends."""
+    below: dict[int, list[int]] = {}
+    for p, x in places.items():
+        if p:
+            below.setdefault(x.parent, []).append(p)
+    order, end, todo = [], {}, [(0, False)]
+    while todo:
+        p, done = todo.pop()
+        if done:
+            end[p] = len(order)
+        else:
+            order.append(p)
+            todo.append((p, True))
+            todo += [(q, False) for q in below.get(p, ())]
+    return order, end
+
+
 def deduce(tokens: list[dict]) -> tuple[int, set[int]]:
     """A host's slot and the marks of its template's texts, from the tokens that are in enough of its pages.
 
     Tokens of equal vectors are a class. Of a class without the text of the slot, or of what is around it, the texts of containers are
     template, and so are blocks if a container around them is of the class: they come wherever it does. Blocks that would take most of the
-    slot's text are copies as well.
+    slot's text are copies as well. What holds for all that is around a path is found in one walk over the paths, however deep they lie.
     """
     paths, said = [t for t in tokens if not t["text"]], [t for t in tokens if t["text"]]
     once = {t["path"]: t["vector"] for t in paths if t["pages"] == t["count"]}
     size = {t["path"]: t["chars"] for t in paths}
     places = {t["path"]: Place(t["parent"], t["depth"], t["chars"], t["named"] and t["path"] in once, t["path"] in once) for t in paths}
+    order, end = walked(places)
+    at = {p: k for k, p in enumerate(order)}
+    of: dict[int, list[dict]] = {}
+    for t in said:
+        of.setdefault(t["path"], []).append(t)
+    # Blocks of the class of a container around them: vectors on the way down are counted as the walk enters and leaves.
+    within, on, open_ = set(), Counter(), []
+    for k, p in enumerate(order):
+        while open_ and end[open_[-1]] <= k:
+            on[once.get(open_.pop())] -= 1
+        open_.append(p)
+        on[once.get(p)] += 1
+        within |= {id(t) for t in of.get(p, ()) if not t["whole"] and t["vector"] is not None and on[t["vector"]] > 0}
     slot, template = best_slot(places), set()
     for _ in range(2):
         around = set(chain(places, slot))
         copies = {t["vector"] for t in said if t["whole"] and (t["path"] in around or not places[t["path"]].parent)}
-        outer = {t["path"]: t for t in said if t["whole"] and t["path"] not in around and t["vector"] not in copies}
-        repeated = [t for t in said if not t["whole"] and t["vector"] not in copies and any(t["vector"] == once.get(p) for p in chain(places, t["path"]))]
-        inner = [t for t in repeated if slot in chain(places, t["path"])]
+        outer = [t for t in said if t["whole"] and t["path"] not in around and t["vector"] not in copies]
+        tops = {t["path"] for t in outer}
+        repeated = [t for t in said if id(t) in within and t["vector"] not in copies]
+        inner = [t for t in repeated if at[slot] <= at[t["path"]] < end[slot]]
         if sum(t["chars"] for t in inner) > MINOR * size[slot]:
-            repeated = [t for t in repeated if t not in inner]
-        template = {t["text"] for t in [*outer.values(), *repeated]}
+            held = set(map(id, inner))
+            repeated = [t for t in repeated if id(t) not in held]
+        template = {t["text"] for t in [*outer, *repeated]}
         # What goes from a path: the outermost template containers below it, and the blocks that are in none.
-        less = dict.fromkeys(places, 0)
-        for t in [*outer.values(), *repeated]:
-            ways = chain(places, t["path"])
-            if not any(p in outer for p in ways[t["whole"] :]):
-                for p in ways:
-                    less[p] += t["chars"]
+        less, covered = dict.fromkeys(places, 0), dict.fromkeys(places, False)
+        for p in order:
+            if p:
+                covered[p] = covered[places[p].parent] or places[p].parent in tops
+        for t in [*outer, *repeated]:
+            if not covered[t["path"]] and (t["whole"] or t["path"] not in tops):
+                less[t["path"]] += t["chars"]
+        for p in reversed(order):
+            if p:
+                less[places[p].parent] += less[p]
         slot = best_slot({p: Place(x.parent, x.depth, size[p] - less[p], x.named, x.slot) for p, x in places.items()})
     return slot, template
 
@@ -464,7 +513,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", text: str
     are few enough to send; beyond, both are joined by host.
     """
     found = cut(slots(cut(tokens(pages, key, url, text), "tokens")), "slots")
-    few = found.limit(MOST_HOSTS + 1).count() <= MOST_HOSTS
+    few = (found.agg(F.sum(F.octet_length("host") + 8 * F.size("template") + 64)).first()[0] or 0) <= MOST_SENT
     host = F.lower(F.regexp_extract(F.col(url), r"^\s*[a-zA-Z][\w+.\-]*://(?:[^/@?#]*@)?([^/:?#]+)", 1))
     rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(text).alias("t"), host.alias("host"))
     joined = rows.join(F.broadcast(found) if few else found, "host", "left").select("k", "u", "t", "slot", "template")

@@ -374,6 +374,88 @@ def test_hard_pages_take_time_in_proportion(page, want):
     assert time.process_time() - began < 20
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [("<div>" * 20_000 + "<p>deep", "deep"), ("<p>kept<script>" + "</script " * 50_000, "kept"), ("<div class=a><p>x</div>" * 3000, " ".join("x" * 3000))],
+)
+def test_hard_hosts_take_time_in_proportion(spark, page, want):
+    began = time.time()
+    assert extracted(spark, [("h.example", page)] * 4) == [want] * 4
+    assert time.time() - began < 60
+
+
+def test_formulas_and_titles_stay(spark):
+    page = "<html><body><header>Site</header><main><header><h1>Title</h1></header><p>Let <math><mi>x</mi></math> be one</p></main></body></html>"
+    assert extracted(spark, [("h.example", page)]) == ["Title Let x be one"]
+
+
+def plain_deduction(pages):
+    """The slot and the template of a host's pages by explicit occurrence vectors and by walking from each text to the page: no sums, no hashes of pages, no shared walk."""
+    vectors, chars, named, parent, depth = {}, Counter(), set(), {}, {}
+    for number, given in enumerate(pages):
+        page = template.blocks(given)
+        kept, home = page.kept(), page.home()
+        whole, own = template.texts(page)
+        size = lambda c: sum(n for n, k in list(zip(page.chars, kept, strict=True))[page.first[c] : page.last[c]] if k)  # noqa: B023, E731
+        for c in range(len(page.parent)):
+            if page.tag[c] in template.PARTS:
+                continue
+            p = page.mark[c]
+            parent[p], depth[p] = page.mark[home[page.parent[c]]] if c else 0, page.depth[c]
+            tokens = [(p, 0, False)] + ([(p, whole[c], True)] if c in whole else [])
+            for token in tokens:
+                vectors.setdefault(token, Counter())[number] += 1
+                chars[token] += size(c)
+            named |= {p} if page.named[c] else set()
+        for c, m, n in zip(page.inside, own, page.chars, strict=True):
+            if m is not None:
+                token = (page.mark[home[c]], m, False)
+                vectors.setdefault(token, Counter())[number] += 1
+                chars[token] += n
+    often = {t: v for t, v in vectors.items() if len(v) >= template.PAGES and len(v) >= template.SHARE * len(vectors[0, 0, False])}
+    up = lambda p: [p] + (up(parent[p]) if p else [])
+    once = {t[0]: v for t, v in often.items() if not t[1] and max(v.values()) == 1}
+    left = {t[0]: chars[t] for t in often if not t[1]}
+    total = dict(left)
+    place = lambda: {p: template.Place(parent[p], depth[p], n, p in named and p in once, p in once) for p, n in left.items()}
+    slot = template.best_slot(place())
+    for _ in range(2):
+        copies = [v for t, v in often.items() if t[2] and (t[0] in up(slot) or not parent[t[0]])]
+        outer = {t[0] for t, v in often.items() if t[2] and t[0] not in up(slot) and v not in copies}
+        gone = [t for t, v in often.items() if t[1] and not t[2] and v not in copies and any(once.get(p) == v for p in up(t[0]))]
+        if sum(chars[t] for t in gone if slot in up(t[0])) > template.MINOR * total[slot]:
+            gone = [t for t in gone if slot not in up(t[0])]
+        gone += [t for t, v in often.items() if t[2] and t[0] in outer and v not in copies]
+        left = dict(total)
+        for t in gone:
+            if not any(p in outer for p in up(t[0])[t[2] :]):
+                for p in up(t[0]):
+                    left[p] -= chars[t]
+        slot = template.best_slot(place())
+    return slot, {t[1] for t in gone}
+
+
+def test_deduction_against_brute_force(spark):
+    hosts = {}
+    for n in range(25):
+        rng = random.Random(n)
+        shapes = [rng.choice(["<div class=a>{}</div>", "<section>{}</section>", "<article>{}</article>", "<div id=main>{}</div>", "<p>{}</p>", "<ul><li>{}</ul>", "{}"]) for _ in range(6)]
+        fixed = [prose(100 * n + k, rng.choice([2, 9, 40])) for k in range(4)]
+
+        def part(level):
+            if level == 0 or rng.random() < 0.3:
+                return rng.choice([rng.choice(fixed), prose(rng.random(), 20), ""])
+            return "".join(rng.choice(shapes).format(part(level - 1)) for _ in range(rng.randint(1, 3)))
+
+        around = part(3)
+        hosts[f"h{n}.example"] = [f"<html><body>{around}{rng.choice(shapes).format(part(2))}{rng.choice(fixed)}</body></html>" for _ in range(rng.choice([2, 3, 7, 12]))]
+    rows = [(1000 * n + k, f"http://{host}/{k}", page) for n, (host, pages) in enumerate(hosts.items()) for k, page in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.host: (r.slot, set(r.template)) for r in template.slots(template.tokens(df, "page_id", "url", "html")).collect()}
+    want = {host: plain_deduction(pages) for host, pages in hosts.items() if len(pages) >= template.PAGES}
+    assert got == want and sum(bool(t) for _, t in want.values()) > 5
+
+
 def brute_repair(roles):
     follows = {"S": "su", "s": "u", "u": "a", "a": "u"}
     best = {"S": 0.0}
