@@ -89,16 +89,27 @@ def _few(sources: DataFrame, most: int = 20_000) -> bool:
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """The rows of ``docs`` that the mix takes, repeated as often as it takes them, with their columns only.
 
-    Rows of one key, source and size share what the queue gives them, so that their copies differ by one at most.
+    In its source's order a document is taken as often as the one before it, or once less, and that only once in a source: so a source's last document
+    that is taken more often than others tells of each document, where it is read, how often it is taken. No text is shuffled while sources are few enough to send. Rows of one key,
+    source and size have one place in the order; where the source's change falls among these, they alone are numbered, so that their copies differ by one at most.
     """
-    plan = fair_queue(docs.select(key, source, text), key, source, text, rounds)
-    name = lambda c: F.concat(F.lit("="), F.col(c).cast("string"))
-    by = ["__k", "__s", "__z"]
-    counts = plan.select(F.coalesce(name(key), F.lit("")).alias("__k"), F.coalesce(name(source), F.lit("")).alias("__s"), F.col("size").alias("__z"), "copies")
-    counts = counts.groupBy(*by).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")).filter("__copies > 0")
+    plan = fair_queue(docs.select(key, source, text), key, source, text, rounds).filter("size > 0")
+    place = F.struct("shuffle", F.col(key).alias("k"), "size")
+    of = plan.groupBy(F.col(source).alias("__s")).agg(F.max("copies").alias("__most"), F.min("copies").alias("__least"))
+    last = plan.join(F.broadcast(of) if _few(of) else of, F.col(source).eqNullSafe(F.col("__s"))).filter(F.col("copies") == F.col("__most"))
+    last = last.groupBy("__s", "__most", "__least").agg(F.max(place).alias("__last"))
+    # How many rows have that place, and how often all of these are taken.
+    few = _few(last)
+    named = last.withColumnRenamed("__s", "__s2")
+    ties = plan.join(F.broadcast(named) if few else named, F.col(source).eqNullSafe(F.col("__s2")) & (place == F.col("__last"))).groupBy("__s2").agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies"))
+    cuts = cut(last.join(ties, F.col("__s").eqNullSafe(F.col("__s2"))).drop("__s2"), "cuts")
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumns({"__k": F.coalesce(name(key), F.lit("")), "__s": F.coalesce(name(source), F.lit("")), "__z": size}).join(counts, by)
-    # The window has the join's partitioning, so the rows aren't shuffled again.
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(text))))
-    own = F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
-    return rows.filter(own > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), own.cast("long")))).select(*docs.columns)
+    shuffled = F.md5(F.concat_ws("|", F.lit("mix"), F.col(key).cast("string")))
+    here = F.struct(shuffled.alias("shuffle"), F.col(key).alias("k"), size.alias("size"))
+    rows = docs.withColumn("__here", here).filter("__here.size > 0").join(F.broadcast(cuts) if few else cuts, F.col(source).eqNullSafe(F.col("__s")))
+    whole = (F.col("__here") != F.col("__last")) | (F.col("__copies") == F.col("__rows") * F.col("__most"))
+    sure = rows.filter(whole).withColumn("__n", F.when(F.col("__here") <= F.col("__last"), F.col("__most")).otherwise(F.col("__least")))
+    tied = rows.filter(~whole).withColumn("__nth", F.row_number().over(Window.partitionBy("__s").orderBy(F.xxhash64(text))))
+    tied = tied.withColumn("__n", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__nth")
+    taken = sure.withColumn("__n", F.col("__n").cast("long")).unionByName(tied.withColumn("__n", F.col("__n").cast("long"))).filter("__n > 0")
+    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*docs.columns)

@@ -10,6 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from askmill.llm import quality
 from askmill.llm.common import cut
+from askmill.llm.language import fit, identify
 from tests.llm.test_duplicates import brute_components, shingles
 from tests.llm.test_text_operators import brute_base, brute_targets
 from tests.oracle import SMALL
@@ -29,6 +30,8 @@ def test_stages(spark):
     labels = {r.doc_id: r for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
     clean = {i for i, r in labels.items() if r.quality == 1 and not brute_base(start[i].text or "")[5]}
     assert len(clean & set(quality_kept)) >= 0.99 * len(clean)
+    found = {r.doc_id: r.lang_pred for r in identify(given, fit(given)).collect()}
+    assert all(r.lang == found[i] for i, r in language.items())  # later stages judge by the language that was told
     verdicts = {r.doc_id: r.kept for r in quality.judge(tables[1]).collect()}
     assert set(quality_kept) == {i for i, kept in verdicts.items() if kept}
     sets = {i: shingles(r.text, 5) for i, r in quality_kept.items()}
