@@ -20,11 +20,11 @@ def least_score(languages: int) -> float:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told with some certainty; null, empty and letterless texts go. Columns stay as they are."""
+    """Documents whose language is told with some certainty; null, empty and letterless texts go. What is told is their ``lang`` from here on; other columns stay as they are."""
     net = language.fit(docs)
     found = language.identify(docs, net, lang="__lang", score="__score")
     least = least_score(len(net.languages) if net else 0)
-    return found.filter((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= least)).select(*docs.columns)
+    return found.filter((F.col("__lang") != language.UNKNOWN) & (F.col("__score") >= least)).withColumn("lang", F.col("__lang")).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
