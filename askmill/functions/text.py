@@ -6,10 +6,11 @@ import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import arrow_udf
 
 #: Tokens of two letters or more and nothing else. A hyphenated compound is one token, and so none of these.
 TOKEN = r"(?<![\p{L}\p{N}_])(?<![\p{L}\p{N}_]-)\p{L}{2,}+(?![\p{L}\p{N}_])(?!-[\p{L}\p{N}_])"
@@ -93,20 +94,40 @@ def words(sentence: str) -> int:
     return len(sentence.split())
 
 
-def chunks(most: int, overlap: int, count_tokens: Callable[[str], int] = words):
-    """A pandas UDF: a document's sentences -> its chunks. ``count_tokens`` counts a sentence's tokens, by white space if not given."""
+def _word_counts(texts: pa.Array) -> np.ndarray:
+    """``words`` of each text, for all at once."""
+    trimmed = pc.utf8_trim_whitespace(texts)
+    n = np.asarray(pc.list_value_length(pc.utf8_split_whitespace(trimmed)))
+    return np.where(np.asarray(pc.equal(pc.binary_length(trimmed), 0)), 0, n)
+
 
-    @F.pandas_udf("array<string>")
-    def pack(sentences: pd.Series) -> pd.Series:
-        def one(xs) -> list[str]:
-            if xs is None or len(xs) == 0:
-                return []
-            sizes = np.array([count_tokens(x) for x in xs])
-            return [" ".join(xs[s:e]) for s, e in runs(sizes, most, overlap)]
+def chunks(most: int, overlap: int, count_tokens: Callable[[str], int] = words):
+    """An Arrow UDF: a document's sentences -> its chunks. ``count_tokens`` counts a sentence's tokens, by white space if not given.
 
-        return sentences.map(one)
+    How far a chunk reaches is found for all sentences of a batch at once, and texts are joined by Arrow; only the way from chunk to chunk is walked.
+    """
 
-    return pack
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            flat, n = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+            sizes = _word_counts(flat) if count_tokens is words else np.fromiter(map(count_tokens, flat.to_pylist()), np.int64, len(flat))
+            ends, total = np.cumsum(n), np.r_[0, np.cumsum(sizes)]
+            reach = np.maximum(np.searchsorted(total, total[:-1] + most, "right") - 1, np.arange(1, len(flat) + 1))
+            reach = np.minimum(reach, np.repeat(ends, n)).tolist()
+            first, last, per = [], [], [0]
+            for s, end in zip((ends - n).tolist(), ends.tolist(), strict=True):
+                while s < end:
+                    first.append(s)
+                    last.append(reach[s])
+                    s = end if reach[s] >= end else max(s + 1, reach[s] - overlap)
+                per.append(len(first))
+            length = np.array(last, np.int64) - np.array(first, np.int64)
+            upto = np.cumsum(length)
+            at = np.repeat(np.array(first, np.int64) - (upto - length), length) + np.arange(length.sum())
+            held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, upto], pa.int64()), flat.take(pa.array(at, pa.int64())))
+            yield pa.ListArray.from_arrays(pa.array(per, pa.int32()), pc.binary_join(held, " ").cast(pa.string()))
+
+    return arrow_udf(run, "array<string>")
 
 
 def sentences(text: Column | str) -> Column:

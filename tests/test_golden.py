@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -426,3 +427,14 @@ def test_cleared_history_starts_anew(spark):
     assert {r.turn for r in chat.pairs(df, clear=chat.CLEAR).filter("conv_id = 1").collect()} == {0, 4, 6, 9}
     assert {(r.conv_id, r.turn) for r in chat.prompt_history(df).collect()} > set(got)
     assert plan_of(chat.prompt_history(df, clear=chat.CLEAR)).count("Exchange") == 1
+
+
+def test_chunks_of_many_documents(spark):
+    """Against the plain walk from run to run; a counter of one's own gives the same as the built-in one."""
+    rng = random.Random(6)
+    docs = [[" ".join(rng.choices(["a", "bb", "c\td", "é x", "\t", " e ", ""], k=rng.randint(1, 5))) for _ in range(rng.randint(0, 30))] for _ in range(60)] + [None, []]
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(docs)], "id long, ss array<string>").repartition(3)
+    for most, overlap in ((1, 0), (7, 1), (12, 3), (1000, 2)):
+        want = {k: [" ".join(d[s:e]) for s, e in runs(np.array([len(x.split()) for x in d]), most, overlap)] if d else [] for k, d in enumerate(docs)}
+        for counter in ({}, {"count_tokens": lambda x: len(x.split())}):
+            assert {r.id: r.c for r in df.select("id", chunks(most, overlap, **counter)("ss").alias("c")).collect()} == want
