@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 from askmill.llm import language, minhash, packing, quality, queries, shards, template
+from tests.llm.test_learned import plain_phrases
+from tests.llm.test_trie import brute_force as trie_by_hand
 from tests.oracle import SMALL, connect, rows
 
 COLUMNS = {
@@ -26,10 +28,13 @@ COLUMNS = {
     "op8": ["doc_id", "start", "n_tokens", "ids_crc32"],
     "op9": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op10": ["vec_id", "n_links", "component_id", "kept"],
+    "op12": ["doc_id", "held_out", "score", "predicted"],
 }
+#: Queries with rows of their own, and not one for each row of a table.
+DERIVED = {"op11_prefix_trie", "op13_phrases"}
 
 
-@pytest.mark.parametrize("name", sorted(queries.queries()))
+@pytest.mark.parametrize("name", sorted(set(queries.queries()) - DERIVED))
 def test_query_covers_its_table(spark, name):
     op = name.split("_")[0]
     table, key = {"op1": ("pages", "page_id"), "op5": ("conversations", "conv_id"), "op10": ("embeddings", "vec_id")}.get(op, ("documents", "doc_id"))
@@ -46,6 +51,15 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
 
 
+def test_derived_rows(spark):
+    """The trie and the phrases as the queries give them, over their whole tables."""
+    got = [tuple(r) for r in __spark_entry__.queries()["op11_prefix_trie"](spark, SMALL).collect()]
+    turns = spark.read.parquet(f"{SMALL}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    assert sorted(got, key=str) == trie_by_hand([tuple(r) for r in turns])
+    got = sorted(tuple(r) for r in __spark_entry__.queries()["op13_phrases"](spark, SMALL).collect())
+    assert got == plain_phrases([(r.lang, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]) and got
+
+
 def js(p, q):
     part = lambda a, b: a * math.log2(2 * a / (a + b)) if a > 0 else 0.0
     return math.sqrt(max(0.0, sum(part(a, b) + part(b, a) for a, b in zip(p, q, strict=True)) / 2))
