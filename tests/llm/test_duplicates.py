@@ -168,23 +168,48 @@ def test_wider_bands_find_as_much(spark, monkeypatch):
     assert got >= 1996 and vectors.bands(11, 0.93) > vectors.bands(8, 0.93) == 16
 
 
+def coded(spark, x, bits):
+    reps = spark.createDataFrame([(k, v.tolist(), 0, x.shape[1], bits) for k, v in enumerate(x)], "r long, emb array<double>, kind long, d int, bits int")
+    return vectors._coded(reps, 0.93)
+
+
 def test_hot_bucket_of_one_label(spark):
     # A label of unlike vectors: what is compared grows with its vectors, not with their square.
     rng = np.random.default_rng(9)
-    made = []
-    for n in (2_000, 8_000):
-        x = rng.normal(size=(n, 16))
-        reps = spark.createDataFrame([(k, v.tolist(), "a", 16, 1, max(8, int(np.ceil(np.log2(n / 4))))) for k, v in enumerate(x)], "id long, emb array<double>, label string, d int, copies long, bits int")
-        made.append(vectors._units(vectors._coded(reps, 0.93)).count() / n)
+    made = [vectors._units(coded(spark, rng.normal(size=(n, 16)), max(8, int(np.ceil(np.log2(n / 4)))))).count() / n for n in (2_000, 8_000)]
     assert made[1] < 1.6 * made[0]
 
 
+def test_vectors_come_to_open_pairs_alone(spark):
+    # 50,000 unlike vectors of a label, some of them twice: narrow rows choose, and hardly any vector is sent.
+    rng = np.random.default_rng(10)
+    n, d = 50_000, 64
+    x = rng.normal(size=(n, d))
+    x[-100:] = x[:100] + 0.01 * rng.normal(size=(100, d))
+    units = vectors._units(coded(spark, x, 8))
+    assert "vec" not in units.columns and "emb" not in units.columns
+    sent = units.select(F.count("*").alias("rows"), F.sum(F.length("code") + 8 * (len(units.columns) - 1)).alias("bytes")).first()
+    assert sent.bytes < 4 * 8 * d * n and sent.rows == 16 * n
+    open_ = vectors._involved(units, 0.93)
+    fetched = open_.count()
+    assert open_.filter(F.col("r") >= n - 100).select("r").distinct().count() == 100 and fetched < n / 10
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(6)
-    d = 64
-    x, q = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, 400, d)))
+    d, n, t = 64, 600, 0.93
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in rng.normal(size=(2, n, d)))
+    z -= (x * z).sum(1, keepdims=True) * x
+    q = t * x + np.sqrt(1 - t * t) * z / np.linalg.norm(z, axis=1, keepdims=True)  # each at the threshold with its like, unlike the others
     turn = vectors.turns(d)
-    packed, factors = vectors.encode(x, turn)
-    guess, error = vectors.estimates(packed, factors, q @ turn, d)
-    off = guess - q @ x.T
-    assert abs(off.mean()) < 0.002 and (np.abs(off) <= vectors.TRUST * error[None, :]).all()
+
+    def side(v):
+        packed, factors = vectors.encode(v, turn)
+        return vectors.decoded([np.array([d, 8], "<i4").tobytes() + f.tobytes() + p.tobytes() for f, p in zip(factors, packed, strict=True)], turn)
+
+    left, right = side(x), side(q)
+    guess, error = vectors.estimates(left, right, d, t)
+    off = np.diag(guess) - t
+    assert abs(off.mean()) < 0.02 and (np.abs(off) <= vectors.TRUST * np.diag(error)).all() and np.sqrt((off**2).mean()) <= np.diag(error).mean()
+    assert abs((guess - x @ q.T).mean()) < 0.002
+    assert np.diag(vectors.possible(left, right, d, t, 0)).all() and vectors.possible(left, right, d, t, 0).mean() < 0.05
