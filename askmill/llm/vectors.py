@@ -80,8 +80,11 @@ def possible(left: dict, right: dict, d: int, threshold: float, band: int) -> np
     """Which pairs (left, right) may link by their codes and meet in no band before ``band``: a boolean matrix."""
     guess, error = estimates(left, right, d, threshold)
     open_ = guess + TRUST * error + 1e-4 >= threshold
+    a, b = np.nonzero(open_)
     for k in range(band):
-        open_ &= left["keys"][:, None, k] != right["keys"][None, :, k]
+        met = left["keys"][a, k] == right["keys"][b, k]
+        open_[a[met], b[met]] = False
+        a, b = a[~met], b[~met]
     return open_
 
 
