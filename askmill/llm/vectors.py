@@ -10,6 +10,7 @@ every other pair are fetched, and it is computed again in double precision.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ TRUST = 5.0
 BLOCK = 1024
 
 
+@functools.lru_cache(maxsize=8)
 def turns(d: int, bits: int = CODE_BITS, seed: int = 5) -> np.ndarray:
     """As many random orthogonal d x d matrices as so many bits ask for, two at least, side by side. More bits begin with the same matrices."""
     rng = np.random.default_rng(seed)
@@ -116,7 +118,6 @@ def _coded(reps: DataFrame, threshold: float) -> DataFrame:
     """kind, d, bits, r, code (d, bits, factors, signs of all rotations and bands), keys (each band's bits)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             sizes, bits = np.asarray(batch.column("d")), np.asarray(batch.column("bits"))
             codes: list[bytes] = [b""] * len(sizes)
@@ -125,7 +126,7 @@ def _coded(reps: DataFrame, threshold: float) -> DataFrame:
                 at = np.flatnonzero((sizes == d) & (bits == b))
                 unit = _unit(batch.column("emb").take(pa.array(at)), d)
                 n, base = bands(b, threshold), turns(d).shape[1]
-                turn = made.setdefault((d, b), turns(d, max(CODE_BITS, n * b)))[:, : max(base, n * b)]
+                turn = turns(d, max(CODE_BITS, n * b))[:, : max(base, n * b)]
                 factors = encode(unit, turn[:, :base])[1]
                 signs = unit @ turn > 0
                 packed = np.packbits(signs, axis=1)
@@ -166,7 +167,7 @@ def _units(coded: DataFrame) -> DataFrame:
     return rows.select(*by, "own", "r", "code", F.explode(pair).alias("pair"))
 
 
-def _sides(rows: pa.Table, threshold: float, made: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def _sides(rows: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Of a unit's rows those of the left block and of the right one, and which pairs of them are open: a symmetric matrix if the blocks are one."""
     pair, own = rows.column("pair")[0].as_py(), np.asarray(rows.column("own"))
     i, j = pair >> 32, pair & 0xFFFFFFFF
@@ -175,7 +176,7 @@ def _sides(rows: pa.Table, threshold: float, made: dict) -> tuple[np.ndarray, np
         return None
     codes = rows.column("code").to_pylist()
     d = int.from_bytes(codes[0][:4], "little")
-    every = decoded(codes, made.setdefault(d, turns(d)))
+    every = decoded(codes, turns(d))
     side = lambda at: {k: v[at] for k, v in every.items()}
     open_ = possible(side(a), side(b), d, threshold, rows.column("place")[0].as_py() >> 32)
     if i == j:
@@ -188,9 +189,8 @@ def _involved(units: DataFrame, threshold: float) -> DataFrame:
     """The rows of ``units`` that their codes leave a link possible with another row of theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict = {}
         for rows in groups(batches, UNIT):
-            if sides := _sides(rows, threshold, made):
+            if sides := _sides(rows, threshold):
                 a, b, open_ = sides
                 yield from rows.take(pa.array(np.union1d(a[open_.any(1)], b[open_.any(0)]))).combine_chunks().to_batches()
 
@@ -200,8 +200,8 @@ def _involved(units: DataFrame, threshold: float) -> DataFrame:
 def _compare(involved: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """id, n (vectors linked in this unit), to (the smallest id reached there). Vectors come to the open rows alone."""
 
-    def unit_of(rows: pa.Table, made: dict) -> tuple | None:
-        sides = _sides(rows, threshold, made)
+    def unit_of(rows: pa.Table) -> tuple | None:
+        sides = _sides(rows, threshold)
         if not sides:
             return None
         a, b, open_ = sides
@@ -217,14 +217,13 @@ def _compare(involved: DataFrame, reps: DataFrame, threshold: float) -> DataFram
         return (ids[at], n[at], to[at]) if len(at) else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: dict = {}
         found: list[tuple] = []
 
         def give() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found, strict=True)], names=["id", "n", "to"])
 
         for rows in groups(batches, UNIT):
-            if x := unit_of(rows, made):
+            if x := unit_of(rows):
                 found.append(x)
             if len(found) == 1000:
                 yield give()
