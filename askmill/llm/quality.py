@@ -42,15 +42,14 @@ def class_counts(rows: DataFrame, text: str, words: str, out: str = "classes", s
     White space is one byte a character, so it is what the text has in bytes over its words.
     """
     rows = rows.withColumn("__left", _left(F.col(text), r"[a-z\x20\x09-\x0D]+")).withColumn("__white", F.octet_length(text) - F.octet_length(F.array_join(words, "")))
-    left, digits = F.col("__left"), "0123456789"
-    no_upper = F.translate(left, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")
-    rows = rows.withColumns({"__no_upper": F.length(no_upper), "__rest": F.translate(no_upper, digits, ""), "__size": F.length(left), "__lower": F.length(text) - F.col("__white") - F.length(left)})
+    rows = rows.withColumns({"__no_upper": _left(F.col("__left"), "[A-Z]+"), "__size": F.length("__left"), "__lower": F.length(text) - F.col("__white") - F.length("__left")})
+    rows = rows.withColumn("__rest", _left(F.col("__no_upper"), "[0-9]+"))
     rows = rows.withColumn("__other", F.length(_left(F.col("__rest"), r"[\x00-\x7F]+")))
-    size, rest, other = F.col("__size"), F.length("__rest"), F.col("__other")
-    counts = [F.col("__lower"), size - F.col("__no_upper"), F.col("__no_upper") - rest, F.col("__white"), rest - other, other]
+    size, no_upper, rest, other = F.col("__size"), F.length("__no_upper"), F.length("__rest"), F.col("__other")
+    counts = [F.col("__lower"), size - no_upper, no_upper - rest, F.col("__white"), rest - other, other]
     rows = rows.withColumn(out, F.array(*[c.cast("long") for c in counts]))
     if symbols:
-        rows = rows.withColumn(symbols, (rest - F.length(F.translate("__rest", SYMBOLS, ""))).cast("long"))
+        rows = rows.withColumn(symbols, (rest - F.length(_left(F.col("__rest"), f"[{SYMBOLS}]+"))).cast("long"))
     return rows.drop("__left", "__white", "__no_upper", "__rest", "__size", "__lower", "__other")
 
 
