@@ -10,13 +10,20 @@ from askmill.operators.dense import dense_topk, maxsim
 from askmill.operators.lexical import sparse_topk, top_k
 
 HIT = "query_id string, id string, score double, rank int"
+#: How far equal scores may be apart, as they were summed in another order.
+ALIKE = 1e-11
 
 
 def minmax_scores(hits: DataFrame, by: tuple[str, ...] = ("query_id", "side")) -> DataFrame:
-    """Adds scaled: scores of each query and side from 0 to 1; where all are equal, 1."""
+    """Adds scaled: scores of each query and side from 0 to 1; where all are equal, 1.
+
+    Sums of the same numbers in another order differ in their last bits, so all are equal if no more than ALIKE (of the larger one, where that is above 1) lies between
+    them: else those bits would be spread over 0 to 1.
+    """
     w = Window.partitionBy(*by)
     low, high = F.min("score").over(w), F.max("score").over(w)
-    return hits.withColumn("scaled", F.when(high == low, 1.0).otherwise((F.col("score") - low) / (high - low)))
+    alike = high - low <= ALIKE * F.greatest(F.lit(1.0), F.abs(high), F.abs(low))
+    return hits.withColumn("scaled", F.when(alike, 1.0).otherwise((F.col("score") - low) / (high - low)))
 
 
 def fuse(dense: DataFrame | None, sparse: DataFrame | None, cfg: SearchConfig = SearchConfig()) -> DataFrame:

@@ -26,6 +26,16 @@ def test_minmax(spark):
     assert got == [("a", 0.0), ("a", 0.5), ("a", 1.0), ("b", 1.0), ("b", 1.0), ("c", 1.0)]
 
 
+def test_last_bits_of_equal_scores_are_not_scaled(spark):
+    parts = [0.1 * n + 400 for n in range(9)]
+    sums = [sum(parts), sum(parts[::-1]), sum(parts) * (1 + 2**-50)]
+    assert len(set(sums)) > 1
+    df = spark.createDataFrame([("copies", "x", s) for s in sums] + [("close", "x", s) for s in (4.0, 4.0 + 1e-8)], "query_id string, side string, score double")
+    assert sorted((r.query_id, r.scaled) for r in search.minmax_scores(df).collect()) == [("close", 0.0), ("close", 1.0)] + [("copies", 1.0)] * 3
+    ranked = search.fuse(None, spark.createDataFrame([("q", f"c{n}", s, n + 1) for n, s in enumerate(sums)], HITS))
+    assert [(r.id, r.score) for r in ranked.orderBy("rank").collect()] == [("c0", 0.5), ("c1", 0.5), ("c2", 0.5)]
+
+
 DENSE, SPARSE = [("a", 0.9), ("b", 0.7), ("c", 0.5), ("d", 0.4)], [("b", 6), ("e", 4), ("a", 2), ("f", 1.5)]
 
 
