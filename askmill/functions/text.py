@@ -23,12 +23,25 @@ def tokens(text: Column | str) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.lower(t))
 
 
+#: Tokens, or sentences, of a batch that a helper holds unpacked at once.
+AT_ONCE = 1 << 18
+
+
+def few_at_once(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of the lists, in order, with at most AT_ONCE values, or one list: so what is made of a batch's values stays small, however long its texts are."""
+    ends, a = np.asarray(lists.offsets)[1:], 0
+    while a < len(lists):
+        b = max(a + 1, int(np.searchsorted(ends, lists.offsets[a].as_py() + AT_ONCE, "right")))
+        yield a, b
+        a = b
+
+
 def clean_answer(text: Column | str) -> Column:
     """Without one leading block of the model's thoughts and the white space after it."""
     return F.regexp_replace(text, r"(?s)^<think>.*?</think>\s*", "")
 
 
-#: Words with a stopword's or a lemma's entry that each executor may be sent (some 100 bytes each); more are joined by shuffle.
+#: Words with a stopword's or a lemma's entry that each executor may be sent (some 30 bytes each); more are joined by shuffle.
 MOST_WORDS = 400_000
 
 
@@ -44,20 +57,28 @@ def normalize_queries(queries: DataFrame, stopwords: DataFrame | None = None, le
     if not stop + forms:
         return rows.select("query_id", F.array_join("ws", " ").alias("normalized"))
     changed = functools.reduce(DataFrame.unionByName, stop + forms).filter("word is not null").groupBy("word").agg(F.max("stop").alias("stop"), F.min("lemma").alias("lemma"))
-    found = changed.limit(MOST_WORDS + 1).collect()
+    found = changed.limit(MOST_WORDS + 1).select("word", F.when(~F.col("stop"), F.col("lemma")).alias("to")).toArrow()
     if len(found) > MOST_WORDS:
         return _normalized_by_join(rows, changed)
-    sent = queries.sparkSession.sparkContext.broadcast({r.word: None if r.stop else r.lemma for r in found})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, found.schema) as out:
+        out.write_table(found)
+    sent = queries.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forms = sent.value
+        forms = pa.ipc.open_stream(sent.value).read_all().combine_chunks()
+        word, to = (pa.concat_arrays([pa.array([], pa.string()), *forms.column(c).chunks]) for c in ("word", "to"))
         for batch in batches:
-            lists = batch.column(1)
-            flat, ends = lists.flatten().dictionary_encode(), np.asarray(lists.offsets)
-            to = [forms.get(w, w) for w in flat.dictionary.to_pylist()]
-            number, ends = flat.indices.to_pylist(), (ends - ends[0]).tolist()
-            texts = [" ".join([w for w in map(to.__getitem__, number[a:b]) if w is not None]).strip(" ") for a, b in zip(ends, ends[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["query_id", "normalized"])
+            for a, b in few_at_once(batch.column(1)):
+                part = batch.slice(a, b - a)
+                flat = part.column(1).flatten().dictionary_encode()
+                at = pc.index_in(flat.dictionary, word)
+                changed_to = pc.if_else(pc.is_null(at), flat.dictionary, to.take(at))
+                values = changed_to.take(flat.indices)
+                on = np.asarray(values.is_valid())  # a stopword's form is null
+                ends = np.r_[0, np.cumsum(on)][np.asarray(part.column(1).offsets) - part.column(1).offsets[0].as_py()].astype(np.int32)
+                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), values.drop_null()), " ")
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.utf8_trim(texts, " ")], names=["query_id", "normalized"])
 
     return rows.mapInArrow(run, f"query_id {rows.schema['query_id'].dataType.simpleString()}, normalized string")
 
@@ -109,23 +130,26 @@ def chunks(most: int, overlap: int, count_tokens: Callable[[str], int] = words):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for lists in batches:
-            flat, n = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
-            sizes = _word_counts(flat) if count_tokens is words else np.fromiter(map(count_tokens, flat.to_pylist()), np.int64, len(flat))
-            ends, total = np.cumsum(n), np.r_[0, np.cumsum(sizes)]
-            reach = np.maximum(np.searchsorted(total, total[:-1] + most, "right") - 1, np.arange(1, len(flat) + 1))
-            reach = np.minimum(reach, np.repeat(ends, n)).tolist()
-            first, last, per = [], [], [0]
-            for s, end in zip((ends - n).tolist(), ends.tolist(), strict=True):
-                while s < end:
-                    first.append(s)
-                    last.append(reach[s])
-                    s = end if reach[s] >= end else max(s + 1, reach[s] - overlap)
-                per.append(len(first))
-            length = np.array(last, np.int64) - np.array(first, np.int64)
-            upto = np.cumsum(length)
-            at = np.repeat(np.array(first, np.int64) - (upto - length), length) + np.arange(length.sum())
-            held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, upto], pa.int64()), flat.take(pa.array(at, pa.int64())))
-            yield pa.ListArray.from_arrays(pa.array(per, pa.int32()), pc.binary_join(held, " ").cast(pa.string()))
+            yield pa.concat_arrays([pa.array([], pa.list_(pa.string())), *(cut(lists.slice(a, b - a)) for a, b in few_at_once(lists))])
+
+    def cut(lists: pa.ListArray) -> pa.ListArray:
+        flat, n = lists.flatten(), np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+        sizes = _word_counts(flat) if count_tokens is words else np.fromiter(map(count_tokens, flat.to_pylist()), np.int64, len(flat))
+        ends, total = np.cumsum(n), np.r_[0, np.cumsum(sizes)]
+        reach = np.maximum(np.searchsorted(total, total[:-1] + most, "right") - 1, np.arange(1, len(flat) + 1))
+        reach = np.minimum(reach, np.repeat(ends, n)).tolist()
+        first, last, per = [], [], [0]
+        for s, end in zip((ends - n).tolist(), ends.tolist(), strict=True):
+            while s < end:
+                first.append(s)
+                last.append(reach[s])
+                s = end if reach[s] >= end else max(s + 1, reach[s] - overlap)
+            per.append(len(first))
+        length = np.array(last, np.int64) - np.array(first, np.int64)
+        upto = np.cumsum(length)
+        at = np.repeat(np.array(first, np.int64) - (upto - length), length) + np.arange(length.sum())
+        held = pa.LargeListArray.from_arrays(pa.array(np.r_[0, upto], pa.int64()), flat.take(pa.array(at, pa.int64())))
+        return pa.ListArray.from_arrays(pa.array(per, pa.int32()), pc.binary_join(held, " ").cast(pa.string()))
 
     return arrow_udf(run, "array<string>")
 

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,6 +343,24 @@ def test_normalise_by_join_too(spark, monkeypatch, most):
     assert {r.normalized for r in normalize_queries(q).collect()} == {"the cats ran the end", ""}
 
 
+@pytest.mark.parametrize("most", [1, 3, 1 << 18])
+def test_batches_are_taken_in_small_parts(spark, monkeypatch, most):
+    from askmill.functions import text
+
+    monkeypatch.setattr(text, "AT_ONCE", most)
+    texts = ["one two. three. four", None, "", "five", "The one the one. two"]
+    rows = spark.createDataFrame([("c", f"q{k}", t) for k, t in enumerate(texts)], "collection string, id string, text string").coalesce(1)
+    lists = pa.array([t.split() if t else [] for t in texts]).slice(1)
+    parts = list(text.few_at_once(lists))
+    assert [x for a, b in parts for x in range(a, b)] == [0, 1, 2, 3] and all(b - a == 1 or sum(map(len, lists.to_pylist()[a:b])) <= most for a, b in parts)
+    index = {r.id: dict(zip(r.terms, r.tfs, strict=True)) for r in lexical.build_index(rows).collect()}
+    assert index == {"q0": {"one": 1, "two": 1, "three": 1, "four": 1}, "q1": {}, "q2": {}, "q3": {"five": 1}, "q4": {"the": 2, "one": 2, "two": 1}}
+    # The function itself is asked: a worker has its own AT_ONCE.
+    run = chunks(2, 0).func
+    cut = list(run(iter([pa.array([["one two.", "three.", "four"], None, [], ["five"]], pa.list_(pa.string()))])))
+    assert [x.to_pylist() for x in cut] == [[["one two.", "three. four"], [], [], ["five"]]]
+
+
 def test_tokens(spark):
     from askmill.functions.text import tokens
 
