@@ -103,8 +103,8 @@ def late_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.late_rerank(candidate_union(spark, sf_dir), queries, vectors, CFG), "score")
 
 
-def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.attach_payload(_hybrid(spark, sf_dir), tables.corpus(spark, sf_dir))
+def _payload(spark: SparkSession, sf_dir: str, but: tuple[str, ...] = ()) -> DataFrame:
+    return search.attach_payload(_hybrid(spark, sf_dir), tables.corpus(spark, sf_dir), but)
 
 
 def hits_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ def context_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = tables.questions(spark, sf_dir)
-    rows = chat.context_per_query(_payload(spark, sf_dir), queries).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
+    rows = chat.context_per_query(_payload(spark, sf_dir, ("document",)), queries).join(queries.select("query_id", F.col("text").alias("query")), "query_id")
     return chat.build_prompts(rows.withColumn("history", F.lit(chat.NONE)), SYSTEM)
 
 

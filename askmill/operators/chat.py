@@ -13,10 +13,10 @@ PROMPT = ("Системное сообщение:\n    ", "\n\n    Контек
 
 
 def context_per_query(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, context, display, status: distinct texts and paths of a query's hits, sorted; ``no_documents`` where it has none."""
+    """query_id, context, display, status: distinct texts and paths of a query's hits, sorted; ``no_documents`` where it has none, or none with a text. A null text isn't one, an empty one is."""
     sets = hits.groupBy("query_id").agg(F.array_sort(F.collect_set("document")).alias("texts"), F.array_sort(F.collect_set("file_path")).alias("paths"))
     rows = queries.select(F.col("query_id").cast("string").alias("query_id")).join(sets, "query_id", "left")
-    found = F.col("texts").isNotNull()
+    found = F.col("texts").isNotNull() & (F.size("texts") > 0)
     return rows.select(
         "query_id",
         F.when(found, F.array_join("texts", "\n")).otherwise(NONE).alias("context"),

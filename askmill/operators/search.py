@@ -87,19 +87,19 @@ def search(method: str, **parts) -> DataFrame:
 DEFAULTS = {"document": "", "file_path": "—", "display_docs": "", "rating": 0.0, "rating_count": 0}
 
 
-def with_defaults(rows: DataFrame) -> DataFrame:
-    """The known keys with their defaults where they are null; a key without a column gets one."""
-    return rows.withColumns({c: F.coalesce(c, F.lit(x)) if c in rows.columns else F.lit(x) for c, x in DEFAULTS.items()})
+def with_defaults(rows: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """The known keys with their defaults where they are null, ``but`` these, which stay null; a key without a column gets one."""
+    return rows.withColumns({c: F.coalesce(c, F.lit(x)) if c in rows.columns else F.lit(x) for c, x in DEFAULTS.items() if c not in but or c not in rows.columns})
 
 
-def attach_payload(hits: DataFrame, collection: DataFrame) -> DataFrame:
-    """The hits with what the collection knows of their chunk, looked up after the top k; absent keys get their defaults.
+def attach_payload(hits: DataFrame, collection: DataFrame, but: tuple[str, ...] = ()) -> DataFrame:
+    """The hits with what the collection knows of their chunk, looked up after the top k; absent keys get their defaults, ``but`` these stay null.
 
     Both sides' hits are chunks of one collection, so a hit found by both has one payload. Where the hits have both sides' raw
     scores, the payload map gets them too, 0 for a side that has not found the chunk.
     """
     known = [c for c in (*DEFAULTS, "payload") if c in collection.columns]
-    rows = with_defaults(hits.join(collection.select("id", *known), "id", "left"))
+    rows = with_defaults(hits.join(collection.select("id", *known), "id", "left"), but)
     scores = [c for c in ("dense_score", "sparse_score") if c in hits.columns]
     added = [x for c in scores for x in (F.lit(f"_{c}"), F.col(c).cast("string"))]
     payload = F.coalesce("payload", F.expr("cast(map() as map<string, string>)")) if "payload" in known else F.expr("cast(map() as map<string, string>)")

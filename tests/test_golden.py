@@ -199,6 +199,15 @@ def test_payload(spark):
     assert [tuple(got[i][c] for c in search.DEFAULTS) for i in ("a", "gone")] == [("text", "—", "", 0.0, 0), ("", "—", "", 0.0, 0)]
 
 
+def test_null_texts_are_no_context(spark):
+    found = spark.createDataFrame([("1", "a"), ("1", "none"), ("2", "none"), ("3", "empty")], "query_id string, id string")
+    table = spark.createDataFrame([("a", "text", "/a"), ("none", None, None), ("empty", "", "/e")], "id string, document string, file_path string")
+    queries = spark.createDataFrame([(k,) for k in range(1, 5)], "query_id int")
+    got = {r.query_id: tuple(r)[1:] for r in chat.context_per_query(search.attach_payload(found, table, ("document",)), queries).collect()}
+    no = ("—", None, "no_documents")
+    assert got == {"1": ("text", f"{chat.DOCUMENTS}/a\n\n—", "ok"), "2": no, "3": ("", f"{chat.DOCUMENTS}/e", "ok"), "4": no}
+
+
 def test_system_prompts(spark):
     rows = spark.createDataFrame([("chat_1",), ("code_2",), ("odd",)], "session_id string")
     got = {r.session_id: r.system for r in chat.system_prompts(rows, spark.createDataFrame([("chat", "A"), ("code", "B")], "prefix string, system string")).collect()}
