@@ -113,7 +113,7 @@ def hits_with_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def context_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.context_per_query(_payload(spark, sf_dir), tables.questions(spark, sf_dir))
+    return chat.context_per_query(_payload(spark, sf_dir, ("document",)), tables.questions(spark, sf_dir))
 
 
 def build_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:

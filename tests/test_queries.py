@@ -33,7 +33,7 @@ def null_texts(tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["build_prompts"])
+@pytest.mark.parametrize("name", ["build_prompts", "context_per_query"])
 def test_null_texts(spark, null_texts, name):
     got = registry.queries()[name](spark, null_texts).toPandas()
     assert rows(got) == rows(connect(null_texts).execute(registry.oracle_sql()[name]).df())
